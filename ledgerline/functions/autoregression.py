@@ -1,0 +1,57 @@
+"""Autoregressive fit of one monthly series (numpy; called once per series inside tasks)."""
+
+from __future__ import annotations
+
+import numpy as np
+
+MAX_ORDER = 3
+MAX_DIFFERENCE = 1
+
+
+def _fit(values: np.ndarray, order: int, skip: int) -> tuple[np.ndarray, float, float]:
+    """Least squares on the rows after ``skip``: coefficients, variance, corrected AIC."""
+    target = values[skip:]
+    columns = [np.ones(len(target))] + [
+        values[skip - lag : len(values) - lag] for lag in range(1, order + 1)
+    ]
+    design = np.column_stack(columns)
+    beta, *_ = np.linalg.lstsq(design, target, rcond=None)
+    rows, params = len(target), order + 2
+    sse = float(np.sum((target - design @ beta) ** 2))
+    variance = sse / max(rows - order - 1, 1)
+    if rows - params - 1 <= 0:
+        return beta, variance, np.inf
+    aicc = rows * np.log(max(sse / rows, 1e-12)) + 2 * params
+    return beta, variance, aicc + 2 * params * (params + 1) / (rows - params - 1)
+
+
+def forecast_series(values: np.ndarray, periods: int, z: float) -> np.ndarray:
+    """Rows (mean, lower, upper): the best AR(p) on the series or its first differences.
+
+    Orders are compared per difference level on the same rows by corrected AIC; a series is
+    differenced when its differences vary less than its levels.
+    """
+    values = np.asarray(values, dtype=float)
+    difference = int(len(values) > MAX_ORDER + 4 and np.var(np.diff(values)) < np.var(values))
+    work = np.diff(values, n=difference) if difference else values
+    skip = min(MAX_ORDER, max(len(work) - 4, 0))
+    fits = {p: _fit(work, p, skip) for p in range(0, skip + 1)}
+    order = min(fits, key=lambda p: (fits[p][2], p))
+    beta, variance, _ = fits[order]
+
+    history = list(work)
+    for _ in range(periods):
+        lags = [history[-lag] for lag in range(1, order + 1)]
+        history.append(float(beta[0] + np.dot(beta[1:], lags)))
+    mean = np.array(history[len(work) :])
+
+    # weights of past shocks; a differenced series accumulates them
+    weights = np.zeros(periods)
+    weights[0] = 1.0
+    for step in range(1, periods):
+        weights[step] = sum(beta[lag] * weights[step - lag] for lag in range(1, min(order, step) + 1))
+    if difference:
+        mean = values[-1] + np.cumsum(mean)
+        weights = np.cumsum(weights)
+    half = z * np.sqrt(variance * np.cumsum(weights**2))
+    return np.column_stack([mean, mean - half, mean + half])
