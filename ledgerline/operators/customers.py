@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.semantics import asc, desc, mean_of, n_distinct, nz_sum, ratio
+from ledgerline.session import durable
 
 CUSTOMER_KEY = ("Customer_ID", "Customer_Name")
 
@@ -54,14 +55,17 @@ def top_customers(df: DataFrame, n: int = 10, by: str = "sales") -> DataFrame:
 def rfm(df: DataFrame) -> DataFrame:
     """Recency in days before the newest order of all, Frequency in orders, Monetary in sales.
 
-    The newest date is a second, one-column pass that ends in one row.
+    The customer table is stored first and gives the newest date, so the sales are read once.
     """
-    per_customer = df.groupBy(*CUSTOMER_KEY).agg(
-        F.max("Order_Date").alias("last_date"),
-        n_distinct("Order_ID").alias("Frequency"),
-        nz_sum("Sales").alias("Monetary"),
+    per_customer = durable(
+        df.groupBy(*CUSTOMER_KEY).agg(
+            F.max("Order_Date").alias("last_date"),
+            n_distinct("Order_ID").alias("Frequency"),
+            nz_sum("Sales").alias("Monetary"),
+        ),
+        "customers",
     )
-    newest = df.agg(F.max("Order_Date").alias("newest"))
+    newest = per_customer.agg(F.max("last_date").alias("newest"))
     return per_customer.crossJoin(F.broadcast(newest)).select(
         *CUSTOMER_KEY,
         F.date_diff("newest", "last_date").cast("double").alias("Recency"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.semantics import asc, desc
+from ledgerline.session import durable
 
 FACTORS = ("Category", "Region", "Month")
 FEATURES = ("Category", "Price", "Region", "Month")
@@ -33,22 +34,30 @@ class DemandModel:
 
 
 def model_rows(df: DataFrame) -> DataFrame:
-    """The model's columns as numbers and text; rows with a gap cannot train."""
-    return df.select(
+    """The model's columns as numbers and text, equal rows counted in ``weight``; stored.
+
+    Rows with a gap cannot train. There are at most as many rows as combinations of quantity,
+    category, price, region and month, so training does not grow with the number of sales
+    once all combinations have occurred.
+    """
+    columns = df.select(
         F.col("Quantity").cast("double").alias("Quantity"),
         "Category",
         F.col("Price").cast("double").alias("Price"),
         "Region",
         F.col("Month").cast("string").alias("Month"),
     ).na.drop()
+    counted = columns.groupBy(*columns.columns).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return durable(counted, "demand")
 
 
 def _fit_metrics(scored: DataFrame) -> DataFrame:
-    error = F.col("Quantity") - F.col("prediction")
+    error, weight = F.col("Quantity") - F.col("prediction"), F.col("weight")
+    total = F.sum(weight)
     return scored.agg(
-        F.sqrt(F.avg(error * error)).alias("RMSE"),
-        F.avg(F.abs(error)).alias("MAE"),
-        F.avg("Quantity").alias("Mean_Quantity"),
+        F.sqrt(F.sum(weight * error * error) / total).alias("RMSE"),
+        (F.sum(weight * F.abs(error)) / total).alias("MAE"),
+        (F.sum(weight * F.col("Quantity")) / total).alias("Mean_Quantity"),
     )
 
 
@@ -57,8 +66,8 @@ def _importance(df: DataFrame, pairs: list[tuple[str, float]]) -> DataFrame:
     return frame.orderBy(*desc("Importance"), *asc("Variable"))
 
 
-def train_forest(df: DataFrame, trees: int = TREES, max_depth: int = 5) -> DemandModel:
-    rows = model_rows(df)
+def train_forest(rows: DataFrame, trees: int = TREES, max_depth: int = 5) -> DemandModel:
+    """Random forest on ``model_rows``."""
     levels = rows.agg(*[F.count_distinct(c).alias(c) for c in FACTORS]).first()
     indexers = [
         StringIndexer(
@@ -70,6 +79,7 @@ def train_forest(df: DataFrame, trees: int = TREES, max_depth: int = 5) -> Deman
     forest = RandomForestRegressor(
         featuresCol="features",
         labelCol="Quantity",
+        weightCol="weight",
         numTrees=trees,
         maxDepth=max_depth,
         maxBins=max(32, *(levels[c] + 1 for c in FACTORS)),
@@ -79,16 +89,15 @@ def train_forest(df: DataFrame, trees: int = TREES, max_depth: int = 5) -> Deman
     assembler = VectorAssembler(inputCols=inputs, outputCol="features")
     model = Pipeline(stages=[*indexers, assembler, forest]).fit(rows)
     weights = model.stages[-1].featureImportances.toArray()
-    importance = _importance(df, [(c, float(w)) for c, w in zip(FEATURES, weights)])
+    importance = _importance(rows, [(c, float(w)) for c, w in zip(FEATURES, weights)])
     return DemandModel(model, FOREST_LABEL, importance, _fit_metrics(model.transform(rows)))
 
 
-def train_poisson(df: DataFrame) -> DemandModel:
-    """Log-linear counts with the alphabetically first level of each factor as the base.
+def train_poisson(rows: DataFrame) -> DemandModel:
+    """Log-linear counts on ``model_rows`` with the alphabetically first level of each factor as the base.
 
     Importance is the absolute z value of each coefficient.
     """
-    rows = model_rows(df)
     formula = RFormula(
         formula="Quantity ~ Category + Price + Region + Month",
         stringIndexerOrderType="alphabetDesc",
@@ -97,7 +106,11 @@ def train_poisson(df: DataFrame) -> DemandModel:
         labelCol="label",
     )
     glm = GeneralizedLinearRegression(
-        family="poisson", link="log", featuresCol="features", labelCol="label"
+        family="poisson",
+        link="log",
+        featuresCol="features",
+        labelCol="label",
+        weightCol="weight",
     )
     model = Pipeline(stages=[formula, glm]).fit(rows)
     scored = model.transform(rows)
@@ -105,14 +118,15 @@ def train_poisson(df: DataFrame) -> DemandModel:
     names = {a["idx"]: a["name"] for kind in attributes.values() for a in kind}
     z_values = model.stages[-1].summary.tValues[: len(names)]
     pairs = [(names[i], abs(float(z))) for i, z in enumerate(z_values)]
-    return DemandModel(model, POISSON_LABEL, _importance(df, pairs), _fit_metrics(scored))
+    return DemandModel(model, POISSON_LABEL, _importance(rows, pairs), _fit_metrics(scored))
 
 
 def train_demand(df: DataFrame, method: str = "forest") -> DemandModel | None:
-    """Train on a sales table; None when it has no complete row. Pass a stored table."""
-    if model_rows(df).isEmpty():
+    """Train on sales records; None when there is no complete one."""
+    rows = model_rows(df)
+    if rows.isEmpty():
         return None
-    return train_poisson(df) if method == "poisson" else train_forest(df)
+    return train_poisson(rows) if method == "poisson" else train_forest(rows)
 
 
 def score_demand(model: DemandModel, known: DataFrame, scenarios: DataFrame) -> DataFrame:

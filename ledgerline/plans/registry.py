@@ -376,10 +376,12 @@ def _scenarios(df: DataFrame) -> DataFrame:
     return df.groupBy("Category", "Region", "Month").agg(F.max("Price").alias("Price"))
 
 
-on_stored_sales("demand_importance", _demand("forest", lambda m, df: m.importance), _DEMAND_COLUMNS)
-on_stored_sales("demand_metrics", _demand("forest", lambda m, df: m.metrics), _DEMAND_COLUMNS)
-on_stored_sales(
-    "demand_importance_poisson", _demand("poisson", lambda m, df: m.importance), _DEMAND_COLUMNS
+on_sales("demand_importance", " ".join(_DEMAND_COLUMNS), _demand("forest", lambda m, df: m.importance))
+on_sales("demand_metrics", " ".join(_DEMAND_COLUMNS), _demand("forest", lambda m, df: m.metrics))
+on_sales(
+    "demand_importance_poisson",
+    " ".join(_DEMAND_COLUMNS),
+    _demand("poisson", lambda m, df: m.importance),
 )
 on_stored_sales(
     "demand_scores",
