@@ -528,23 +528,31 @@ FROM (SELECT count(*) AS raw_n, count(DISTINCT Order_ID) AS ids FROM dirty),
 
 _DAY = f"DATE '{r.REPORT_DAY}'"
 _SAME_YEAR = f"Year = year({_DAY})"
-ORACLE["report_daily"] = with_(
-    SALES, f"SELECT {CLEAN_RECORD}, 'Daily_{r.REPORT_DAY}' AS Label FROM sales WHERE Order_Date = {_DAY}"
-)
-ORACLE["report_monthly"] = with_(
-    SALES,
-    f"""SELECT {CLEAN_RECORD}, strftime((SELECT max(Order_Date) FROM sales), 'Monthly_%Y_%m') AS Label FROM sales
-WHERE date_trunc('month', Order_Date) = (SELECT date_trunc('month', max(Order_Date)) FROM sales)""",
+
+
+def _period(condition: str, label: str) -> str:
+    """Rows of a period; all rows under the full label when it has none."""
+    return with_(
+        f"{SALES}, hits AS (SELECT count(*) AS n FROM sales WHERE {condition})",
+        f"""SELECT {CLEAN_RECORD}, CASE WHEN n > 0 THEN {label} ELSE 'Full_Dataset' END AS Label
+FROM sales, hits WHERE n = 0 OR ({condition})""",
+    )
+
+
+ORACLE["report_daily"] = _period(f"Order_Date = {_DAY}", f"'Daily_{r.REPORT_DAY}'")
+ORACLE["report_monthly"] = _period(
+    "date_trunc('month', Order_Date) = (SELECT date_trunc('month', max(Order_Date)) FROM sales)",
+    "strftime((SELECT max(Order_Date) FROM sales), 'Monthly_%Y_%m')",
 )
-ORACLE["report_quarterly"] = with_(
-    SALES,
-    f"""SELECT {CLEAN_RECORD}, 'Quarterly_' || year({_DAY}) || '_Q' || quarter({_DAY}) AS Label FROM sales
-WHERE {_SAME_YEAR} AND Quarter = 'Q' || quarter({_DAY})""",
+ORACLE["report_quarterly"] = _period(
+    f"{_SAME_YEAR} AND Quarter = 'Q' || quarter({_DAY})",
+    f"'Quarterly_' || year({_DAY}) || '_Q' || quarter({_DAY})",
 )
-ORACLE["report_yearly"] = with_(
-    SALES, f"SELECT {CLEAN_RECORD}, 'Yearly_' || year({_DAY}) AS Label FROM sales WHERE {_SAME_YEAR}"
+ORACLE["report_yearly"] = _period(_SAME_YEAR, f"'Yearly_' || year({_DAY})")
+ORACLE["report_fallback"] = _period(
+    f"date_trunc('month', Order_Date) = date_trunc('month', DATE '{r.EMPTY_DAY}')",
+    f"strftime(DATE '{r.EMPTY_DAY}', 'Monthly_%Y_%m')",
 )
-ORACLE["report_fallback"] = with_(SALES, f"SELECT {CLEAN_RECORD}, 'Full_Dataset' AS Label FROM sales")
 
 YEAR_ROWS = f"{SALES}, chosen AS (SELECT * FROM sales WHERE {_SAME_YEAR})"
 YEAR_KPIS = f"""{YEAR_ROWS}, k AS (
