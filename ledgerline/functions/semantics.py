@@ -61,6 +61,15 @@ def clamp_at_zero(value: Column | str) -> Column:
     return F.when(value < 0, F.lit(0.0)).otherwise(value)
 
 
+# Month names, three letters each.
+MONTH_NAMES = "JanFebMarAprMayJunJulAugSepOctNovDec"
+
+
+def month_name(month: Column) -> Column:
+    """Short name of a month number (a substring is much cheaper than formatting the date)."""
+    return F.substring(F.lit(MONTH_NAMES), month * 3 - 2, F.lit(3))
+
+
 def desc(*names: str) -> list[Column]:
     return [F.desc_nulls_last(n) for n in names]
 

@@ -293,11 +293,16 @@ def apply_orders(star: Star, batch: DataFrame, seq: Sequence[str], at: Column) -
     name, city and state. Product: get or create, known ones take the call's price. Order
     header: created by the first call of an absent code and never changed. Item: always
     appended, so a batch must be applied once. Calls that break an item rule or lack a
-    required value are turned away whole. Pass a stored batch: each table reads it.
+    required value are turned away whole.
+
+    The sound calls are sorted and numbered once; that number decides first and last
+    everywhere below and gives the item ids.
     """
     judged = batch.withColumn("reason", _order_problem())
     rejects = judged.filter("reason IS NOT NULL")
-    calls = judged.filter("reason IS NULL").drop("reason")
+    sound = judged.filter("reason IS NULL").select(*dict.fromkeys([*ORDER_COLUMNS, *seq]))
+    calls = number_rows(sound, asc(*seq), "call").select(*ORDER_COLUMNS, "call")
+    seq = ["call"]
 
     regions = star["regions"].unionByName(
         _new_names(_first_places(calls, "region_name", seq), star["regions"], "region_name", "region_id")
@@ -336,19 +341,10 @@ def apply_orders(star: Star, batch: DataFrame, seq: Sequence[str], at: Column) -
     )
     orders = star["orders"].unionByName(new_orders)
 
-    columns = [
-        "order_code",
-        "product_name",
-        "quantity",
-        "price_per_unit",
-        "sales",
-        "profit",
-    ]
-    items_only = calls.select(*dict.fromkeys([*seq, *columns]))
+    last_item = star["order_items"].agg(F.max("order_item_id").alias("last_item"))
     new_items = (
-        number_rows(
-            items_only, asc(*seq), "order_item_id", after=_last_id(star["order_items"], "order_item_id")
-        )
+        calls.crossJoin(F.broadcast(last_item))
+        .withColumn("order_item_id", F.coalesce("last_item", F.lit(0)) + F.col("call"))
         .join(orders.select("order_id", "order_code"), "order_code")
         .join(products.select("product_id", "product_name"), "product_name")
         .select(

@@ -12,7 +12,14 @@ from pyspark.sql import types as T
 from ledgerline.functions import text
 from ledgerline.functions.quantiles import exact_quantiles
 from ledgerline.functions.ranking import first_by, keep_first, number_rows
-from ledgerline.functions.semantics import asc, is_missing, min_max, n_distinct, ratio
+from ledgerline.functions.semantics import (
+    asc,
+    is_missing,
+    min_max,
+    month_name,
+    n_distinct,
+    ratio,
+)
 from ledgerline.sources.schemas import (
     DEFAULT_MARGINS,
     MIN_MARGIN_ROWS,
@@ -255,7 +262,7 @@ def add_derived(df: DataFrame) -> DataFrame:
         added["Year"] = F.year(date)
         added["Month"] = F.month(date)
         added["Quarter"] = F.concat(F.lit("Q"), F.quarter(date).cast("string"))
-        added["Month_Name"] = F.date_format(date, "MMM")
+        added["Month_Name"] = month_name(F.month(date))
     if {"Sales", "Profit"} <= set(df.columns):
         # decimal division, so that an exact half rounds the same way everywhere
         exact = F.try_divide(F.col("Profit"), F.col("Sales"))

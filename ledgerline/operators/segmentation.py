@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -93,7 +94,10 @@ def segment_customers(df: DataFrame, k: int = 3, starts: int = 5) -> Segments |
         return Segments(data, centroids, 1, None)
 
     vectors = VectorAssembler(inputCols=list(SCALED), outputCol="features").transform(points)
-    model = _best_model(vectors, k, starts)
+    # kept in memory or on disk for the passes; lost blocks come back from the stored points
+    passes = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    model = _best_model(passes, k, starts)
+    passes.unpersist()
     clustered = (
         model.transform(vectors)
         .withColumn("Cluster", F.col("prediction") + 1)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ranking import first_by, number_rows
-from ledgerline.functions.semantics import asc, desc
+from ledgerline.functions.semantics import asc, desc, month_name
 from ledgerline.sources.schemas import DEFAULT_STOCK
 
 Star = Mapping[str, DataFrame]
@@ -142,7 +142,7 @@ def monthly_sales(star: Star) -> DataFrame:
         .groupBy(
             F.year(date).alias("Year"),
             F.month(date).alias("Month"),
-            F.date_format(date, "MMM").alias("Month_Name"),
+            month_name(F.month(date)).alias("Month_Name"),
         )
         .agg(
             F.sum("sales").alias("Monthly_Sales"),
