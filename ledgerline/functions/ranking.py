@@ -55,14 +55,10 @@ def number_rows(
         .agg(F.count(F.lit(1)).alias("__rows"))
         .select("__part", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"))
     )
-    if after is not None:
-        base = after.select(F.coalesce(F.col(after.columns[0]), F.lit(0)).cast("long").alias("__base"))
-        starts = starts.crossJoin(F.broadcast(base)).select(
-            "__part", (F.col("__start") + F.col("__base")).alias("__start")
-        )
+    base = F.lit(0) if after is None else F.coalesce(after.scalar(), F.lit(0))
     in_part = F.col("__slot").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         placed.join(F.broadcast(starts), "__part")
-        .withColumn(name, (F.col("__start") + in_part + 1).cast("long"))
+        .withColumn(name, (base + F.col("__start") + in_part + 1).cast("long"))
         .drop("__slot", "__part", "__start")
     )

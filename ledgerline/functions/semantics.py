@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Texts that count as "no value" in text columns.
@@ -61,6 +61,11 @@ def clamp_at_zero(value: Column | str) -> Column:
     return F.when(value < 0, F.lit(0.0)).otherwise(value)
 
 
+def only_row(df: DataFrame) -> Column:
+    """The one row of ``df`` as a struct: a scalar subquery, not a join."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
 # Month names, three letters each.
 MONTH_NAMES = "JanFebMarAprMayJunJulAugSepOctNovDec"
 

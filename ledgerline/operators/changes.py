@@ -341,10 +341,9 @@ def apply_orders(star: Star, batch: DataFrame, seq: Sequence[str], at: Column) -
     )
     orders = star["orders"].unionByName(new_orders)
 
-    last_item = star["order_items"].agg(F.max("order_item_id").alias("last_item"))
+    last_item = F.coalesce(_last_id(star["order_items"], "order_item_id").scalar(), F.lit(0))
     new_items = (
-        calls.crossJoin(F.broadcast(last_item))
-        .withColumn("order_item_id", F.coalesce("last_item", F.lit(0)) + F.col("call"))
+        calls.withColumn("order_item_id", last_item + F.col("call"))
         .join(orders.select("order_id", "order_code"), "order_code")
         .join(products.select("product_id", "product_name"), "product_name")
         .select(

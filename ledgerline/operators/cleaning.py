@@ -18,6 +18,7 @@ from ledgerline.functions.semantics import (
     min_max,
     month_name,
     n_distinct,
+    only_row,
     ratio,
 )
 from ledgerline.sources.schemas import (
@@ -297,13 +298,15 @@ def normalize(df: DataFrame, columns: Sequence[str] = ("Sales", "Profit", "Quant
     if not present:
         return df
     limits = df.agg(
-        *[F.min(c).alias(f"__low_{c}") for c in present],
-        *[F.max(c).alias(f"__high_{c}") for c in present],
+        *[F.min(c).alias(f"low_{c}") for c in present],
+        *[F.max(c).alias(f"high_{c}") for c in present],
     )
     return (
-        df.crossJoin(F.broadcast(limits))
-        .withColumns({f"{c}_Norm": min_max(c, f"__low_{c}", f"__high_{c}") for c in present})
-        .drop(*limits.columns)
+        df.withColumn("__limits", only_row(limits))
+        .withColumns(
+            {f"{c}_Norm": min_max(c, f"__limits.low_{c}", f"__limits.high_{c}") for c in present}
+        )
+        .drop("__limits")
     )
 
 
@@ -313,7 +316,7 @@ def pipeline_stats(raw: DataFrame, clean: DataFrame) -> DataFrame:
     after = clean.agg(
         F.count(F.lit(1)).alias("Clean_Rows"), F.count_if("Is_Outlier").alias("Outliers")
     )
-    return before.crossJoin(after).select(
+    return before.withColumn("__after", only_row(after)).select("*", "__after.*").select(
         "Raw_Rows",
         (F.col("Raw_Rows") - F.col("__ids")).alias("Duplicates_Removed"),
         (F.col("__ids") - F.col("Clean_Rows")).alias("Invalid_Removed"),

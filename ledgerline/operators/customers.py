@@ -65,10 +65,10 @@ def rfm(df: DataFrame) -> DataFrame:
         ),
         "customers",
     )
-    newest = per_customer.agg(F.max("last_date").alias("newest"))
-    return per_customer.crossJoin(F.broadcast(newest)).select(
+    newest = per_customer.agg(F.max("last_date")).scalar()
+    return per_customer.select(
         *CUSTOMER_KEY,
-        F.date_diff("newest", "last_date").cast("double").alias("Recency"),
+        F.date_diff(newest, "last_date").cast("double").alias("Recency"),
         "Frequency",
         "Monetary",
     )

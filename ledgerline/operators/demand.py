@@ -10,7 +10,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegre
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.semantics import asc, desc
+from ledgerline.functions.semantics import asc, desc, only_row
 from ledgerline.session import durable
 
 FACTORS = ("Category", "Region", "Month")
@@ -141,12 +141,12 @@ def score_demand(model: DemandModel, known: DataFrame, scenarios: DataFrame) ->
     wanted = scenarios.withColumns(
         {"Price": F.col("Price").cast("double"), "Month": F.col("Month").cast("string")}
     )
-    checked = wanted.crossJoin(F.broadcast(levels))
+    checked = wanted.withColumn("levels", only_row(levels))
     is_known = F.lit(True)
     for c in FACTORS:
-        is_known = is_known & F.coalesce(F.array_contains(f"levels_{c}", F.col(c)), F.lit(False))
+        is_known = is_known & F.coalesce(F.array_contains(f"levels.levels_{c}", F.col(c)), F.lit(False))
     is_known = is_known & F.col("Price").isNotNull()
-    checked = checked.withColumn("is_known", is_known).drop(*levels.columns)
+    checked = checked.withColumn("is_known", is_known).drop("levels")
     ready = checked.filter("is_known").withColumn("Quantity", F.lit(0.0))
     scored = model.pipeline.transform(ready).select(
         *wanted.columns, F.col("prediction").alias("Predicted_Quantity")

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions.quantiles import t_quantile_90_col
-from ledgerline.functions.semantics import asc, clamp_at_zero, nz_sum
+from ledgerline.functions.semantics import asc, clamp_at_zero, nz_sum, only_row
 from ledgerline.session import durable
 
 MIN_MONTHS = 6
@@ -159,8 +159,8 @@ def forecast_months(
         fits = _join_groups(fits, totals, group_cols, "inner")
         rows = _join_groups(_horizon(fits, periods), months, [*group_cols, "Month"], "left")
     else:
-        # one row of totals, at most twelve rows of month means
-        fits = fits.crossJoin(F.broadcast(totals))
+        fits = fits.withColumn("season", only_row(totals)).select("*", "season.*").drop("season")
+        # at most twelve rows of month means
         rows = _horizon(fits, periods).join(F.broadcast(months), "Month", "left")
 
     t, n = F.col("future_t"), F.col("n")

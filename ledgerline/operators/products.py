@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ranking import number_rows
-from ledgerline.functions.semantics import asc, desc, mean_of, min_max, n_distinct, nz_sum, ratio
+from ledgerline.functions.semantics import asc, desc, mean_of, min_max, n_distinct, nz_sum, only_row, ratio
 from ledgerline.session import durable
 from ledgerline.sources.schemas import CONTRIBUTION_KEYS
 
@@ -64,9 +64,10 @@ def product_ranking(df: DataFrame) -> DataFrame:
         *[F.max(c).alias(f"high_{c}") for c in SCORE_WEIGHTS],
     )
     parts = [
-        min_max(c, f"low_{c}", f"high_{c}") * F.lit(weight) for c, weight in SCORE_WEIGHTS.items()
+        min_max(c, f"limits.low_{c}", f"limits.high_{c}") * F.lit(weight)
+        for c, weight in SCORE_WEIGHTS.items()
     ]
-    scored = products.crossJoin(F.broadcast(limits)).select(
+    scored = products.withColumn("limits", only_row(limits)).select(
         *products.columns, (parts[0] + parts[1] + parts[2]).alias("Composite_Score")
     )
     ranked = number_rows(scored, [*desc("Composite_Score"), *asc(*PRODUCT_KEY)], "Rank")

@@ -139,9 +139,9 @@ def product_texts(top: DataFrame) -> DataFrame:
 def text_parts(report: Report) -> dict[str, DataFrame]:
     """The printable report: KPI texts, region rows and product rows."""
     count = report.rows.agg(F.count(F.lit(1)).alias("Record_Volume"))
-    cards = report.kpis.crossJoin(F.broadcast(count)).select(
+    cards = report.kpis.select(
         F.lit(report.label).alias("Label"),
-        "Record_Volume",
+        count.scalar().alias("Record_Volume"),
         money(F.col("Revenue")).alias("Revenue"),
         money(F.col("Profit")).alias("Profit"),
         percent(F.col("ProfitMargin"), 2).alias("ProfitMargin"),

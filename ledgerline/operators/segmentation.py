@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.functions.semantics import desc, min_max
+from ledgerline.functions.semantics import desc, min_max, only_row
 from ledgerline.operators.customers import CUSTOMER_KEY, rfm
 from ledgerline.session import durable
 
@@ -40,9 +40,11 @@ def scale_rfm(customers: DataFrame) -> DataFrame:
         *[F.max(c).alias(f"high_{c}") for c in MEASURES],
     )
     return (
-        customers.crossJoin(F.broadcast(limits))
-        .withColumns({s: min_max(c, f"low_{c}", f"high_{c}") for c, s in zip(MEASURES, SCALED)})
-        .drop(*limits.columns)
+        customers.withColumn("limits", only_row(limits))
+        .withColumns(
+            {s: min_max(c, f"limits.low_{c}", f"limits.high_{c}") for c, s in zip(MEASURES, SCALED)}
+        )
+        .drop("limits")
     )
 
 
@@ -70,7 +72,7 @@ def name_segments(centers: DataFrame, k: int) -> DataFrame:
 def _best_model(vectors: DataFrame, k: int, starts: int) -> KMeansModel:
     """The cheapest of several k-means|| starts (each start already samples many seeds)."""
     models = [
-        KMeans(k=k, seed=SEED + i, maxIter=50, tol=1e-6, featuresCol="features").fit(vectors)
+        KMeans(k=k, seed=SEED + i, featuresCol="features").fit(vectors)
         for i in range(starts)
     ]
     return min(models, key=lambda m: m.summary.trainingCost)

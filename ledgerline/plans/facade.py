@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ledgerline.functions.semantics import only_row
 from ledgerline.operators import (
     customers,
     demand,
@@ -60,7 +61,10 @@ class SalesAnalytics:
         segments = self.segment_customers()
         panels = {
             "cleaned_data": self.clean,
-            "kpis": self.sales_metrics().crossJoin(sales.extra_kpis(self.clean)),
+            "kpis": self.sales_metrics()
+            .withColumn("extra", only_row(sales.extra_kpis(self.clean)))
+            .select("*", "extra.*")
+            .drop("extra"),
             "growth": sales.period_growth(sales.monthly_trends(self.clean)),
             "contribution": products.category_contribution(self.clean),
             "forecast": forecast,
