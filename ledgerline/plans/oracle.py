@@ -709,11 +709,12 @@ ORACLE["forecast_by_customer_state"] = with_(
     forecast_ctes("State", periods=3), "SELECT * FROM fc"
 )
 ORACLE["forecast_flat"] = with_(
-    forecast_ctes(where="WHERE Order_Date >= DATE '2001-05-01'"),
-    """SELECT Month_Index, Month_Name, Year, Month, round(my, 0) AS Sales_LR, round(my, 0) AS Sales_ARIMA,
-  round(my * 0.8, 0) AS LR_Lower80, round(my * 1.2, 0) AS LR_Upper80, round(my * 0.8, 0) AS ARIMA_Lower80,
-  round(my * 1.2, 0) AS ARIMA_Upper80, 'Flat Average Fallback' AS method
-FROM fc JOIN ahead ON Month_Index = ft""",
+    forecast_ctes("Customer_ID"),
+    """SELECT Customer_ID, CAST(ft AS BIGINT) AS Month_Index, strftime(label, '%b') AS Month_Name,
+  CAST(year(label) AS INT) AS Year, CAST(month(label) AS INT) AS Month, round(my, 4) AS Sales_LR,
+  round(my, 4) AS Sales_ARIMA, round(my * 0.8, 4) AS LR_Lower80, round(my * 1.2, 4) AS LR_Upper80,
+  round(my * 0.8, 4) AS ARIMA_Lower80, round(my * 1.2, 4) AS ARIMA_Upper80, 'Flat Average Fallback' AS method
+FROM ahead WHERE n < 6""",
 )
 ORACLE["snapshot_texts"] = with_(
     f"{forecast_ctes()}, {CATEGORIES}, {PRODUCTS}".replace(

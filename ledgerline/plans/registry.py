@@ -301,9 +301,9 @@ on_stored_sales(
 _FORECAST = "Order_Date Year Month Sales"
 
 
-def _rounded(df: DataFrame) -> DataFrame:
+def _rounded(df: DataFrame, digits: int = 0) -> DataFrame:
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(c, 0) for c in names})
+    return df.withColumns({c: F.round(c, digits) for c in names})
 
 
 on_sales(
@@ -326,10 +326,13 @@ on_sales(
 )
 on_sales(
     "forecast_flat",
-    _FORECAST,
+    f"{_FORECAST} Customer_ID",
+    # one series per customer; those with fewer than six months get the flat forecast
     lambda df: _rounded(
-        # the newest four months only: too few for a model
-        forecasting.forecast(df.filter(F.col("Order_Date") >= F.lit("2001-05-01").cast("date")))
+        forecasting.forecast(df, group_cols=["Customer_ID"]).filter(
+            F.col("method") == forecasting.METHOD_FLAT
+        ),
+        4,
     ),
 )
 on_sales("forecast_table", _FORECAST, lambda df: _rounded(forecasting.forecast(df)))
