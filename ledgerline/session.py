@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
-
 
 def build_session(app_name: str = "ledgerline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on and UTC dates."""
@@ -32,18 +29,18 @@ def build_session(app_name: str = "ledgerline", master: str | None = None, **con
 def stage_root(spark: SparkSession) -> str:
     """The shared folder for stage tables: ``spark.checkpoint.dir`` of the session.
 
-    A temporary folder is used only on a ``local`` master, where the driver and the
-    executors are one process; anywhere else a missing setting is an error.
+    Where it is unset (tests, a notebook) the tables go beside the session's own tables, below
+    ``spark.sql.warehouse.dir``, which every executor must reach anyway.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    app = spark.conf.get("spark.app.id")
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="ledgerline-")
-    return _local_roots[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """The folder that holds this application's stage tables and nothing else."""
+    return f"{stage_root(spark)}/ledgerline/{spark.conf.get('spark.app.id')}"
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -51,10 +48,29 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
     Unlike a cached frame the table survives lost executors, and unlike a checkpoint it is
     columnar: later passes read only the columns they use, and Spark knows its size when it
-    picks a join. All tables of one application share one folder.
+    picks a join. All tables of one application share one folder; ``discard`` drops one table
+    and ``drop_stages`` the rest.
     """
     spark = df.sparkSession
-    app = spark.conf.get("spark.app.id")
-    path = f"{stage_root(spark)}/ledgerline/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*stages: DataFrame) -> None:
+    """Delete stage tables made by ``durable`` that nothing will read again."""
+    for df in stages:
+        folder = stage_folder(df.sparkSession)
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if f"/ledgerline/{folder.rpartition('/')[2]}/" in path:
+                _delete(df.sparkSession, path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete every stage table of this application; call it when its results are consumed."""
+    _delete(spark, stage_folder(spark))
