@@ -43,5 +43,26 @@ least AS (SELECT id, min(other) AS m FROM reach GROUP BY id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, d.doc_id) AS component_id,
        coalesce(m, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.id = d.doc_id
+""",
+    "op8_cap_filters": f"""
+WITH RECURSIVE
+vectors AS (
+    SELECT vec_id AS id, embedding::DOUBLE[] AS v,
+           len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(v, lambda x: x <> 0)) > 0 AS usable
+    FROM embeddings
+),
+links AS (
+    SELECT a.id AS x, b.id AS y
+    FROM (SELECT * FROM vectors WHERE usable) a JOIN (SELECT * FROM vectors WHERE usable) b
+    ON a.id <> b.id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+),
+nodes AS (SELECT DISTINCT x AS id FROM links),
+{_REACH},
+least AS (SELECT id, min(other) AS m FROM reach GROUP BY id),
+counted AS (SELECT x AS id, count(*) AS n FROM links GROUP BY x)
+SELECT v.id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(m, v.id) AS component_id,
+       coalesce(m, v.id) = v.id AS kept
+FROM vectors v LEFT JOIN counted c ON c.id = v.id LEFT JOIN least l ON l.id = v.id
 """,
 }

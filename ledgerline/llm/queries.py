@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import lsh_forest
+from ledgerline.llm import cap_filters, lsh_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=85)
 
 
+def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), cosine=0.9)
+
+
 QUERIES: dict[str, Query] = {
     "op7_lsh_forest": op7_lsh_forest,
+    "op8_cap_filters": op8_cap_filters,
 }
