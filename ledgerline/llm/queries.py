@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import cap_filters, lsh_forest
+from ledgerline.llm import cap_filters, learned_partitions, lsh_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return learned_partitions.nearest(embeddings, lambda vec_id: vec_id % 50 == 0, k=5)
+
+
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=85)
 
@@ -25,6 +30,7 @@ def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_learned_partitions": op1_learned_partitions,
     "op7_lsh_forest": op7_lsh_forest,
     "op8_cap_filters": op8_cap_filters,
 }
