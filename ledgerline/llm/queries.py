@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import cap_filters, learned_partitions, lsh_forest
+from ledgerline.llm import cap_filters, learned_partitions, lsh_forest, naive_bayes, rule_ensemble
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,20 @@ def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_partitions.nearest(embeddings, lambda vec_id: vec_id % 50 == 0, k=5)
 
 
+def remainder(count: int) -> Column:
+    """Folds of documents: crc32 of doc_id as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % count
+
+
+def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    return rule_ensemble.quality(table(spark, sf_dir, "documents", "doc_id", "text"), labels, remainder(5) == 0)
+
+
+def op3_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naive_bayes.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), remainder(3) == 1)
+
+
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=85)
 
@@ -31,6 +45,8 @@ def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_learned_partitions": op1_learned_partitions,
+    "op2_rule_ensemble": op2_rule_ensemble,
+    "op3_naive_bayes": op3_naive_bayes,
     "op7_lsh_forest": op7_lsh_forest,
     "op8_cap_filters": op8_cap_filters,
 }
