@@ -11,6 +11,21 @@ reach(id, other) AS (
 )"""
 
 ORACLE: dict[str, str] = {
+    "op4_gzip_normaliser": """
+WITH payloads AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex
+    FROM pages
+),
+firsts AS (SELECT hex, min(page_id) AS first FROM payloads GROUP BY hex)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + ((('0x' || substr(p.hex, (1 + 5 * (i // 4))::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31), 1)),
+           '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM payloads p JOIN firsts f ON f.hex = p.hex
+""",
     "op7_lsh_forest": rf"""
 WITH RECURSIVE
 words AS (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import cap_filters, learned_partitions, lsh_forest, naive_bayes, rule_ensemble
+from ledgerline.llm import cap_filters, learned_partitions, lsh_forest, naive_bayes, rule_ensemble, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op3_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naive_bayes.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), remainder(3) == 1)
 
 
+def op4_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"), min_bytes=0).drop("url")
+
+
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=85)
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op1_learned_partitions": op1_learned_partitions,
     "op2_rule_ensemble": op2_rule_ensemble,
     "op3_naive_bayes": op3_naive_bayes,
+    "op4_gzip_normaliser": op4_gzip_normaliser,
     "op7_lsh_forest": op7_lsh_forest,
     "op8_cap_filters": op8_cap_filters,
 }
