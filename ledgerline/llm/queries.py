@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import cap_filters, learned_partitions, lsh_forest, naive_bayes, rule_ensemble, warc
+from ledgerline.llm import cap_filters, entropy_mix, learned_partitions, lsh_forest, naive_bayes, rule_ensemble, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), cosine=0.9)
 
 
+def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix.mixture(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_learned_partitions": op1_learned_partitions,
     "op2_rule_ensemble": op2_rule_ensemble,
@@ -54,4 +58,5 @@ QUERIES: dict[str, Query] = {
     "op4_gzip_normaliser": op4_gzip_normaliser,
     "op7_lsh_forest": op7_lsh_forest,
     "op8_cap_filters": op8_cap_filters,
+    "op10_entropy_mix": op10_entropy_mix,
 }

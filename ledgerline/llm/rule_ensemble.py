@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.names import fresh
 from ledgerline.llm.trees import boost
 
 SAMPLE = 8_000
@@ -61,15 +62,6 @@ def features(s: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not have, whatever the case of its own."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def with_features(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
     """The rows with the features added under unused names, which are returned in order.
 
