@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import cap_filters, entropy_mix, learned_partitions, lsh_forest, naive_bayes, rule_ensemble, warc
+from ledgerline.llm import (
+    best_fit,
+    cap_filters,
+    entropy_mix,
+    learned_partitions,
+    lsh_forest,
+    naive_bayes,
+    rule_ensemble,
+    transcripts,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +49,12 @@ def op4_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"), min_bytes=0).drop("url")
 
 
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by words; texts that differ in case and white space alone are one cluster."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return best_fit.pack(best_fit.items_of(docs))
+
+
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=85)
 
@@ -47,6 +63,11 @@ def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), cosine=0.9)
 
 
+def op9_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return transcripts.parse(transcripts.transcripts(conversations), transcripts.fit(conversations))
+
+
 def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mixture(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -56,7 +77,9 @@ QUERIES: dict[str, Query] = {
     "op2_rule_ensemble": op2_rule_ensemble,
     "op3_naive_bayes": op3_naive_bayes,
     "op4_gzip_normaliser": op4_gzip_normaliser,
+    "op5_best_fit": op5_best_fit,
     "op7_lsh_forest": op7_lsh_forest,
     "op8_cap_filters": op8_cap_filters,
+    "op9_transcripts": op9_transcripts,
     "op10_entropy_mix": op10_entropy_mix,
 }
