@@ -14,6 +14,7 @@ from ledgerline.llm import (
     learned_partitions,
     lsh_forest,
     naive_bayes,
+    pii,
     rule_ensemble,
     transcripts,
     warc,
@@ -55,6 +56,11 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(best_fit.items_of(docs))
 
 
+def op6_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=85)
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op3_naive_bayes": op3_naive_bayes,
     "op4_gzip_normaliser": op4_gzip_normaliser,
     "op5_best_fit": op5_best_fit,
+    "op6_candidate_boosting": op6_candidate_boosting,
     "op7_lsh_forest": op7_lsh_forest,
     "op8_cap_filters": op8_cap_filters,
     "op9_transcripts": op9_transcripts,
