@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerline.llm.grouped import by_group, components, forest_edges
+from ledgerline.llm.names import fresh
 from ledgerline.llm.words import _FOLD, U, digest, mix, shingle_set, word_hashes
 from ledgerline.session import discard, durable
 
@@ -228,3 +229,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         )
     )
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one of each near-duplicate group, the one with the least doc_id.
+
+    All columns stay. Rows with a null doc_id all stay. Of rows that repeat a doc_id the one with
+    the least text stays, if the group's document is one of them.
+    """
+    dropped = near_duplicates(docs, words, percent).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    dropped = durable(dropped, "dropped")
+    row = fresh(docs, "row")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
+    rows = rows.join(dropped, F.col(f"{row}.doc_id").cast("long") == F.col("gone"), "left_anti")
+    named = F.col(f"{row}.doc_id").isNotNull()
+    first = F.row_number().over(W.partitionBy(F.col(f"{row}.doc_id")).orderBy(F.col(f"{row}.text").asc_nulls_last()))
+    number = f"{row}_number"
+    single = rows.filter(named).withColumn(number, first).filter(F.col(number) == 1).select(row)
+    return single.unionByName(rows.filter(~named).select(row)).select(f"{row}.*")
