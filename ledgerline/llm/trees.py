@@ -56,12 +56,17 @@ def cut_points(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def grow(x, codes, cuts, gradient, hessian, depth: int, least: int, rate: float) -> Tree:
-    tree = Tree()
+def grow(codes, cuts, gradient, hessian, rows, depth: int, least: int, rate: float) -> Tree:
+    """One tree over the given rows, whose features are numbers of the intervals between cuts.
 
-    def split(rows: np.ndarray, left_depth: int) -> int:
-        node = tree.add()
-        g, h = gradient[rows].sum(), hessian[rows].sum()
+    Nodes wait on a stack: a recursive inner function would keep every tree's arrays in a cycle.
+    """
+    tree = Tree()
+    todo = [(tree.add(), rows, depth)]
+    while todo:
+        node, rows, left_depth = todo.pop()
+        own_g, own_h = gradient[rows], hessian[rows]
+        g, h = own_g.sum(), own_h.sum()
         tree.value[node] = -rate * g / (h + 1.0)
         best = (1e-6, -1, 0)
         if left_depth and len(rows) >= 2 * least:
@@ -70,8 +75,8 @@ def grow(x, codes, cuts, gradient, hessian, depth: int, least: int, rate: float)
                     continue
                 own = codes[rows, f]
                 size = np.cumsum(np.bincount(own, minlength=len(points) + 1))[:-1]
-                gl = np.cumsum(np.bincount(own, gradient[rows], len(points) + 1))[:-1]
-                hl = np.cumsum(np.bincount(own, hessian[rows], len(points) + 1))[:-1]
+                gl = np.cumsum(np.bincount(own, own_g, len(points) + 1))[:-1]
+                hl = np.cumsum(np.bincount(own, own_h, len(points) + 1))[:-1]
                 gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
                 gain[(size < least) | (len(rows) - size < least)] = 0
                 if gain.max() > best[0]:
@@ -79,11 +84,8 @@ def grow(x, codes, cuts, gradient, hessian, depth: int, least: int, rate: float)
         if best[1] >= 0:
             goes = codes[rows, best[1]] <= best[2]
             tree.feature[node], tree.threshold[node] = best[1], float(cuts[best[1]][best[2]])
-            tree.left[node] = split(rows[goes], left_depth - 1)
-            tree.right[node] = split(rows[~goes], left_depth - 1)
-        return node
-
-    split(np.arange(len(x)), depth)
+            tree.left[node], tree.right[node] = tree.add(), tree.add()
+            todo += [(tree.left[node], rows[goes], left_depth - 1), (tree.right[node], rows[~goes], left_depth - 1)]
     return tree
 
 
@@ -103,7 +105,8 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int, depth: int = 3, rate: float
     """Logistic boosting; each round sees a ``share`` of the rows."""
     draw = np.random.default_rng(seed)
     cuts = cut_points(x)
-    codes = np.stack([np.searchsorted(c, column, side="left") for c, column in zip(cuts, x.T)], axis=1)
+    # column by column, a byte each: BINS is below 256
+    codes = np.stack([np.searchsorted(c, column, side="left").astype(np.uint8) for c, column in zip(cuts, x.T)]).T
     mean = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model = Boosted(float(np.log(mean / (1 - mean))), [])
     logits = np.full(len(x), model.base)
@@ -112,7 +115,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int, depth: int = 3, rate: float
         rows = np.flatnonzero(draw.random(len(x)) < share) if share < 1 else np.arange(len(x))
         if len(rows) < 2 * least:
             break
-        tree = grow(x[rows], codes[rows], cuts, (chance - y)[rows], (chance * (1 - chance))[rows], depth, least, rate)
+        tree = grow(codes, cuts, chance - y, chance * (1 - chance), rows, depth, least, rate)
         model.trees.append(tree)
         logits = logits + tree.predict(x)
     return model
