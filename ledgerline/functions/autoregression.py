@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 MAX_ORDER = 3
-MAX_DIFFERENCE = 1
 
 
 def _fit(values: np.ndarray, order: int, skip: int) -> tuple[np.ndarray, float, float]:

@@ -62,16 +62,33 @@ def _after(star: Star, **changes: DataFrame) -> dict[str, DataFrame]:
 # --- master data --------------------------------------------------------------------------
 
 
+def _gap(columns: Sequence[str]) -> Column:
+    """The first of the columns that is NULL, as a reason; NULL when none is."""
+    return F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in columns])
+
+
 def _split_new(
-    batch: DataFrame, key: str, values: Sequence[str], existing: DataFrame, seq: Sequence[str], label: str
+    batch: DataFrame,
+    key: str,
+    values: Sequence[str],
+    existing: DataFrame,
+    seq: Sequence[str],
+    label: str,
+    required: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """New keys with their first row's values, and per key how many rows were turned away.
+    """New keys with their first sound row's values, and per key how many rows were turned away.
+
+    Rows without a key or a ``required`` value are turned away before anything is numbered.
 
     Rows are combined per key before the shuffle, so a key that fills the batch is one row.
     """
     place = F.struct(*seq)
+    judged = batch.withColumn("gap", _gap((key, *required)))
+    gaps = judged.filter("gap IS NOT NULL").groupBy(F.col(key).alias("key"), F.col("gap").alias("reason")).agg(
+        F.count(F.lit(1)).alias("rejected_rows")
+    )
     per_key = durable(
-        batch.groupBy(key).agg(
+        judged.filter("gap IS NULL").groupBy(key).agg(
             first_by(F.struct(F.lit(1).alias("one"), *values), seq).alias("first"),
             F.min(place).alias("first_place"),
             F.count(F.lit(1)).alias("rows"),
@@ -89,14 +106,20 @@ def _split_new(
             (F.col("rows") - 1).alias("rejected_rows"),
             F.lit(REPEATED).alias("reason"),
         )
-    )
+    ).unionByName(gaps)
     return new.select(key, "first_place", *[F.col(f"first.{v}").alias(v) for v in values]), rejects
 
 
 def add_customers(star: Star, batch: DataFrame, seq: Sequence[str], at: Column) -> Changed:
     """Insert customers (customer_code, customer_name, city, state); known codes are rejected."""
     new, rejects = _split_new(
-        batch, "customer_code", ("customer_name", "city", "state"), star["customers"], seq, "new-customers"
+        batch,
+        "customer_code",
+        ("customer_name", "city", "state"),
+        star["customers"],
+        seq,
+        "new-customers",
+        required=("customer_name",),
     )
     rows = number_rows(
         new, asc("first_place"), "customer_id", after=_last_id(star["customers"], "customer_id")
@@ -146,7 +169,13 @@ def add_products(star: Star, batch: DataFrame, seq: Sequence[str], at: Column) -
     if "stock" not in batch.columns:
         batch = batch.withColumn("stock", F.lit(DEFAULT_STOCK))
     new, rejects = _split_new(
-        batch, "product_name", ("category_name", "price", "stock"), star["products"], seq, "new-products"
+        batch,
+        "product_name",
+        ("category_name", "price", "stock"),
+        star["products"],
+        seq,
+        "new-products",
+        required=("category_name", "price"),
     )
     wanted = new.groupBy("category_name").agg(F.min("first_place").alias("first_place"))
     new_categories = _new_names(wanted, star["categories"], "category_name", "category_id")
@@ -186,12 +215,7 @@ def _item_problem() -> Column:
 
 
 def _order_problem() -> Column:
-    gaps = [
-        F.when(F.col(c).isNull(), F.lit(f"{c} is missing"))
-        for c in ORDER_COLUMNS
-        if c not in _OPTIONAL
-    ]
-    return F.coalesce(*gaps, _item_problem())
+    return F.coalesce(_gap([c for c in ORDER_COLUMNS if c not in _OPTIONAL]), _item_problem())
 
 
 def _sync_customers(star: Star, batch: DataFrame, seq: Sequence[str], at: Column) -> DataFrame:
@@ -376,7 +400,8 @@ def update_items(star: Star, updates: DataFrame, seq: Sequence[str]) -> Changed:
     away; stock stays as it is.
     """
     values = ("quantity", "price_per_unit", "sales", "profit")
-    judged = updates.withColumn("problem", _item_problem())
+    needed = ("order_code", "product_name", *values)
+    judged = updates.withColumn("problem", F.coalesce(_gap(needed), _item_problem()))
     last = judged.filter("problem IS NULL").groupBy("order_code", "product_name").agg(
         last_by(F.struct(*values), seq).alias("new")
     )

@@ -56,12 +56,28 @@ def _typed(name: str, found: T.DataType, wanted: T.DataType) -> Column:
         return value
     if isinstance(wanted, T.DateType) and isinstance(found, T.StringType):
         return F.coalesce(*[F.try_to_date(value, layout) for layout in DATE_LAYOUTS])
-    if isinstance(wanted, T.IntegerType):
+    if isinstance(wanted, T.LongType):
         # text like "3.7" is a number first and loses its fraction second
-        return value.try_cast("double").try_cast("int")
+        return F.coalesce(value.try_cast("long"), value.try_cast("double").try_cast("long"))
     return value.try_cast(wanted)
 
 
+def unreadable(df: DataFrame) -> DataFrame:
+    """The rows of ``convert_types``'s input that hold a value it cannot read, with ``Unread``.
+
+    ``Unread`` names the columns. Such a value becomes NULL and is imputed, or its row leaves with
+    the invalid ones; this frame tells those rows from the ones that had no value to begin with.
+    """
+    found = {f.name: f.dataType for f in df.schema.fields}
+    typed = [c for c, wanted in SALES_TYPES.items() if c in found and found[c] != wanted]
+    if not typed:
+        return df.withColumn("Unread", F.lit("")).limit(0)
+    lost = [
+        F.when(~is_missing(c) & _typed(c, found[c], SALES_TYPES[c]).isNull(), F.lit(c)) for c in typed
+    ]
+    return df.withColumn("Unread", F.concat_ws(",", *lost)).filter("Unread <> ''")
+
+
 def convert_types(df: DataFrame) -> DataFrame:
     """Text columns to dates, whole numbers and money; what cannot be read becomes NULL.
 

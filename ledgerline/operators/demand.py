@@ -23,6 +23,7 @@ FAILED_TEXT = "Prediction failed. Verify predictor configuration."
 RESULT_TEXT = "Predicted Quantity Demand: %.1f units per transaction (using %s)"
 TREES = 100
 SEED = 123
+LEAF_ROWS = 5
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,8 @@ def train_forest(rows: DataFrame, trees: int = TREES, max_depth: int = 5) -> Dem
         numTrees=trees,
         maxDepth=max_depth,
         maxBins=max(32, *(levels[c] + 1 for c in FACTORS)),
-        featureSubsetStrategy="onethird",
+        featureSubsetStrategy="1",  # a third of four, rounded down
+        minInstancesPerNode=LEAF_ROWS,
         seed=SEED,
     )
     assembler = VectorAssembler(inputCols=inputs, outputCol="features")

@@ -94,7 +94,6 @@ def seasonal_fit(series: DataFrame, group_cols: Sequence[str] = ()) -> tuple[Dat
     zero = F.lit(0.0)
     totals = months.groupBy(*group_cols).agg(
         F.count(F.lit(1)).cast("double").alias("n_months"),
-        F.collect_set("Month").alias("known_months"),
         F.sum(F.coalesce("m_sxx", zero)).alias("w_sxx"),
         F.sum(F.coalesce("m_sxy", zero)).alias("w_sxy"),
         F.sum(F.coalesce("m_syy", zero)).alias("w_syy"),

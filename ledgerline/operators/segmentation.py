@@ -24,6 +24,7 @@ LAST_SEGMENT = "At Risk"
 OTHER_SEGMENT = "Loyal Customers"
 ONLY_SEGMENT = "Valued Partners"
 SEED = 123
+STARTS = 25
 
 
 @dataclass(frozen=True)
@@ -78,11 +79,12 @@ def _best_model(vectors: DataFrame, k: int, starts: int) -> KMeansModel:
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def segment_customers(df: DataFrame, k: int = 3, starts: int = 5) -> Segments | None:
+def segment_customers(df: DataFrame, k: int = 3, starts: int = STARTS) -> Segments | None:
     """Cluster the customers of a sales table; None when it is empty.
 
     k falls to the number of different RFM points when there are fewer than k. The RFM table
-    is stored once; k-means passes over its three columns.
+    is stored once; k-means passes over its three columns. Clusters are numbered by the rank of
+    their centers (frequency + spend - recency, best first), whatever order k-means found them in.
     """
     customers = durable(rfm(df), "rfm")
     points = durable(scale_rfm(customers), "rfm-scaled")
@@ -100,13 +102,14 @@ def segment_customers(df: DataFrame, k: int = 3, starts: int = 5) -> Segments |
     passes = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     model = _best_model(passes, k, starts)
     passes.unpersist()
+    found = [tuple(map(float, c)) for c in model.clusterCenters()]
+    order = sorted(range(len(found)), key=lambda i: (found[i][0] - found[i][1] - found[i][2], found[i]))
+    number = F.element_at(F.array(*[F.lit(order.index(i) + 1) for i in range(len(found))]), F.col("prediction") + 1)
     clustered = (
-        model.transform(vectors)
-        .withColumn("Cluster", F.col("prediction") + 1)
-        .select(*CUSTOMER_KEY, *MEASURES, "Cluster")
+        model.transform(vectors).withColumn("Cluster", number).select(*CUSTOMER_KEY, *MEASURES, "Cluster")
     )
     centers = df.sparkSession.createDataFrame(
-        [(i + 1, *map(float, c)) for i, c in enumerate(model.clusterCenters())],
+        [(n + 1, *found[i]) for n, i in enumerate(order)],
         "Cluster int, R_Norm double, F_Norm double, M_Norm double",
     )
     names = F.broadcast(name_segments(centers, k))  # k rows

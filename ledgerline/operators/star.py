@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -355,6 +356,23 @@ STAR_RULES: tuple[Unique | ForeignKey | Check, ...] = (
     Unique("products", ("product_name",)),
     Unique("orders", ("order_id",)),
     Unique("orders", ("order_code",)),
+    Unique("order_items", ("order_item_id",)),
+    *(
+        Check(table, f"{column} is missing", f"{column} IS NOT NULL", key)
+        for table, key, columns in (
+            ("categories", ("category_id",), ("category_id", "category_name")),
+            ("regions", ("region_id",), ("region_id", "region_name")),
+            ("customers", ("customer_id",), ("customer_id", "customer_code", "customer_name")),
+            ("products", ("product_id",), ("product_id", "product_name", "category_id", "price", "stock")),
+            ("orders", ("order_id",), ("order_id", "order_code", "customer_id", "order_date", "region_id")),
+            (
+                "order_items",
+                ("order_item_id",),
+                ("order_item_id", "order_id", "product_id", "quantity", "price_per_unit", "sales", "profit"),
+            ),
+        )
+        for column in columns
+    ),
     ForeignKey("products", "category_id", "categories", "category_id"),
     ForeignKey("orders", "customer_id", "customers", "customer_id"),
     ForeignKey("orders", "region_id", "regions", "region_id"),
@@ -366,7 +384,7 @@ STAR_RULES: tuple[Unique | ForeignKey | Check, ...] = (
 )
 
 
-def _violations(star: Star, rule: Unique | ForeignKey | Check) -> DataFrame:
+def _violations(star: Star, rule: Unique | ForeignKey) -> DataFrame:
     df = star[rule.table]
 
     def key_text(columns: Sequence[str]) -> Column:
@@ -380,30 +398,40 @@ def _violations(star: Star, rule: Unique | ForeignKey | Check) -> DataFrame:
             .filter("n > 1")
             .select(key_text(rule.columns).alias("key"), "n")
         )
-    elif isinstance(rule, ForeignKey):
+    else:
         name = f"{rule.column} -> {rule.parent}.{rule.parent_column}"
         # one row per distinct key before the anti-join, however often a key occurs
         used = df.groupBy(rule.column).agg(F.count(F.lit(1)).alias("n"))
         parent = star[rule.parent].select(F.col(rule.parent_column).alias(rule.column))
         bad = used.join(parent, rule.column, "left_anti").select(key_text((rule.column,)).alias("key"), "n")
-    else:
-        name = rule.name
-        bad = (
-            df.filter(~F.expr(rule.holds))
-            .groupBy(key_text(rule.key).alias("key"))
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
     return bad.select(
         F.lit(rule.table).alias("table_name"), F.lit(name).alias("rule_name"), "key", "n"
     )
 
 
+def _row_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """The violations of all row checks of one table, found in one pass over it."""
+    failed = [
+        F.when(
+            ~F.expr(rule.holds),
+            F.struct(
+                F.lit(rule.name).alias("rule_name"),
+                F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in rule.key]).alias("key"),
+            ),
+        )
+        for rule in checks
+    ]
+    found = df.select(F.explode(F.array_compact(F.array(*failed))).alias("bad"))
+    return found.groupBy(F.lit(checks[0].table).alias("table_name"), "bad.rule_name", "bad.key").agg(
+        F.count(F.lit(1)).alias("n")
+    ).select("table_name", "rule_name", "key", "n")
+
+
 def check_constraints(
     star: Star, rules: Sequence[Unique | ForeignKey | Check] = STAR_RULES
 ) -> DataFrame:
     """All violations: table, rule, offending key and number of rows; empty when sound."""
-    parts = [_violations(star, r) for r in rules if r.table in star]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    parts = [_violations(star, r) for r in rules if r.table in star and not isinstance(r, Check)]
+    for table in dict.fromkeys(r.table for r in rules if isinstance(r, Check) and r.table in star):
+        parts.append(_row_checks(star[table], [r for r in rules if isinstance(r, Check) and r.table == table]))
+    return reduce(DataFrame.unionByName, parts)

@@ -158,12 +158,7 @@ on_star("proc_top_customers", star.top_customers)
 on_star("sales_by_date", lambda t: sales.sales_between(star.sales_summary(t), DATE_FROM, DATE_TO))
 on_star("sales_by_category", lambda t: sales.sales_in_category(star.sales_summary(t), FILTER_CATEGORY))
 on_star("sales_by_region", lambda t: sales.sales_in_region(star.sales_summary(t), FILTER_REGION))
-on_star(
-    "constraint_violations",
-    lambda t: star.check_constraints(
-        t, (*star.STAR_RULES, star.Unique("order_items", ("order_item_id",)))
-    ),
-)
+on_star("constraint_violations", star.check_constraints)
 
 
 def _star_part(name: str) -> Query:
@@ -360,13 +355,13 @@ _DEMAND_COLUMNS = ("Quantity", "Category", "Price", "Region", "Month")
 register(
     "segments",
     lambda s, d: segmentation.segment_customers(
-        tpch.flat_sales(Tables(s, d), _RFM_COLUMNS), starts=3
+        tpch.flat_sales(Tables(s, d), _RFM_COLUMNS)
     ).data,
 )
 register(
     "segment_profile",
     lambda s, d: segmentation.segment_customers(
-        tpch.flat_sales(Tables(s, d), _RFM_COLUMNS), starts=3
+        tpch.flat_sales(Tables(s, d), _RFM_COLUMNS)
     ).centroids,
 )
 

@@ -15,12 +15,14 @@ from ledgerline.sources.schemas import RAW_SCHEMA, REQUIRED_COLUMNS, SALES_TYPES
 def read_sales_csv(spark: SparkSession, path: str) -> DataFrame | None:
     """All columns as text (typing is a later step); None when the path cannot be read.
 
-    The header decides the column names, so that validation sees what the file really holds.
+    The header decides the column names, so that validation sees what the file really holds. All
+    files of a folder must have the columns in the same order: a file whose header differs fails
+    the read instead of being read by position.
     """
     try:
         header = spark.read.option("header", True).csv(path).columns
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        return spark.read.option("header", True).schema(schema).csv(path)
+        return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
     except AnalysisException:
         return None
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(12, 2)
+# amounts below 10^14; sums and quotients of it keep at least nine decimals
+MONEY = T.DecimalType(16, 2)
 
 # The flat sales record, in order.
 REQUIRED_COLUMNS = (
@@ -56,7 +57,7 @@ SALES_TYPES: dict[str, T.DataType] = {
     "Customer_Name": _S,
     "Product": _S,
     "Category": _S,
-    "Quantity": _I,
+    "Quantity": _L,
     "Price": MONEY,
     "Sales": MONEY,
     "Profit": MONEY,
@@ -67,24 +68,7 @@ SALES_TYPES: dict[str, T.DataType] = {
 
 RAW_SCHEMA = T.StructType([T.StructField(c, _S) for c in REQUIRED_COLUMNS])
 SALES_SCHEMA = T.StructType([T.StructField(c, t) for c, t in SALES_TYPES.items()])
-CLEAN_SCHEMA = T.StructType(
-    SALES_SCHEMA.fields
-    + [
-        T.StructField("Year", _I),
-        T.StructField("Month", _I),
-        T.StructField("Quarter", _S),
-        T.StructField("Month_Name", _S),
-        T.StructField("Profit_Margin", T.DoubleType()),
-        T.StructField("Is_Outlier", T.BooleanType()),
-    ]
-)
 
-AUDIT_SCHEMA = T.StructType(
-    [
-        T.StructField(c, _S)
-        for c in ("Audit_ID", "Order_ID", "Issue", "Action", "Time", "Status")
-    ]
-)
 
 # Star tables. Ids are 64-bit: order and item counts outgrow 32 bits.
 STAR_SCHEMAS: dict[str, T.StructType] = {
@@ -127,12 +111,3 @@ STAR_SCHEMAS: dict[str, T.StructType] = {
         ("profit", MONEY, False),
     ),
 }
-
-DELETED_ORDERS_SCHEMA = _schema(
-    ("log_id", _L, False),
-    ("order_id", _L, True),
-    ("order_code", _S, True),
-    ("customer_id", _L, True),
-    ("order_date", _D, True),
-    ("deleted_at", _TS, True),
-)

@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from ledgerline.session import build_session  # noqa: E402
+from ledgerline.session import build_session, drop_stages  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -24,6 +24,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_stages(session)
     session.stop()
 
 

@@ -183,3 +183,31 @@ def test_delete_log_continues(spark, at):
     assert rows(second.tables["deleted_orders_log"], "log_id", "order_code") == [(1, "O10"), (2, "O11")]
     assert rows(second.tables["orders"], "order_code") == [("EMPTY",)]
     assert second.tables["order_items"].isEmpty()
+
+
+def test_rows_with_gaps_are_turned_away(spark, at):
+    tables = make_star(spark)
+    customers = spark.createDataFrame(
+        [(1, None, "x", None, None), (2, "NEW", None, None, None), (3, "NEW", "Ada", None, None)],
+        "seq long, customer_code string, customer_name string, city string, state string",
+    )
+    got = changes.add_customers(tables, customers, ["seq"], at)
+    assert rows(got.rejects) == sorted(
+        [(None, 1, "customer_code is missing"), ("NEW", 1, "customer_name is missing")], key=repr
+    )
+    assert rows(got.added["customers"], "customer_code", "customer_name") == [("NEW", "Ada")]
+    products = spark.createDataFrame(
+        [(1, "P1", None, D("1.00")), (2, "P2", "Toys", None)],
+        "seq long, product_name string, category_name string, price decimal(12,2)",
+    )
+    got = changes.add_products(tables, products, ["seq"], at)
+    assert rows(got.rejects, "reason") == [("category_name is missing",), ("price is missing",)]
+    assert got.added["products"].isEmpty() and got.added["categories"].isEmpty()
+    updates = spark.createDataFrame(
+        [(1, "O10", "Shirt", None, D("1.00"), D("1.00"), D("1.00"))],
+        "seq long, order_code string, product_name string, quantity int, price_per_unit decimal(12,2), "
+        "sales decimal(12,2), profit decimal(12,2)",
+    )
+    got = changes.update_items(tables, updates, ["seq"])
+    assert rows(got.rejects) == [("O10", "Shirt", "quantity is missing")]
+    assert rows(got.tables["order_items"]) == rows(tables["order_items"])

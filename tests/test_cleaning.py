@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal as D
 
+import pytest
 from conftest import rows
 from fixtures import placed, record, sales
 from pyspark.sql import functions as F
@@ -203,3 +204,21 @@ def test_file_order_follows_the_file(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == list(range(20000))
+
+
+def test_large_amounts_stay_and_unreadable_values_are_told(spark):
+    raw = spark.createDataFrame(
+        [("1", "12345678901.25", "3000000000"), ("2", "abc", "2.7"), ("3", None, "NA")],
+        "Order_ID string, Sales string, Quantity string",
+    )
+    typed = {r.Order_ID: r for r in cleaning.convert_types(raw).collect()}
+    assert str(typed["1"].Sales) == "12345678901.25" and typed["1"].Quantity == 3_000_000_000
+    assert typed["2"].Sales is None and typed["2"].Quantity == 2
+    assert [(r.Order_ID, r.Unread) for r in cleaning.unreadable(raw).collect()] == [("2", "Sales")]
+
+
+def test_files_with_other_headers_fail_instead_of_mixing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Order_ID,Quantity,Price\n1,2,7\n")
+    (tmp_path / "b.csv").write_text("Order_ID,Price,Quantity\n2,7,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_sales_csv(spark, str(tmp_path)).collect()

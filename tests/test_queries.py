@@ -7,6 +7,7 @@ import pytest
 from check_oracle import TABLES, rows_of
 
 from __spark_entry__ import entry, oracle_sql, queries
+from ledgerline.plans.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 # Model-based results have no SQL counterpart; their tests are in test_models and test_forecast.
@@ -30,7 +31,7 @@ def con():
 
 
 def test_every_query_has_sql_or_is_a_model():
-    assert set(queries()) - set(oracle_sql()) == MODELS
+    assert set(QUERIES) - set(oracle_sql()) == MODELS
     assert set(oracle_sql()) <= set(queries())
 
 
@@ -38,7 +39,7 @@ def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - MODELS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - MODELS))
 def test_query_matches_sql(spark, con, name):
     df = queries()[name](spark, SF_DIR)
     ours = rows_of(df.columns, [tuple(r) for r in df.collect()])
