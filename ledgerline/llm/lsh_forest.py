@@ -4,8 +4,10 @@ Each distinct shingle set gets 128 minhashes and takes a place in several trees;
 the sets by another rotation of the signature. Sets that share a tree's first ``DEPTH`` values
 form a region. A region of more than ``WIDTH`` sets is read deeper, each set down to the first
 depth at which so few share its prefix; its most central members, those whose deep prefixes most
-others share, are also held against every member, which joins what the deeper reading parts.
-Neighbours that agree in enough of the 128 values are confirmed on their full sets.
+others share, are also held against every member, which joins most of what the deeper reading parts.
+Neighbours that agree in enough of the 128 values are confirmed on their full sets. What is then
+still outside a large region's main component is held against the whole region, so that every
+pair of a region that could join two components has been compared.
 """
 
 from __future__ import annotations
@@ -78,11 +80,18 @@ def _sketches(docs: DataFrame, words: int, trees: int) -> DataFrame:
     )
 
 
-def _blocks(classes: DataFrame) -> DataFrame:
-    """(block, id): at most about WIDTH + CENTRAL sets a block, those of one region or part of it."""
+def _members(classes: DataFrame) -> DataFrame:
+    """(key, id, tree, size): the sets of all regions of more than one."""
     exploded = classes.select("id", F.posexplode("keys").alias("tree", "key"))
     regions = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = durable(exploded.join(regions, "key"), "regions")
+    return durable(exploded.join(regions, "key"), "regions")
+
+
+def _blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(block, id, root): at most about WIDTH + CENTRAL sets a block, those of one region or part of it.
+
+    No set is linked yet: each is its own root.
+    """
     small = members.filter(F.col("size") <= WIDTH).select(F.col("key").alias("block"), "id")
     large = members.filter(F.col("size") > WIDTH).join(classes.select("id", "sig"), "id")
 
@@ -125,11 +134,40 @@ def _blocks(classes: DataFrame) -> DataFrame:
         .withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
         .select(F.xxhash64("region", F.lit("central"), "part").alias("block"), "id")
     )
-    return small.unionByName(deep).unionByName(spread).unionByName(central).distinct()
+    every = small.unionByName(deep).unionByName(spread).unionByName(central).distinct()
+    return every.withColumn("root", F.col("id"))
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(block, id, root): in each large region the sets outside its main component against all its sets.
+
+    Both sides are dealt into chunks of about WIDTH, and a block holds one chunk of each; so two
+    sets of a region that have different roots meet in some block. Regions of one root give none.
+    """
+    known = roots.select(F.col("node").alias("id"), "root")
+    rooted = durable(
+        members.filter(F.col("size") > WIDTH).select("key", "id", "size").join(known, "id", "left")
+        .withColumn("root", F.coalesce("root", "id")),
+        "rooted",
+    )
+    shares = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = shares.groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("apart")
+    )
+    rows = rooted.join(main.filter("apart > 0"), "key").withColumn("own", F.xxhash64("id"))
+    chunks, others = F.ceil(F.col("size") / WIDTH), F.ceil(F.col("apart") / WIDTH)
+    rows = rows.withColumn("chunks", chunks).withColumn("others", others)
+    whole = rows.withColumn("other", F.explode(F.expr("sequence(0L, others - 1)"))).select(
+        F.xxhash64("key", F.pmod("own", "chunks"), "other").alias("block"), "id", "root"
+    )
+    outside = rows.filter("root <> main").withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).select(
+        F.xxhash64("key", "chunk", F.pmod("own", "others")).alias("block"), "id", "root"
+    )
+    return whole.unionByName(outside).distinct()
 
 
 def _candidates(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(part, id): sets whose signatures agree nearly as much as the threshold, chained per block."""
+    """(part, id): sets of different roots whose signatures agree nearly as much as the threshold, chained per block."""
     spread = math.sqrt(percent / 100 * (1 - percent / 100) / VALUES)
     enough = math.floor(VALUES * (percent / 100 - 5 * spread))
 
@@ -137,7 +175,7 @@ def _candidates(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFram
         if len(rows) < 2:
             return None
         sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(len(rows), VALUES)
-        ids, n = rows["id"].to_numpy(), rows["n"].to_numpy()
+        ids, n, roots = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["root"].to_numpy()
         if len(rows) == 2:
             linked = np.full((2, 2), (sig[0] == sig[1]).sum() >= enough)
         else:
@@ -146,7 +184,7 @@ def _candidates(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFram
                 equal += value[:, None] == value[None, :]
             linked = equal >= enough
         linked &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
-        np.fill_diagonal(linked, False)
+        linked &= roots[:, None] != roots[None, :]
         if not linked.any():
             return None
         a, b = forest_edges(ids, linked)
@@ -211,8 +249,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .select(F.col("d1").alias("id"), "d2", "doc_id", "of.n", "of.keys", "of.sig"),
         "classes",
     )
-    parts = durable(_candidates(_blocks(classes), classes, percent), "parts")
-    roots = components(durable(_confirmed(parts, classes, docs, words, percent), "links"))
+    members = _members(classes)
+
+    def links(blocks: DataFrame) -> DataFrame:
+        parts = durable(_candidates(blocks, classes, percent), "parts")
+        return durable(_confirmed(parts, classes, docs, words, percent), "links")
+
+    roots = components(links(_blocks(members, classes)))
+    if not members.filter(F.col("size") > WIDTH).isEmpty():
+        roots = durable(roots, "roots")
+        more = links(_apart(members, roots))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     linked = classes.select("id", "d2", "doc_id").join(roots, F.col("id") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = linked.join(least, "root").select(F.col("id").alias("d1"), "d2", F.col("component_id").alias("linked_id"))

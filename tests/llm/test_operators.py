@@ -108,6 +108,26 @@ def test_large_regions_are_split_and_joined_again(spark, monkeypatch):
     assert {r.component_id for r in found} == {0}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chains_through_large_regions_equal_brute_force(spark, monkeypatch, seed):
+    """Members link to their neighbours in a chain alone, far from any center of their regions."""
+    monkeypatch.setattr(lsh_forest, "WIDTH", 4)
+    monkeypatch.setattr(lsh_forest, "CENTRAL", 1)
+    draw, rows = random.Random(seed), []
+    own = [f"b{i}" for i in range(300)]
+    for i in range(70):
+        for _ in range(draw.choice((5, 6, 6, 9))):
+            own[draw.randrange(300)] = f"y{draw.randrange(10**6)}"
+        rows.append((i, " ".join(own), "en", "s"))
+    draw.shuffle(rows)
+    sets = {i: shingles(t, 3) for i, t, *_ in rows}
+    links = [(i, j) for i in sets for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    want = brute_components(list(sets), links)
+    assert len(set(want.values())) > 1
+    found = lsh_forest.near_duplicates(docs_of(spark, rows), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     found = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in lsh_forest.near_duplicates(awkward(spark), 3, 85).collect()]
     assert len(found) == 12
@@ -365,7 +385,8 @@ def brute_base(text):
             return 14 <= len(digits) <= 19 and sum(doubled) % 10 == 0
         return kind == "email" or 10 <= len(digits) <= 15
 
-    patterns = {"email": BASE, "ip": pii.IP, "card": pii.CARD, "phone": pii.PHONE}
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    patterns = {"email": BASE, "ip": plain, "card": pii.CARD, "phone": pii.PHONE}
     out = [(m.start(), list(patterns).index(k), m.end(), k) for k, p in patterns.items() for m in p.finditer(text) if good(k, m[0])]
     return [(s, e, k) for s, _, e, k in sorted(out)]
 
@@ -378,6 +399,27 @@ def test_base_spans_equal_the_plain_patterns():
         assert pii.base_spans(text) == brute_base(text), text
 
 
+def test_long_runs_take_linear_time():
+    text = "7" * 400_000 + " " + "1.2.3.4 a@b.c " * 20_000 + "12 345 678 " * 20_000
+    taken = pii.Taken(pii.base_spans(text))
+    assert len(taken.starts) == 40_000 and not taken.free(400_001, 400_002) and taken.free(0, 400_001)
+
+
+def test_taken_stretches_equal_a_plain_search():
+    draw = random.Random(8)
+    for _ in range(300):
+        spans = [(a, a + draw.randint(1, 6), "ip") for a in draw.choices(range(60), k=draw.randint(0, 8))]
+        taken, plain = pii.Taken(spans), [(a, b) for a, b, _ in spans]
+        for _ in range(12):
+            start = draw.randrange(60)
+            end = start + draw.randint(1, 5)
+            free = not any(a < end and start < b for a, b in plain)
+            assert taken.free(start, end) == free
+            if free and draw.random() < 0.5:
+                taken.add(start, end)
+                plain.append((start, end))
+
+
 def pii_corpus(spark):
     draw, rows = random.Random(3), []
     for i in range(240):
