@@ -47,6 +47,16 @@ def signature(values: np.ndarray) -> np.ndarray:
     return (least >> U(32)).astype(np.uint32)
 
 
+def packed(sig: np.ndarray) -> bytes:
+    """Byte planes, the lowest first: the first 128 bytes alone tell nearly all values apart."""
+    return sig.view(np.uint8).reshape(VALUES, 4).T.tobytes()
+
+
+def unpacked(column: pd.Series) -> np.ndarray:
+    planes = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), 4, VALUES)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint32)[:, :, 0]
+
+
 def prefix_keys(signatures: np.ndarray, trees: np.ndarray, depths: tuple[int, ...]) -> np.ndarray:
     """(rows, depths): a hash of the first values of each row in its tree's order."""
     rows, out = np.arange(len(signatures)), []
@@ -69,7 +79,7 @@ def _sketches(docs: DataFrame, words: int, trees: int) -> DataFrame:
                 if len(values):
                     sig = signature(values)
                     keys = prefix_keys(np.broadcast_to(sig, (trees, VALUES)), every, (DEPTH,))[:, 0]
-                    rows.append((len(values), *digest(values), keys, sig.tobytes()))
+                    rows.append((len(values), *digest(values), keys, packed(sig)))
                 else:
                     rows.append((0, 0, 0, None, None))
             n, d1, d2, keys, sig = zip(*rows) if rows else ((),) * 5
@@ -81,8 +91,8 @@ def _sketches(docs: DataFrame, words: int, trees: int) -> DataFrame:
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(key, id, tree, size): the sets of all regions of more than one."""
-    exploded = classes.select("id", F.posexplode("keys").alias("tree", "key"))
+    """(key, id, n, tree, size): the sets of all regions of more than one."""
+    exploded = classes.select("id", "n", F.posexplode("keys").alias("tree", "key"))
     regions = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return durable(exploded.join(regions, "key"), "regions")
 
@@ -99,7 +109,7 @@ def _blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            sig = np.frombuffer(b"".join(batch["sig"]), dtype=np.uint32).reshape(len(batch), VALUES)
+            sig = unpacked(batch["sig"])
             keys = prefix_keys(sig, batch["tree"].to_numpy(dtype=np.int64), DEEPER)
             yield pd.DataFrame(
                 {
@@ -138,30 +148,35 @@ def _blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
     return every.withColumn("root", F.col("id"))
 
 
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _apart(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """(block, id, root): in each large region the sets outside its main component against all its sets.
 
-    Both sides are dealt into chunks of about WIDTH, and a block holds one chunk of each; so two
-    sets of a region that have different roots meet in some block. Regions of one root give none.
+    Sets are banded by their number of shingles so that those of bands further apart than one
+    cannot link; a set outside meets its own band and both beside it. The two sides of a band are
+    dealt into chunks of about WIDTH, and a block holds one chunk of each: two sets of a region
+    that may link and have different roots meet in some block. Regions of one root give none.
     """
     known = roots.select(F.col("node").alias("id"), "root")
+    width = max(-math.log(percent / 100), 0.01) * 1.0001
     rooted = durable(
-        members.filter(F.col("size") > WIDTH).select("key", "id", "size").join(known, "id", "left")
-        .withColumn("root", F.coalesce("root", "id")),
+        members.filter(F.col("size") > WIDTH).select("key", "id", F.floor(F.log("n") / width).alias("band"))
+        .join(known, "id", "left").withColumn("root", F.coalesce("root", "id")),
         "rooted",
     )
     shares = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = shares.groupBy("key").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("apart")
+    main = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    rows = rooted.join(main.filter("roots > 1"), "key").withColumn("own", F.xxhash64("id"))
+    outside = rows.filter("root <> main").withColumn("band", F.explode(F.expr("sequence(band - 1, band + 1)")))
+    place = ["key", "band"]
+    sides = rows.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / WIDTH).alias("chunks")).join(
+        outside.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / WIDTH).alias("others")), place
     )
-    rows = rooted.join(main.filter("apart > 0"), "key").withColumn("own", F.xxhash64("id"))
-    chunks, others = F.ceil(F.col("size") / WIDTH), F.ceil(F.col("apart") / WIDTH)
-    rows = rows.withColumn("chunks", chunks).withColumn("others", others)
-    whole = rows.withColumn("other", F.explode(F.expr("sequence(0L, others - 1)"))).select(
-        F.xxhash64("key", F.pmod("own", "chunks"), "other").alias("block"), "id", "root"
+    sides = durable(sides, "sides")
+    whole = rows.join(sides, place).withColumn("other", F.explode(F.expr("sequence(0L, others - 1)"))).select(
+        F.xxhash64(*place, F.pmod("own", "chunks"), "other").alias("block"), "id", "root"
     )
-    outside = rows.filter("root <> main").withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).select(
-        F.xxhash64("key", "chunk", F.pmod("own", "others")).alias("block"), "id", "root"
+    outside = outside.join(sides, place).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).select(
+        F.xxhash64(*place, "chunk", F.pmod("own", "others")).alias("block"), "id", "root"
     )
     return whole.unionByName(outside).distinct()
 
@@ -174,7 +189,7 @@ def _candidates(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFram
     def agree(rows: pd.DataFrame) -> pd.DataFrame | None:
         if len(rows) < 2:
             return None
-        sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(len(rows), VALUES)
+        sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint8).reshape(len(rows), VALUES)
         ids, n, roots = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["root"].to_numpy()
         if len(rows) == 2:
             linked = np.full((2, 2), (sig[0] == sig[1]).sum() >= enough)
@@ -196,7 +211,8 @@ def _candidates(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFram
             columns=["part", "id"],
         )
 
-    rows = blocks.join(classes.select("id", "n", "sig"), "id")
+    # the lowest byte of each value: equal values stay equal, and one in 256 others joins them
+    rows = blocks.join(classes.select("id", "n", F.substring("sig", 1, VALUES).alias("sig")), "id")
     return by_group(rows, "block", agree, "part long, id long").distinct()
 
 
@@ -258,7 +274,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     roots = components(links(_blocks(members, classes)))
     if not members.filter(F.col("size") > WIDTH).isEmpty():
         roots = durable(roots, "roots")
-        more = links(_apart(members, roots))
+        more = links(_apart(members, roots, percent))
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     linked = classes.select("id", "d2", "doc_id").join(roots, F.col("id") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
