@@ -243,7 +243,9 @@ def _confirmed(parts: DataFrame, classes: DataFrame, docs: DataFrame, words: int
         return pd.DataFrame({"a": a, "b": b})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = parts.join(classes.select("id", "d2", "doc_id"), "id").join(texts, "doc_id").drop("doc_id")
+    # written first, so that Spark knows its size: few wanted rows go to the texts, not the texts to them
+    wanted = durable(parts.join(classes.select("id", "d2", "doc_id"), "id"), "wanted")
+    rows = wanted.join(texts, "doc_id").drop("doc_id")
     return by_group(rows, "part", confirm, "a long, b long")
 
 
