@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -31,6 +31,8 @@ DEEPER = (6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 WIDTH = 240
 CENTRAL = 16
 MISSED = 1e-5
+LINKABLE = "n > 0 AND doc_id IS NOT NULL"
+WORD = r"[^\x20\x09-\x0D]"
 _MULTIPLIERS = mix(np.arange(1, VALUES + 1, dtype=U) * _FOLD) | U(1)
 
 
@@ -249,20 +251,25 @@ def _confirmed(parts: DataFrame, classes: DataFrame, docs: DataFrame, words: int
     return by_group(rows, "part", confirm, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def _digests(text: Column, words: int) -> Column:
+    """The digest of the shingle set of a text, as in the sketches."""
 
-    Documents link whose sets of ``words``-word shingles have at least ``percent`` hundredths of
-    their union in common; component_id is the least doc_id that links lead to. A text of fewer
-    words is one shingle. Null, empty and blank texts have the empty set and link with nothing,
-    nor does a row without doc_id (its component_id is null and it is kept). Rows that repeat a
-    doc_id are documents of their own; only equal or linked sets join them. Other columns of
-    ``docs`` are not read. An empty table gives no rows.
+    @F.pandas_udf("d1 long, d2 long")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = [digest(shingle_set(hashes, words)) for hashes in word_hashes(texts)]
+        return pd.DataFrame(rows, columns=["d1", "d2"], dtype="int64")
+
+    return of(text)
+
+
+def _groups(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sketches, groups): groups has d1, d2, doc_id, root and component_id of each distinct set.
+
+    doc_id is the least that has the set; sets of one root are near duplicates.
     """
     sketches = durable(_sketches(docs, words, tree_count(percent)), "sketches")
-    linkable = F.expr("n > 0 AND doc_id IS NOT NULL")
     classes = durable(
-        sketches.filter(linkable).groupBy("d1", "d2")
+        sketches.filter(LINKABLE).groupBy("d1", "d2")
         .agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n", "keys", "sig"), "doc_id").alias("of"))
         .select(F.col("d1").alias("id"), "d2", "doc_id", "of.n", "of.keys", "of.sig"),
         "classes",
@@ -280,33 +287,76 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     linked = classes.select("id", "d2", "doc_id").join(roots, F.col("id") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = linked.join(least, "root").select(F.col("id").alias("d1"), "d2", F.col("component_id").alias("linked_id"))
-    of_class = classes.select(F.col("id").alias("d1"), "d2", F.col("doc_id").alias("least_id"))
-    of_class = of_class.join(linked, ["d1", "d2"], "left").select(
-        "d1", "d2", F.coalesce("linked_id", "least_id").alias("component_id")
+    linked = linked.join(least, "root").select(F.col("id").alias("d1"), "d2", "root", F.col("component_id").alias("linked_id"))
+    groups = classes.select(F.col("id").alias("d1"), "d2", "doc_id").join(linked, ["d1", "d2"], "left").select(
+        "d1", "d2", "doc_id", F.coalesce("root", "d1").alias("root"), F.coalesce("linked_id", "doc_id").alias("component_id")
     )
+    return sketches, groups
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents link whose sets of ``words``-word shingles have at least ``percent`` hundredths of
+    their union in common; component_id is the least doc_id that links lead to. A text of fewer
+    words is one shingle. Null, empty and blank texts have the empty set and link with nothing,
+    nor does a row without doc_id (its component_id is null and it is kept). Rows that repeat a
+    doc_id are documents of their own; only equal or linked sets join them. Other columns of
+    ``docs`` are not read. An empty table gives no rows.
+    """
+    sketches, groups = _groups(docs, words, percent)
     out = (
-        sketches.filter(linkable).select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"])
+        sketches.filter(LINKABLE).select("doc_id", "n", "d1", "d2").join(groups.drop("doc_id", "root"), ["d1", "d2"])
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         .unionByName(
-            sketches.filter(~linkable)
+            sketches.filter(f"NOT ({LINKABLE})")
             .select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         )
     )
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one of each near-duplicate group, the one with the least doc_id.
+def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one row of each near-duplicate group, one with the least doc_id.
 
-    All columns stay. Rows with a null doc_id all stay. Of rows that repeat a doc_id the one with
-    the least text stays, if the group's document is one of them.
+    All columns stay. Each row is judged by its own set, whatever other rows repeat its doc_id; of
+    rows equal in doc_id and set the one with the least text stays. Rows without words and rows
+    with a null doc_id are in no group and all stay.
     """
-    dropped = near_duplicates(docs, words, percent).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    dropped = durable(dropped, "dropped")
+    sketches, groups = _groups(docs, words, percent)
+    firsts = groups.groupBy("root").agg(F.min(F.struct("doc_id", "d1", "d2")).alias("first")).select("first.*")
+    firsts = durable(firsts, "firsts")
+    place = ["doc_id", "d1", "d2"]
+    sets = sketches.filter("doc_id IS NOT NULL").groupBy(*place, "n").agg(F.count(F.lit(1)).alias("rows"))
+    stay = F.when(F.col("n") == 0, F.col("rows")).when(F.col("first"), 1).otherwise(0)
+    ids = sets.join(firsts.withColumn("first", F.lit(True)), place, "left").groupBy("doc_id").agg(
+        F.sum("rows").alias("rows"), F.sum(stay).alias("stay")
+    )
+    # most ids that lose a row lose all; only rows of the others have their sets computed again
+    losing = durable(ids.filter("stay < rows").select("doc_id", (F.col("stay") > 0).alias("mixed")), "losing")
+    mixed = losing.filter("mixed").select("doc_id")
     row = fresh(docs, "row")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
-    rows = rows.join(dropped, F.col(f"{row}.doc_id").cast("long") == F.col("gone"), "left_anti")
+    rows = rows.withColumn("doc_id", F.col(f"{row}.doc_id").cast("long")).withColumn("text", F.col(f"{row}.text").cast("string"))
+    whole = rows.join(losing.select("doc_id"), "doc_id", "left_anti")
+    some = rows.join(mixed, "doc_id")
+    worded = F.coalesce("text", F.lit("")).rlike(WORD)
+    own = some.filter(worded).withColumn("own", _digests(F.col("text"), words))
+    own = own.select(row, "doc_id", "text", "own.d1", "own.d2").join(firsts.join(mixed, "doc_id", "left_semi"), place)
+    number = F.row_number().over(W.partitionBy(*place).orderBy("text"))
+    own = own.withColumn("number", number).filter("number = 1")
+    parts = [x.select(row) for x in (whole, some.filter(~worded), own)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(f"{row}.*")
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """As ``keep_first``, and then of rows that repeat a doc_id only the one with the least text.
+
+    For tables whose doc_id must be unique afterwards: unrelated texts that share one are lost.
+    """
+    row = fresh(docs, "row")
+    kept = keep_first(docs, words, percent)
+    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
     named = F.col(f"{row}.doc_id").isNotNull()
     first = F.row_number().over(W.partitionBy(F.col(f"{row}.doc_id")).orderBy(F.col(f"{row}.text").asc_nulls_last()))
     number = f"{row}_number"

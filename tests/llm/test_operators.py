@@ -13,6 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerline.llm import (
     best_fit,
     cap_filters,
@@ -141,6 +142,27 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert lsh_forest.near_duplicates(none).count() == 0 and lsh_forest.keep_one(none).count() == 0
 
 
+def test_pipeline_keeps_unrelated_rows_of_one_id(spark):
+    """One of each group stays, whatever doc_id its rows share; a third of the rows share one."""
+    texts = near_corpus(120, seed=5)
+    rows = [(500 if i % 3 == 0 else i % 50, t) for i, t in enumerate(texts)]
+    rows += [(500, texts[0].upper()), (500, texts[1]), (500, " "), (500, None), (500, ""), (None, texts[0])]
+    sets = [shingles(t, 5) for _, t in rows]
+    grouped = [i for i, (doc_id, _) in enumerate(rows) if sets[i] and doc_id is not None]
+    links = [(i, j) for i in grouped for j in grouped if j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    group = brute_components(grouped, links)
+    least = {}
+    for i in grouped:
+        least[group[i]] = min(least.get(group[i], 10**9), rows[i][0])
+    docs = docs_of(spark, [(i, t, "en", "s") for i, t in rows])
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert all(r in rows for r in kept)
+    assert sum(r[0] is None for r in kept) == 1
+    assert sum(r[0] == 500 and not (r[1] or "").strip() for r in kept) == 3
+    found = [(group[min(i for i in grouped if rows[i] == r)], r[0]) for r in kept if r[0] is not None and (r[1] or "").strip()]
+    assert sorted(found) == sorted(least.items())
+
+
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     texts = near_corpus(20) + ["", None, "  a ", "A"]
     whole = [h.tolist() for h in words.word_hashes(texts)]
