@@ -878,6 +878,33 @@ ORACLE["rejects"] = with_(
     """SELECT order_code, product_name, CASE WHEN order_id IS NULL THEN 'order does not exist'
   ELSE 'product does not exist' END AS reason FROM resolved WHERE order_id IS NULL OR product_id IS NULL""",
 )
+# the same over the whole star, with updates for orders and products that do not exist
+STAR_UPDATES = (
+    UPDATES.replace(HISTORY, STAR)
+    .replace("h_orders", "s_orders")
+    .replace("h_products", "s_products")
+    .replace("\nupdates AS (", "\nknown AS (")
+    .replace(
+        "last_update AS (",
+        """updates AS (
+SELECT * FROM known
+UNION ALL SELECT * REPLACE ('X' || order_code AS order_code) FROM known WHERE CAST(order_code AS BIGINT) % 97 = 5
+UNION ALL SELECT * REPLACE (product_name || ' (old)' AS product_name) FROM known WHERE CAST(order_code AS BIGINT) % 89 = 3),
+last_update AS (""",
+    )
+)
+ORACLE["apply_item_updates_star"] = with_(
+    STAR_UPDATES,
+    """SELECT i.order_item_id, i.order_id, i.product_id, coalesce(u.quantity, i.quantity) AS quantity,
+  CAST(coalesce(u.price_per_unit, i.price_per_unit) AS DOUBLE) AS price_per_unit,
+  CAST(coalesce(u.sales, i.sales) AS DOUBLE) AS sales, CAST(coalesce(u.profit, i.profit) AS DOUBLE) AS profit
+FROM s_items i LEFT JOIN resolved u ON i.order_id = u.order_id AND i.product_id = u.product_id""",
+)
+ORACLE["item_update_rejects_star"] = with_(
+    STAR_UPDATES,
+    """SELECT order_code, product_name, CASE WHEN order_id IS NULL THEN 'order does not exist'
+  ELSE 'product does not exist' END AS reason FROM resolved WHERE order_id IS NULL OR product_id IS NULL""",
+)
 GONE = "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"
 ORACLE["apply_deletes"] = with_(STAR, f"SELECT * FROM s_orders WHERE order_id NOT IN ({GONE})")
 ORACLE["apply_deletes_items"] = with_(

@@ -478,6 +478,14 @@ on_history("apply_item_updates", lambda t, h: _returns(t, h).tables["order_items
 on_history("rejects", lambda t, h: _returns(t, h).rejects)
 
 
+def _star_updates(t: Tables) -> changes.Changed:
+    return changes.update_items(tpch.star_tables(t), tpch.updates_with_unknown(t), tpch.UPDATE_ORDER)
+
+
+register("apply_item_updates_star", lambda s, d: _star_updates(Tables(s, d)).tables["order_items"])
+register("item_update_rejects_star", lambda s, d: _star_updates(Tables(s, d)).rejects)
+
+
 def _deleted(t: Tables) -> changes.Changed:
     finished = t["orders"].filter(F.col("o_orderstatus") == "F")
     codes = finished.select(F.col("o_orderkey").cast("string").alias("order_code"))

@@ -342,3 +342,14 @@ def return_updates(tables: Tables) -> DataFrame:
 
 
 UPDATE_ORDER = ("l_linenumber", "l_suppkey", "l_shipdate", "sales", "quantity")
+
+
+def updates_with_unknown(tables: Tables) -> DataFrame:
+    """All item updates, and again some of them for orders and products that do not exist."""
+    updates = return_updates(tables)
+    order = F.col("order_code").cast("long")
+    return updates.unionByName(
+        updates.filter(order % 97 == 5).withColumn("order_code", F.concat(F.lit("X"), "order_code"))
+    ).unionByName(
+        updates.filter(order % 89 == 3).withColumn("product_name", F.concat("product_name", F.lit(" (old)")))
+    )

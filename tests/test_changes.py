@@ -211,3 +211,20 @@ def test_rows_with_gaps_are_turned_away(spark, at):
     got = changes.update_items(tables, updates, ["seq"])
     assert rows(got.rejects) == [("O10", "Shirt", "quantity is missing")]
     assert rows(got.tables["order_items"]) == rows(tables["order_items"])
+
+
+def test_item_updates_run_on_the_whole_star(spark):
+    """All lines of all orders come back, updates after the cutover apply, and both rejects occur."""
+    from __spark_entry__ import queries
+
+    folder = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    items = queries()["apply_item_updates_star"](spark, folder)
+    assert items.count() == lines.count()
+    returned = lines.filter("l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct()
+    whole = items.filter("sales = floor(sales)").select("order_id", "product_id").distinct()
+    assert returned.exceptAll(whole.toDF(*returned.columns)).count() == 0
+    rejects = queries()["item_update_rejects_star"](spark, folder)
+    reasons = {r[0] for r in rejects.select("reason").distinct().collect()}
+    assert reasons == {"order does not exist", "product does not exist"}
+    assert rejects.filter("order_code NOT LIKE 'X%' AND product_name NOT LIKE '% (old)'").count() == 0
