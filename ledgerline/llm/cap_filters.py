@@ -22,7 +22,10 @@ from ledgerline.llm.vectors import cosines, unit, with_vectors
 from ledgerline.session import durable
 
 WIDTH = 512
+#: at least so many codes; more where a larger codebook makes its caps thinner
 CODES = 8
+MISSED = 1e-5
+TRIED = 512
 LIST = 4
 TARGET = 64
 SEED = 20_117
@@ -37,11 +40,11 @@ def code_size(rows: int) -> int:
     return max(LIST, math.ceil(math.sqrt(rows * LIST / TARGET)))
 
 
-def product_codes(dims: int, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def product_codes(dims: int, words: int, count: int = CODES) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each code its two lists of codewords over all dimensions, the same in every task."""
     draw = np.random.default_rng([SEED, dims, words])
     codes = []
-    for _ in range(CODES):
+    for _ in range(count):
         turn, _ = np.linalg.qr(draw.standard_normal((dims, dims)))
         half = (dims + 1) // 2
         codes.append(
@@ -51,7 +54,7 @@ def product_codes(dims: int, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def list_decode(x: np.ndarray, codes: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """(rows, CODES * LIST): numbers of the directions whose caps hold each row.
+    """(rows, codes * LIST): numbers of the directions whose caps hold each row.
 
     The best sums of two sorted lists come from ranks i and j with (i + 1) (j + 1) <= LIST.
     """
@@ -71,6 +74,28 @@ def list_decode(x: np.ndarray, codes: list[tuple[np.ndarray, np.ndarray]]) -> np
     return np.concatenate(out, axis=1)
 
 
+def code_count(dims: int, words: int, cosine: float) -> int:
+    """So many codes that a pair just at the threshold shares no cap with chance ``MISSED`` at most.
+
+    The chance to share a cap of a code depends only on the cosine, the dimensions and the
+    codebook, and codes are independent; ``TRIED`` random pairs in each of ``CODES`` codes give it,
+    less three standard errors. The rarer the caps of a low threshold are shared, the more codes.
+    """
+    if dims < 2:
+        return CODES
+    draw, shared, tried = np.random.default_rng([SEED, dims, words, 1]), 0, CODES * TRIED
+    for code in product_codes(dims, words):
+        for _ in range(0, TRIED, 128):
+            x, z = unit(draw.standard_normal((128, dims))), draw.standard_normal((128, dims))
+            z = unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+            y = cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * z
+            one, two = list_decode(x, [code]), list_decode(y, [code])
+            shared += int((one[:, :, None] == two[:, None, :]).any(axis=(1, 2)).sum())
+    chance = shared / tried
+    chance = min(max(chance - 3 * math.sqrt(chance * (1 - chance) / tried), 1 / tried), 1 - 1 / tried)
+    return max(CODES, math.ceil(math.log(MISSED) / math.log1p(-chance)))
+
+
 def _links(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
     """Matrix of the pairs with at least the cosine; what is too close to call is summed anew."""
     product = x @ y.T
@@ -129,13 +154,16 @@ def near_vectors(
         units.groupBy("id", "x", "dims").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")),
         "classes",
     )
-    words = code_size(classes.count())
+    of_dims = {r["dims"]: r["count"] for r in classes.groupBy("dims").count().collect()}
+    words = code_size(sum(of_dims.values()))
+    counts = {dims: code_count(dims, words, cosine) if rows > 1 else CODES for dims, rows in of_dims.items()}
 
     def decode(batches):
         codes: dict[int, list] = {}
         for batch in batches:
             for dims, rows in batch.groupby("dims"):
-                codes.setdefault(dims, product_codes(dims, words))
+                if dims not in codes:
+                    codes[dims] = product_codes(dims, words, counts[dims])
                 x = _unpacked(rows["x"])
                 short = [v.tobytes() for v in x.astype(np.float32)]
                 caps = list_decode(x, codes[dims])

@@ -190,6 +190,25 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
+def test_no_pair_is_missed_with_the_codebook_of_a_large_table(spark, monkeypatch):
+    """2,000 pairs just above the threshold, with the thin caps that 100 million rows get."""
+    words = cap_filters.code_size(100_000_000)
+    monkeypatch.setattr(cap_filters, "code_size", lambda rows: words)
+    draw = np.random.default_rng(11)
+    x, z = draw.standard_normal((2000, 64)), draw.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.9001 * x + np.sqrt(1 - 0.9001**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    rows = vectors_of(spark, np.concatenate([x, y]).astype(np.float32))
+    found = {r.vec_id: r.component_id for r in cap_filters.near_vectors(rows).collect()}
+    assert [i for i in range(2000) if found[2000 + i] != i] == []
+
+
+def test_codes_grow_with_the_codebook():
+    counts = [cap_filters.code_count(64, cap_filters.code_size(n), 0.9) for n in (20_000, 500_000, 5_000_000, 50_000_000)]
+    assert counts[0] == cap_filters.CODES and counts == sorted(counts) and counts[-1] > counts[0]
+
+
 ODD = [
     (1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]),
     (7, [1.0, 2.0]), (8, [1.0, 2.0]), (8, [1.0, 2.0]), (None, [1.0, 2.0]), (9, [1.0, 2.0, 0.0]), (50, [2.0, 4.1]), (100, [5.0]),
