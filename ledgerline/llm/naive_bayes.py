@@ -19,6 +19,8 @@ MATRIX_CELLS = 1 << 23
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 SAMPLE = 12_000
+#: of a language with more texts at least about so many are learned from
+EACH = 100
 PIECE = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 _U = np.uint32
@@ -61,23 +63,35 @@ def text_scores(text: str, matrix: np.ndarray) -> np.ndarray:
     return total
 
 
+def quota(counts: list[int], sample_rows: int) -> int:
+    """The most texts of one language, so that those of all together are ``sample_rows`` if there are as many."""
+    left = sample_rows
+    for i, n in enumerate(sorted(counts)):
+        if n * (len(counts) - i) > left:
+            return max(EACH, left // (len(counts) - i))
+        left -= n
+    return max(EACH, *counts)
+
+
 def fit(docs: DataFrame, may_learn: Column, sample_rows: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log priors, log-probability matrix) from rows that ``may_learn`` selects.
 
-    At most ``sample_rows`` of them, those with the least hash of their id, are learned from; the
-    matrix has at most 2^23 cells, so more languages share fewer buckets.
+    Learned from are about ``sample_rows`` texts, chosen by a hash of their id: all of a rare
+    language, of the others about the same number each, and never less than about ``EACH``; so every
+    language is known. Priors are the shares of all rows. The matrix has at most 2^23 cells, so more
+    languages share fewer buckets.
     """
     rows = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    spot = F.pmod(F.xxhash64("doc_id", F.lit("lid")), F.lit(1 << 30))
-    count = rows.count()
-    if not count:
-        return [], np.empty(0), np.empty((BUCKETS, 0))
-    share = int(min(1.0, sample_rows / count) * (1 << 30))
-    sample = rows.filter(spot <= share).select(F.col("lang").cast("string").alias("lang"), "text")
-    priors = sorted(tuple(r) for r in sample.groupBy("lang").count().collect())
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    priors = sorted(tuple(r) for r in rows.groupBy("lang").count().collect())
     names = [lang for lang, _ in priors]
     if not names:
         return [], np.empty(0), np.empty((BUCKETS, 0))
+    most = quota([n for _, n in priors], sample_rows)
+    shares = [(lang, int(min(1.0, most / n) * (1 << 30))) for lang, n in priors]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, share long")
+    spot = F.pmod(F.xxhash64("doc_id", F.lit("lid")), F.lit(1 << 30))
+    sample = rows.join(F.broadcast(shares), "lang").filter(spot <= F.col("share")).select("lang", "text")
     buckets = max(256, min(BUCKETS, 1 << ((MATRIX_CELLS // len(names)).bit_length() - 1)))
 
     def count_grams(batches):

@@ -321,6 +321,15 @@ def test_language_on_held_out_rows(spark):
     assert got.score.between(0, 1).all() and got.held_out.sum() > 50
 
 
+def test_a_rare_language_is_learned_from_a_small_sample(spark):
+    rows = [(i, f"the house and the garden number {i}", "en", "s") for i in range(3000)]
+    rows += [(5000 + i, "quux zyzzy plugh xyzzy", "qx", "s") for i in range(2)]
+    names, prior, _ = naive_bayes.fit(docs_of(spark, rows), F.lit(True), sample_rows=60)
+    assert names == ["en", "qx"]
+    np.testing.assert_allclose(np.exp(prior), [3000 / 3002, 2 / 3002])
+    assert naive_bayes.quota([9000, 2, 5000], 12_000) == 6998 and naive_bayes.quota([5, 7], 12_000) >= 7
+
+
 def test_language_score_is_the_sum_over_ngrams():
     draw = np.random.default_rng(0)
     matrix = draw.standard_normal((256, 2))
