@@ -495,6 +495,17 @@ def test_candidates_add_spans_and_leave_clean_texts(spark):
     assert chooser.all_spans("it was on 2024-05-17 at the dot of noon")[1] == []
 
 
+def test_candidates_are_learned_from_whole_texts(spark, monkeypatch):
+    """All candidates lie beyond 40,000 characters; a text of very many gives a bounded number."""
+    kept, boost = [], pii.boost
+    monkeypatch.setattr(pii, "boost", lambda x, y, *a, **k: kept.append(len(x)) or boost(x, y, *a, **k))
+    tail = " ".join(f"mail p{i}@firma{i}.de now" for i in range(60))
+    pii.fit(docs_of(spark, [(i, "word " * 8000 + f"n{i} " + tail, "en", "s") for i in range(30)]))
+    assert kept[0] >= 60 * 10
+    many = pii.examples("word " * 8000 + " ".join(f"mail p{i}@firma{i}.de now" for i in range(3000)), 1)
+    assert pii.PER_TEXT <= len(many) < pii.PER_TEXT + 200
+
+
 def test_redaction_and_awkward_rows(spark):
     assert pii.redacted("a b@c.de +1 4", [(2, 8, "email"), (5, 9, "ip")]) == "a [EMAIL]+1 4"
     chooser = pii.fit(awkward(spark).select("doc_id", "text"))
