@@ -29,13 +29,19 @@ def build_session(app_name: str = "ledgerline", master: str | None = None, **con
 def stage_root(spark: SparkSession) -> str:
     """The shared folder for stage tables: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests, a notebook) the tables go beside the session's own tables, below
-    ``spark.sql.warehouse.dir``, which every executor must reach anyway.
+    Where it is unset the tables go beside the session's own tables, below
+    ``spark.sql.warehouse.dir``. That default is a folder of the driver's machine, so on anything
+    but a local session it must be an address that names its file system.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    own_machine = ":" not in warehouse.partition("/")[0] or warehouse.startswith("file:")
+    if own_machine and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/_stages"
 
 
 def stage_folder(spark: SparkSession) -> str:

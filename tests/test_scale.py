@@ -141,8 +141,12 @@ def test_stage_tables_use_the_shared_folder(spark):
     assert stage_root(shared) == "hdfs://warehouse/stage"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         stage_root(Session(spark_master="yarn"))
-    alone = Session(spark_master="local[4]", spark_app_id="test-app")
-    assert stage_root(alone) == stage_root(alone)  # one temporary folder per application
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        stage_root(Session(spark_master="yarn", spark_sql_warehouse_dir="file:/srv/warehouse"))
+    named = Session(spark_master="yarn", spark_sql_warehouse_dir="s3a://tables/warehouse")
+    assert stage_root(named) == "s3a://tables/warehouse/_stages"
+    alone = Session(spark_master="local[4]", spark_sql_warehouse_dir="file:/srv/warehouse")
+    assert stage_root(alone) == "file:/srv/warehouse/_stages"
     table = durable(spark.range(5), "five")
     assert stage_root(spark) in table.inputFiles()[0] and table.count() == 5
 
