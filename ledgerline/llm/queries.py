@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import (
     best_fit,
+    byte_bpe,
     cap_filters,
     entropy_mix,
     learned_partitions,
@@ -78,6 +79,13 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mixture(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Query] = {
     "op1_learned_partitions": op1_learned_partitions,
     "op2_rule_ensemble": op2_rule_ensemble,
@@ -89,4 +97,5 @@ QUERIES: dict[str, Query] = {
     "op8_cap_filters": op8_cap_filters,
     "op9_transcripts": op9_transcripts,
     "op10_entropy_mix": op10_entropy_mix,
+    "op13_byte_bpe": op13_byte_bpe,
 }

@@ -29,7 +29,7 @@ def test_query_matches_sql(spark, con, name):
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in queries()
 
 
 def test_pipeline_packs_whole_documents(spark):
