@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 from ledgerline.session import discard, durable
 
 
-def by_group(df: DataFrame, key: str, apply: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+def by_group(
+    df: DataFrame,
+    key: str,
+    apply: Callable[[pd.DataFrame], pd.DataFrame | None],
+    schema: str,
+    parts: int | None = None,
+) -> DataFrame:
     """Call ``apply`` on the rows of each key and gather the frames that it returns.
 
     The rows are dealt by the key, sorted, and streamed: unlike a grouped map this costs nothing
-    per group but the call, and a task holds one batch and one group. Callers bound the groups.
+    per group but the call, and a task holds one batch and one group. Callers bound the groups,
+    and give the number of tasks where the work is longer than its bytes tell.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,7 +48,8 @@ def by_group(df: DataFrame, key: str, apply: Callable[[pd.DataFrame], pd.DataFra
         if held and (last := apply(pd.concat(held))) is not None and len(last):
             yield last
 
-    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
+    dealt = df.repartition(parts, key) if parts else df.repartition(key)
+    return dealt.sortWithinPartitions(key).mapInPandas(run, schema)
 
 
 def forest_edges(ids: np.ndarray, linked: np.ndarray) -> tuple[list, list]:

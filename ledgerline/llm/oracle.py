@@ -79,5 +79,57 @@ counted AS (SELECT x AS id, count(*) AS n FROM links GROUP BY x)
 SELECT v.id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(m, v.id) AS component_id,
        coalesce(m, v.id) = v.id AS kept
 FROM vectors v LEFT JOIN counted c ON c.id = v.id LEFT JOIN least l ON l.id = v.id
+""",
+    "op11_letter_count_trees": """
+WITH RECURSIVE
+crc_table AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+        FROM range(256) r(i))
+),
+runs AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+    WHERE length(run) >= 7
+),
+hexed AS (
+    SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs GROUP BY doc_id, run
+),
+hashed AS (
+    SELECT run, n, xor(list_reduce(
+        list_transform(range(1, length(x) + 1, 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h
+    FROM hexed, crc_table
+),
+words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+                       ELSE run END AS word FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+),
+cuts AS (
+    SELECT word, n, length(word) AS size, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut
+    FROM words, unnest(range(1, length(word) + 1)) u(i)
+),
+near AS (
+    SELECT DISTINCT a.word AS x, a.n AS nx, b.word AS y, b.n AS ny FROM cuts a JOIN cuts b
+    ON a.size = b.size AND a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+    UNION
+    SELECT c.word, c.n, w.word, w.n FROM cuts c JOIN words w ON w.word = c.cut
+    UNION
+    SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN words w ON w.word = c.cut
+),
+best AS (
+    SELECT x, nx, count(*) AS n_near, max(ny) AS top, first(y ORDER BY ny DESC, encode(y)) AS y FROM near GROUP BY x, nx
+),
+forms AS (SELECT x, n_near, CASE WHEN top >= 10 * nx THEN y END AS form, CASE WHEN top >= 10 * nx THEN top END AS form_n FROM best),
+chain(word, root, step) AS (
+    SELECT x, form, 1 FROM forms WHERE form IS NOT NULL
+    UNION ALL
+    SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.x = c.root WHERE f.form IS NOT NULL
+),
+roots AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+SELECT w.word, form, coalesce(r.root, w.word) AS root, w.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n::BIGINT AS form_n
+FROM words w LEFT JOIN forms f ON f.x = w.word LEFT JOIN roots r ON r.word = w.word
 """,
 }

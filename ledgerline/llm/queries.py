@@ -17,6 +17,7 @@ from ledgerline.llm import (
     naive_bayes,
     pii,
     rule_ensemble,
+    spelling,
     transcripts,
     warc,
 )
@@ -79,6 +80,19 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mixture(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def slipped(doc_id: Column, word: Column) -> Column:
+    """One occurrence in 31, by its hash, loses the letter that the hash points at."""
+    h = F.crc32(F.concat(doc_id, F.lit(":"), word))
+    at = (h % F.length(word)).cast("int")
+    less = F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))
+    return F.when(h % 31 == 0, less).otherwise(word)
+
+
+def op11_letter_count_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents", "doc_id", "text"), 7, 2, slipped)
+    return spelling.group_variants(words, times=10)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -97,5 +111,6 @@ QUERIES: dict[str, Query] = {
     "op8_cap_filters": op8_cap_filters,
     "op9_transcripts": op9_transcripts,
     "op10_entropy_mix": op10_entropy_mix,
+    "op11_letter_count_trees": op11_letter_count_trees,
     "op13_byte_bpe": op13_byte_bpe,
 }
