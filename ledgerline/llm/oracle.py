@@ -131,5 +131,43 @@ chain(word, root, step) AS (
 roots AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
 SELECT w.word, form, coalesce(r.root, w.word) AS root, w.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n::BIGINT AS form_n
 FROM words w LEFT JOIN forms f ON f.x = w.word LEFT JOIN roots r ON r.word = w.word
+""",
+    "op12_count_automata": r"""
+WITH
+docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+    SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, unnest(range(1, 5)) s(m))
+),
+counts AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE m >= 2),
+cuts AS (
+    SELECT c.lang, c.phrase, c.a, k, p.f AS l, q.f AS r, 2000000 * c.a // (p.f + q.f) AS score
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c
+    JOIN counts p ON p.lang = c.lang AND p.phrase = array_to_string(c.w[:k], ' ')
+    JOIN counts q ON q.lang = c.lang AND q.phrase = array_to_string(c.w[k + 1:], ' ')
+),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS f
+    FROM (SELECT lang, w, a, s, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM candidates WHERE m > 2))
+    GROUP BY ALL
+),
+kept AS (
+    SELECT x.* FROM weakest x LEFT JOIN inside y ON y.lang = x.lang AND y.phrase = x.phrase
+    WHERE y.f IS NULL OR 100 * y.f < 80 * x.a
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT r.lang, rank::INTEGER AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
 """,
 }

@@ -11,6 +11,7 @@ from ledgerline.llm import (
     best_fit,
     byte_bpe,
     cap_filters,
+    collocations,
     entropy_mix,
     learned_partitions,
     lsh_forest,
@@ -93,6 +94,10 @@ def op11_letter_count_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(words, times=10)
 
 
+def op12_count_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents", "text", "lang"), least=30, contained=80, top=2000)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -112,5 +117,6 @@ QUERIES: dict[str, Query] = {
     "op9_transcripts": op9_transcripts,
     "op10_entropy_mix": op10_entropy_mix,
     "op11_letter_count_trees": op11_letter_count_trees,
+    "op12_count_automata": op12_count_automata,
     "op13_byte_bpe": op13_byte_bpe,
 }

@@ -19,7 +19,7 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", ["op4_gzip_normaliser", "op7_lsh_forest", "op8_cap_filters", "op11_letter_count_trees"])
+@pytest.mark.parametrize("name", ["op4_gzip_normaliser", "op7_lsh_forest", "op8_cap_filters", "op11_letter_count_trees", "op12_count_automata"])
 def test_query_matches_sql(spark, con, name):
     df = queries()[name](spark, SF_DIR)
     ours = rows_of(df.columns, [tuple(r) for r in df.collect()])
