@@ -6,7 +6,7 @@ group, so one plan forecasts one series or a million.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -146,8 +146,7 @@ def forecast_months(
 ) -> DataFrame:
     """The forecast table: linear trend and seasonal regression with 80 % bands.
 
-    ``Sales_ARIMA`` holds the seasonal regression, as it does wherever no ARIMA routine is
-    installed; see ``arima`` for the autoregressive variant. Groups with fewer than six
+    ``Sales_ARIMA`` holds the seasonal regression; ``arima`` replaces it by a searched model. Groups with fewer than six
     months get their mean plus or minus 20 %. If a future month never occurred in a group,
     the group's seasonal columns repeat the linear trend.
     """
@@ -214,47 +213,77 @@ def forecast_months(
     )
 
 
-METHOD_AUTOREGRESSION = "Linear Regression & Autoregression"
+# Fixed value: method label.
+METHOD_ARIMA = "Linear Regression & auto.arima"
+
+
+def _per_series(series: DataFrame, group_cols: list[str], apply: Callable, columns: str) -> DataFrame:
+    """Call ``apply(group's months in order)`` for every series; one task a series, one row a month."""
+    import pandas as pd
+
+    keyed = series if group_cols else series.withColumn("__all", F.lit(1))
+    keys = group_cols or ["__all"]
+    key_types = ", ".join(f"`{k}` {keyed.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        out = apply(pdf)
+        for place, k in enumerate(keys):
+            out.insert(place, k, pdf[k].iloc[0])
+        return out
+
+    found = keyed.groupBy(*keys).applyInPandas(run, f"{key_types}, {columns}")
+    return found if group_cols else found.drop("__all")
 
 
 def arima(df: DataFrame, periods: int = 6, group_cols: Sequence[str] = ()) -> DataFrame:
-    """The forecast table with an autoregressive model in the ``ARIMA`` columns.
+    """The forecast table with a searched seasonal ARIMA in the ``ARIMA`` columns, and what was found.
 
-    Each series (one row per month) is fitted inside a task; the sales are aggregated before.
+    The sales are aggregated first, so a series has one row per month; its orders, coefficients
+    (plain AR, plain MA, seasonal AR, seasonal MA, constant) and corrected AIC come along. A series for
+    which no order can be fitted keeps the seasonal regression and its label, one of fewer than six
+    months the flat forecast; both have no orders.
     """
+    import numpy as np
     import pandas as pd
 
-    from ledgerline.functions.autoregression import forecast_series
+    from ledgerline.functions import seasonal_arima
     from ledgerline.functions.quantiles import Z_90
 
     group_cols = list(group_cols)
     series = monthly_series(df, group_cols)
     table = forecast_months(series, periods, group_cols)
-    keyed = series if group_cols else series.withColumn("__all", F.lit(1))
-    keys = group_cols or ["__all"]
-    key_types = ", ".join(f"`{k}` {keyed.schema[k].dataType.simpleString()}" for k in keys)
+    columns = ["Month_Index", "mean", "low", "high", "Orders", "Coefficients", "AICc"]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        bands = forecast_series(pdf["Sales"].to_numpy(), periods, Z_90)
-        out = pd.DataFrame(bands, columns=["ar_mean", "ar_low", "ar_high"])
-        out["Month_Index"] = [len(pdf) + step for step in range(1, periods + 1)]
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "Month_Index", "ar_mean", "ar_low", "ar_high"]]
-
-    fitted = keyed.groupBy(*keys).applyInPandas(
-        fit, f"{key_types}, Month_Index long, ar_mean double, ar_low double, ar_high double"
+        values = pdf["Sales"].to_numpy(dtype=float)
+        if len(values) < MIN_MONTHS:
+            return pd.DataFrame(columns=columns)
+        try:
+            found = seasonal_arima.search(values)
+            bands = seasonal_arima.forecast(values, found, periods, Z_90)
+        except (ValueError, np.linalg.LinAlgError):
+            return pd.DataFrame(columns=columns)
+        if not np.isfinite(bands).all():
+            return pd.DataFrame(columns=columns)
+        out = pd.DataFrame(bands, columns=["mean", "low", "high"])
+        out.insert(0, "Month_Index", [len(values) + step for step in range(1, periods + 1)])
+        out["Orders"] = found.orders.label()
+        out["Coefficients"] = [found.coefficients.tolist()] * periods
+        out["AICc"] = found.aicc if np.isfinite(found.aicc) else None
+        return out
+
+    fitted = _per_series(
+        series, group_cols, fit,
+        "Month_Index long, mean double, low double, high double, Orders string, Coefficients array<double>, AICc double",
     )
-    if not group_cols:
-        fitted = fitted.drop("__all")
-    flat = F.col("method") == METHOD_FLAT
+    none = F.col("mean").isNull()
 
     def pick(old: str, new: str) -> Column:
-        return F.when(flat, F.col(old)).otherwise(clamp_at_zero(new)).alias(old)
+        return F.when(none, F.col(old)).otherwise(clamp_at_zero(new)).alias(old)
 
     return (
-        _join_groups(table, fitted, [*group_cols, "Month_Index"], "inner")
+        _join_groups(table, fitted, [*group_cols, "Month_Index"], "left")
         .select(
             *group_cols,
             "Month_Index",
@@ -262,12 +291,47 @@ def arima(df: DataFrame, periods: int = 6, group_cols: Sequence[str] = ()) -> Da
             "Year",
             "Month",
             "Sales_LR",
-            pick("Sales_ARIMA", "ar_mean"),
+            pick("Sales_ARIMA", "mean"),
             "LR_Lower80",
             "LR_Upper80",
-            pick("ARIMA_Lower80", "ar_low"),
-            pick("ARIMA_Upper80", "ar_high"),
-            F.when(flat, F.col("method")).otherwise(F.lit(METHOD_AUTOREGRESSION)).alias("method"),
+            pick("ARIMA_Lower80", "low"),
+            pick("ARIMA_Upper80", "high"),
+            F.when(none, F.col("method")).otherwise(F.lit(METHOD_ARIMA)).alias("method"),
+            "Orders",
+            "Coefficients",
+            "AICc",
         )
         .orderBy(*asc(*group_cols, "Month_Index"))
     )
+
+
+def arima_criteria(
+    df: DataFrame, models: Sequence[tuple[tuple, Sequence[float]]], group_cols: Sequence[str] = ()
+) -> DataFrame:
+    """Residuals of given models, not searched ones: rows, sum of squares, last shock and corrected AIC of each.
+
+    ``models`` holds (p, d, q, seasonal p, d, q) with its coefficients, in the order that ``arima``
+    returns them, without a constant. A series shorter than the differences gets no row.
+    """
+    import pandas as pd
+
+    from ledgerline.functions import seasonal_arima
+
+    group_cols = list(group_cols)
+    models = [(seasonal_arima.Orders(*orders, False), list(values)) for orders, values in models]
+    columns = ["Orders", "Rows", "SSE", "Last_Shock", "AICc"]
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        values, out = pdf["Sales"].to_numpy(dtype=float), []
+        for orders, given in models:
+            if len(values) <= orders.d + orders.sd * seasonal_arima.SEASON:
+                continue
+            work = seasonal_arima.differenced(values, orders.d, orders.sd)
+            shocks = seasonal_arima.residuals(work, orders, seasonal_arima.np.array(given))
+            sse = float(shocks @ shocks)
+            aicc = seasonal_arima.corrected_aic(sse, len(work), orders.size)
+            out.append((orders.label(), len(work), sse, float(shocks[-1]), aicc))
+        return pd.DataFrame(out, columns=columns)
+
+    series = monthly_series(df, group_cols)
+    return _per_series(series, group_cols, judge, "Orders string, Rows long, SSE double, Last_Shock double, AICc double")

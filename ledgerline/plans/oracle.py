@@ -697,6 +697,43 @@ SELECT {g}CAST(ft AS BIGINT) AS Month_Index, strftime(label, '%b') AS Month_Name
 
 
 ORACLE["forecast_table"] = with_(forecast_ctes(), "SELECT * FROM fc")
+# Residuals of given models: z is the differenced series, y its AR part, e_t = y_t - theta e_(t-1) - Theta e_(t-12)
+# - theta Theta e_(t-13), all zero before the first row. Columns: orders, d, D, phi1, phi2, theta, Phi, Theta, size.
+ORACLE["arima_criteria"] = f"""WITH RECURSIVE {SALES},
+monthly AS (SELECT Region, Year, Month, CAST(sum(Sales) AS DOUBLE) AS v FROM sales GROUP BY ALL),
+numbered AS (SELECT Region, v, row_number() OVER (PARTITION BY Region ORDER BY Year, Month) AS t FROM monthly),
+models(Orders, d, ds, phi1, phi2, theta, sphi, stheta, size) AS (VALUES
+  ('ARIMA(1,0,0)', 0, 0, 0.9e0, 0e0, 0e0, 0e0, 0e0, 1),
+  ('ARIMA(0,1,1)', 1, 0, 0e0, 0e0, -0.6e0, 0e0, 0e0, 1),
+  ('ARIMA(0,1,1)(0,1,1)[12]', 1, 1, 0e0, 0e0, -0.5e0, 0e0, -0.4e0, 2),
+  ('ARIMA(1,1,1)(1,0,0)[12]', 1, 0, 0.3e0, 0e0, -0.4e0, 0.2e0, 0e0, 3),
+  ('ARIMA(2,0,1)(1,1,0)[12]', 0, 1, 0.4e0, -0.2e0, 0.3e0, -0.5e0, 0e0, 4)),
+seasonal AS (
+  SELECT m.*, Region, t, CASE WHEN ds = 1 THEN v - lag(v, 12) OVER s ELSE v END AS v FROM numbered, models m
+  WINDOW s AS (PARTITION BY Region, Orders ORDER BY t)),
+plain AS (
+  SELECT * REPLACE (CASE WHEN d = 1 THEN v - lag(v) OVER s ELSE v END AS v) FROM seasonal
+  WINDOW s AS (PARTITION BY Region, Orders ORDER BY t)),
+work AS (
+  SELECT * REPLACE (row_number() OVER (PARTITION BY Region, Orders ORDER BY t) AS t) FROM plain WHERE v IS NOT NULL),
+lagged AS (
+  SELECT *, v - phi1 * coalesce(lag(v) OVER s, 0) - phi2 * coalesce(lag(v, 2) OVER s, 0) AS y FROM work
+  WINDOW s AS (PARTITION BY Region, Orders ORDER BY t)),
+driven AS (
+  SELECT *, y - sphi * coalesce(lag(y, 12) OVER s, 0) AS u FROM lagged
+  WINDOW s AS (PARTITION BY Region, Orders ORDER BY t)),
+shocks(Region, Orders, theta, stheta, size, t, e) AS (
+  SELECT Region, Orders, theta, stheta, size, CAST(0 AS BIGINT), CAST([] AS DOUBLE[]) FROM driven WHERE t = 1
+  UNION ALL
+  SELECT s.Region, s.Orders, s.theta, s.stheta, s.size, d.t, list_append(s.e, d.u - s.theta * coalesce(s.e[-1], 0)
+    - CASE WHEN s.t >= 12 THEN s.stheta * s.e[-12] ELSE 0 END
+    - CASE WHEN s.t >= 13 THEN s.theta * s.stheta * s.e[-13] ELSE 0 END)
+  FROM shocks s JOIN driven d ON d.Region = s.Region AND d.Orders = s.Orders AND d.t = s.t + 1),
+ended AS (SELECT * FROM shocks QUALIFY row_number() OVER (PARTITION BY Region, Orders ORDER BY t DESC) = 1),
+judged AS (SELECT Region, Orders, t AS n, size + 1 AS k, e[-1] AS last, list_sum(list_transform(e, lambda x: x * x)) AS sse FROM ended)
+SELECT Region, Orders, n AS Rows, round(last, 2) AS Last_Shock,
+  round(n * (ln(2 * pi() * sse / n) + 1) + 2 * k + 2.0e0 * k * (k + 1) / (n - k - 1), 5) AS AICc
+FROM judged"""
 ORACLE["forecast_linear"] = with_(
     forecast_ctes(), "SELECT Month_Index, Year, Month, Sales_LR, LR_Lower80, LR_Upper80 FROM fc"
 )

@@ -346,6 +346,21 @@ on_sales(
     f"{_FORECAST} Region",
     lambda df: forecasting.arima(df, group_cols=["Region"]),
 )
+# Models with given coefficients, whose residual recursion SQL repeats.
+ARIMA_MODELS = (
+    ((1, 0, 0, 0, 0, 0), (0.9,)),
+    ((0, 1, 1, 0, 0, 0), (-0.6,)),
+    ((0, 1, 1, 0, 1, 1), (-0.5, -0.4)),
+    ((1, 1, 1, 1, 0, 0), (0.3, -0.4, 0.2)),
+    ((2, 0, 1, 1, 1, 0), (0.4, -0.2, 0.3, -0.5)),
+)
+on_sales(
+    "arima_criteria",
+    f"{_FORECAST} Region",
+    lambda df: forecasting.arima_criteria(df, ARIMA_MODELS, ["Region"]).select(
+        "Region", "Orders", "Rows", F.round("Last_Shock", 2).alias("Last_Shock"), F.round("AICc", 5).alias("AICc")
+    ),
+)
 
 # --- models -------------------------------------------------------------------------------
 
