@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +65,19 @@ def clamp_at_zero(value: Column | str) -> Column:
     return F.when(value < 0, F.lit(0.0)).otherwise(value)
 
 
+def distance_to(columns: Sequence[str], center: Sequence[float]) -> Column:
+    """Squared distance of the columns from a point."""
+    parts = [(F.col(c) - F.lit(float(x))) * (F.col(c) - F.lit(float(x))) for c, x in zip(columns, center)]
+    return reduce(add, parts)
+
+
+def nearest(columns: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
+    """Number (from 0) of the nearest center, the first of equal ones; centers are few."""
+    return F.array_min(
+        F.array(*[F.struct(distance_to(columns, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centers)])
+    )["i"]
+
+
 def only_row(df: DataFrame) -> Column:
     """The one row of ``df`` as a struct: a scalar subquery, not a join."""
     return df.select(F.struct(*df.columns)).scalar()

@@ -1,54 +1,73 @@
-"""Demand per transaction from category, price, region and month (Spark ML)."""
+"""Demand per transaction from category, price, region and month: a forest, a log-linear model or the mean."""
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import RFormula, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.semantics import asc, desc, only_row
-from ledgerline.session import durable
+from ledgerline.functions.semantics import asc, desc
+from ledgerline.session import discard, durable
+
+log = logging.getLogger(__name__)
 
 FACTORS = ("Category", "Region", "Month")
 FEATURES = ("Category", "Price", "Region", "Month")
 
-# Model labels and forest settings.
+# Model labels, result texts and forest settings.
 FOREST_LABEL = "Random Forest Regressor"
 POISSON_LABEL = "Linear Regression Model (GLM Fallback)"
+MEAN_LABEL = "Mean Quantity"
 FAILED_TEXT = "Prediction failed. Verify predictor configuration."
 RESULT_TEXT = "Predicted Quantity Demand: %.1f units per transaction (using %s)"
 TREES = 100
+DEPTH = 30
 SEED = 123
 LEAF_ROWS = 5
+# Newton steps and the relative change of the deviance that ends them, as usual for such fits.
+STEPS, CONVERGED = 25, 1e-8
+#: levels of the two narrower factors together; the widest factor has no limit
+NARROW_LEVELS = 400
 
 
 @dataclass(frozen=True)
 class DemandModel:
-    pipeline: PipelineModel
+    fitted: Any  # ``transform`` adds ``prediction`` to rows with the four features
     label: str
     importance: DataFrame  # Variable, Importance; most important first
     metrics: DataFrame  # one row: RMSE, MAE, Mean_Quantity
 
 
-def model_rows(df: DataFrame) -> DataFrame:
-    """The model's columns as numbers and text, equal rows counted in ``weight``; stored.
-
-    Rows with a gap cannot train. There are at most as many rows as combinations of quantity,
-    category, price, region and month, so training does not grow with the number of sales
-    once all combinations have occurred.
-    """
-    columns = df.select(
+def model_lines(df: DataFrame) -> DataFrame:
+    """The model's columns as numbers and text, a row for each sold line; rows with a gap cannot train."""
+    return df.select(
         F.col("Quantity").cast("double").alias("Quantity"),
         "Category",
         F.col("Price").cast("double").alias("Price"),
         "Region",
         F.col("Month").cast("string").alias("Month"),
     ).na.drop()
-    counted = columns.groupBy(*columns.columns).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def model_rows(df: DataFrame) -> DataFrame:
+    """``model_lines`` with equal rows counted in ``weight``; stored.
+
+    There are at most as many rows as combinations of quantity, category, price, region and month,
+    so passes over them do not grow with the number of sales once all combinations have occurred.
+    """
+    lines = model_lines(df)
+    counted = lines.groupBy(*lines.columns).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return durable(counted, "demand")
 
 
@@ -67,9 +86,14 @@ def _importance(df: DataFrame, pairs: list[tuple[str, float]]) -> DataFrame:
     return frame.orderBy(*desc("Importance"), *asc("Variable"))
 
 
-def train_forest(rows: DataFrame, trees: int = TREES, max_depth: int = 5) -> DemandModel:
-    """Random forest on ``model_rows``."""
+def train_forest(rows: DataFrame, trees: int = TREES, max_depth: int = DEPTH) -> DemandModel:
+    """Random forest on ``model_rows``, each tree on a bootstrap of the single lines.
+
+    A combination of weight w enters as w rows of weight one, so that a tree draws each of its lines
+    by itself; they are made where the row is read and never stored as a table.
+    """
     levels = rows.agg(*[F.count_distinct(c).alias(c) for c in FACTORS]).first()
+    lines = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).drop("copy", "weight")
     indexers = [
         StringIndexer(
             inputCol=c, outputCol=f"{c}_Index", handleInvalid="keep", stringOrderType="alphabetAsc"
@@ -80,81 +104,264 @@ def train_forest(rows: DataFrame, trees: int = TREES, max_depth: int = 5) -> Dem
     forest = RandomForestRegressor(
         featuresCol="features",
         labelCol="Quantity",
-        weightCol="weight",
         numTrees=trees,
         maxDepth=max_depth,
         maxBins=max(32, *(levels[c] + 1 for c in FACTORS)),
         featureSubsetStrategy="1",  # a third of four, rounded down
         minInstancesPerNode=LEAF_ROWS,
+        maxMemoryInMB=1024,
         seed=SEED,
     )
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
-    model = Pipeline(stages=[*indexers, assembler, forest]).fit(rows)
-    weights = model.stages[-1].featureImportances.toArray()
-    importance = _importance(rows, [(c, float(w)) for c, w in zip(FEATURES, weights)])
-    return DemandModel(model, FOREST_LABEL, importance, _fit_metrics(model.transform(rows)))
+    indexed = Pipeline(stages=[*indexers, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(rows)
+    grown = forest.fit(indexed.transform(lines).select("features", "Quantity"))
+    importance = _importance(rows, [(c, float(w)) for c, w in zip(FEATURES, grown.featureImportances.toArray())])
+    fitted = Forest(indexed, grown)
+    return DemandModel(fitted, FOREST_LABEL, importance, _fit_metrics(fitted.transform(rows)))
+
+
+@dataclass(frozen=True)
+class Forest:
+    indexed: Any
+    grown: Any
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.grown.transform(self.indexed.transform(df))
+
+
+@dataclass(frozen=True)
+class LogLinear:
+    """exp(effect of the wide factor's level + price * slope + effects of the narrow factors' levels)."""
+
+    wide: str
+    effects: DataFrame  # level, effect; one row a level
+    slope: float
+    narrow: dict[str, dict[str, float]]
+
+    def linear(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``eta``; rows with an unknown level of the wide factor leave, of a narrow one get NULL."""
+        joined = df.join(self.effects.withColumnRenamed("level", self.wide), self.wide)
+        eta = F.col("effect") + F.col("Price") * self.slope
+        for factor, effects in self.narrow.items():
+            pairs = [F.lit(x) for pair in effects.items() for x in pair]
+            eta = eta + F.element_at(F.create_map(*pairs), F.col(factor))
+        return joined.withColumn("eta", eta).drop("effect")
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.linear(df).withColumn("prediction", F.exp("eta")).drop("eta").select(*df.columns, "prediction")
+
+
+def _level_sums(scored: DataFrame, wide: str, columns: list[tuple[str, str | None]]) -> DataFrame:
+    """A row for each level of the wide factor: observed and fitted totals and the fitted sums of the narrow columns."""
+    sums = [F.sum(F.col("mean") * _indicator(c)).alias(f"a{i}") for i, c in enumerate(columns)]
+    level = scored.groupBy(F.col(wide).alias("level")).agg(
+        F.sum("y").alias("y"), F.sum("mean").alias("fitted"), F.sum("deviance").alias("deviance"), *sums
+    )
+    return level.select("level", "y", "fitted", "deviance", F.array(*[f"a{i}" for i in range(len(columns))]).alias("a"))
+
+
+def _indicator(column: tuple[str, str | None]) -> Column:
+    name, level = column
+    return F.col("Price") if level is None else F.when(F.col(name) == level, 1.0).otherwise(0.0)
+
+
+def _narrow_sums(scored: DataFrame, factors: list[str], columns: list[tuple[str, str | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """The narrow columns' block of the information matrix and their score, from one row per pair of narrow levels."""
+    cells = scored.groupBy(*factors).agg(
+        F.sum(F.col("y") - F.col("mean")).alias("gap"),
+        F.sum((F.col("y") - F.col("mean")) * F.col("Price")).alias("gap_price"),
+        F.sum("mean").alias("mean"),
+        F.sum(F.col("mean") * F.col("Price")).alias("mean_price"),
+        F.sum(F.col("mean") * F.col("Price") * F.col("Price")).alias("mean_price2"),
+    ).collect()
+    size = len(columns)
+    matrix, score = np.zeros((size, size)), np.zeros(size)
+    place = {column: i for i, column in enumerate(columns)}
+    for cell in cells:
+        on = [place[f, cell[f]] for f in factors if (f, cell[f]) in place]
+        score[0] += cell["gap_price"]
+        matrix[0, 0] += cell["mean_price2"]
+        for i in on:
+            score[i] += cell["gap"]
+            matrix[0, i] += cell["mean_price"]
+            matrix[i, 0] += cell["mean_price"]
+            for j in on:
+                matrix[i, j] += cell["mean"]
+    return matrix, score
+
+
+def _eliminated(levels: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the wide factor's levels take from the narrow block and its score: sums of a a' / fitted and a gap / fitted.
+
+    Each task adds up its levels; only sums of fixed size leave it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size * size + size)
+        for batch in batches:
+            if len(batch):
+                a, fitted = np.stack(batch["a"].to_numpy()), batch["fitted"].to_numpy()
+                gap = batch["y"].to_numpy() - fitted
+                total += np.concatenate([((a / fitted[:, None]).T @ a).ravel(), (a / fitted[:, None]).T @ gap])
+        yield pd.DataFrame({"place": np.arange(len(total)), "part": total})
+
+    parts = levels.mapInPandas(run, "place int, part double").groupBy("place").agg(F.sum("part").alias("part"))
+    total = np.zeros(size * size + size)
+    for place, part in parts.collect():
+        total[place] = part
+    return total[: size * size].reshape(size, size), total[size * size :]
 
 
 def train_poisson(rows: DataFrame) -> DemandModel:
-    """Log-linear counts on ``model_rows`` with the alphabetically first level of each factor as the base.
+    """Log-linear counts on ``model_rows`` by Newton steps that no number of levels of the widest factor stops.
 
-    Importance is the absolute z value of each coefficient.
+    The widest factor's block of the information matrix is diagonal, so it is eliminated level by level
+    where the levels lie, and the driver solves a system of the price and the two narrower factors only
+    (``NARROW_LEVELS`` at most, else ValueError). The alphabetically first level of each factor is the base;
+    importance is the absolute z value of each coefficient.
     """
-    formula = RFormula(
-        formula="Quantity ~ Category + Price + Region + Month",
-        stringIndexerOrderType="alphabetDesc",
-        handleInvalid="error",
-        featuresCol="features",
-        labelCol="label",
+    counts = rows.agg(*[F.count_distinct(c).alias(c) for c in FACTORS]).first().asDict()
+    wide = max(FACTORS, key=lambda c: (counts[c], c))
+    factors = [c for c in FACTORS if c != wide]
+    if sum(counts[c] for c in factors) > NARROW_LEVELS:
+        raise ValueError(f"more than {NARROW_LEVELS} levels beside those of {wide}")
+    known = {c: sorted(r[0] for r in rows.select(c).distinct().collect()) for c in factors}
+    columns: list[tuple[str, str | None]] = [("Price", None)] + [(c, x) for c in factors for x in known[c][1:]]
+    data = durable(
+        rows.groupBy(*FEATURES).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("Quantity")).alias("y")),
+        "counts",
     )
-    glm = GeneralizedLinearRegression(
-        family="poisson",
-        link="log",
-        featuresCol="features",
-        labelCol="label",
-        weightCol="weight",
+    start = data.groupBy(F.col(wide).alias("level")).agg(
+        F.log((F.sum("y") + 0.1) / F.sum("n")).alias("effect")
     )
-    model = Pipeline(stages=[formula, glm]).fit(rows)
-    scored = model.transform(rows)
-    attributes = scored.schema["features"].metadata["ml_attr"]["attrs"]
-    names = {a["idx"]: a["name"] for kind in attributes.values() for a in kind}
-    z_values = model.stages[-1].summary.tValues[: len(names)]
-    pairs = [(names[i], abs(float(z))) for i, z in enumerate(z_values)]
-    return DemandModel(model, POISSON_LABEL, _importance(rows, pairs), _fit_metrics(scored))
+    beta, effects, before = np.zeros(len(columns)), durable(start, "effects"), None
+    for _ in range(STEPS):
+        model = LogLinear(wide, effects, float(beta[0]), _narrow_effects(known, columns, beta))
+        scored = model.linear(data).withColumn("mean", F.col("n") * F.exp("eta")).withColumn(
+            "deviance",
+            2 * (F.when(F.col("y") > 0, F.col("y") * F.log(F.col("y") / F.col("mean"))).otherwise(0.0) - (F.col("y") - F.col("mean"))),
+        )
+        levels = durable(_level_sums(scored, wide, columns), "levels")
+        matrix, score = _narrow_sums(scored, factors, columns)
+        taken, taken_score = _eliminated(levels, len(columns))
+        deviance = levels.agg(F.sum("deviance")).first()[0]
+        if deviance is None or not np.isfinite(deviance):
+            raise ValueError("the fit diverged")
+        inverse = np.linalg.pinv(matrix - taken)
+        if before is not None and abs(deviance - before) / (abs(deviance) + 0.1) < CONVERGED:
+            break
+        before = deviance
+        step = inverse @ (score - taken_score)
+        beta = beta + step
+        moved = F.aggregate(
+            F.zip_with("a", F.array(*[F.lit(float(x)) for x in step]), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y
+        )
+        after = durable(
+            effects.join(levels, "level").select(
+                "level", (F.col("effect") + (F.col("y") - F.col("fitted") - moved) / F.col("fitted")).alias("effect")
+            ),
+            "effects",
+        )
+        discard(effects, levels)
+        effects = after
+    importance = _z_values(rows, wide, effects, levels, columns, beta, inverse)
+    return DemandModel(model, POISSON_LABEL, importance, _fit_metrics(model.transform(rows)))
+
+
+def _narrow_effects(known: dict[str, list[str]], columns: list, beta: np.ndarray) -> dict[str, dict[str, float]]:
+    found = {column: float(b) for column, b in zip(columns, beta)}
+    return {c: {x: found.get((c, x), 0.0) for x in levels} for c, levels in known.items()}
+
+
+def _z_values(
+    rows: DataFrame, wide: str, effects: DataFrame, levels: DataFrame, columns: list, beta: np.ndarray, inverse: np.ndarray
+) -> DataFrame:
+    """Variable and absolute z; those of the wide factor are computed where its levels lie, against its first level."""
+    base = effects.join(levels, "level").orderBy("level").first()
+    base_u, base_fitted, base_effect = np.array(base["a"]) / base["fitted"], base["fitted"], base["effect"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                fitted = batch["fitted"].to_numpy()
+                u = np.stack(batch["a"].to_numpy()) / fitted[:, None] - base_u
+                variance = 1 / fitted + 1 / base_fitted + np.einsum("ij,jk,ik->i", u, inverse, u)
+                z = np.abs(batch["effect"].to_numpy() - base_effect) / np.sqrt(variance)
+                yield pd.DataFrame({"Variable": wide + "_" + batch["level"], "Importance": z})
+
+    others = effects.join(levels, "level").filter(F.col("level") != base["level"])
+    of_wide = others.mapInPandas(run, "Variable string, Importance double")
+    pairs = [
+        (name if level is None else f"{name}_{level}", abs(float(b)) / float(np.sqrt(inverse[i, i])) if inverse[i, i] > 0 else 0.0)
+        for i, ((name, level), b) in enumerate(zip(columns, beta))
+    ]
+    narrow = rows.sparkSession.createDataFrame(pairs, "Variable string, Importance double")
+    return of_wide.unionByName(narrow).orderBy(*desc("Importance"), *asc("Variable"))
+
+
+@dataclass(frozen=True)
+class Mean:
+    value: float
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", F.lit(self.value))
+
+
+def train_mean(rows: DataFrame) -> DemandModel:
+    """The mean quantity for everything, where no other model could be fitted."""
+    total = rows.agg(F.sum(F.col("weight") * F.col("Quantity")), F.sum("weight")).first()
+    fitted = Mean(float(total[0] / total[1]))
+    return DemandModel(fitted, MEAN_LABEL, _importance(rows, []), _fit_metrics(fitted.transform(rows)))
 
 
 def train_demand(df: DataFrame, method: str = "forest") -> DemandModel | None:
-    """Train on sales records; None when there is no complete one."""
+    """Train on sales records; None when there is no complete one.
+
+    A model that cannot be fitted gives way to the next: forest, log-linear model, mean.
+    """
     rows = model_rows(df)
     if rows.isEmpty():
         return None
-    return train_poisson(rows) if method == "poisson" else train_forest(rows)
+    chain = {"forest": [train_forest, train_poisson], "poisson": [train_poisson], "mean": []}[method]
+    for train in chain:
+        try:
+            return train(rows)
+        except (ValueError, np.linalg.LinAlgError, PySparkException, Py4JJavaError) as problem:
+            log.warning("%s failed, the next model follows: %s", train.__name__, problem)
+    return train_mean(rows)
+
+
+def fitted_totals(df: DataFrame, model: DemandModel) -> DataFrame:
+    """(Factor, Level, Lines, Observed, Fitted): lines and total quantity of each level, as sold and as fitted."""
+    rows = model_rows(df)
+    scored = model.fitted.transform(rows)
+    level = F.explode(F.array(*[F.struct(F.lit(c).alias("Factor"), F.col(c).alias("Level")) for c in FACTORS]))
+    return scored.select(level.alias("at"), "weight", "Quantity", "prediction").groupBy("at.Factor", "at.Level").agg(
+        F.sum("weight").cast("long").alias("Lines"),
+        F.sum(F.col("weight") * F.col("Quantity")).alias("Observed"),
+        F.sum(F.col("weight") * F.col("prediction")).alias("Fitted"),
+    )
 
 
 def score_demand(model: DemandModel, known: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Predicted quantity and result text per scenario (Category, Price, Region, Month).
 
     Scenarios whose category, region or month never occurred in ``known`` (the training
-    sales) get NULL and the failure text.
+    sales) get NULL and the failure text; each factor's levels are joined as distinct keys.
     """
-    levels = known.agg(
-        *[F.collect_set(F.col(c).cast("string")).alias(f"levels_{c}") for c in FACTORS]
-    )
-    wanted = scenarios.withColumns(
+    checked = scenarios.withColumns(
         {"Price": F.col("Price").cast("double"), "Month": F.col("Month").cast("string")}
     )
-    checked = wanted.withColumn("levels", only_row(levels))
-    is_known = F.lit(True)
+    columns = checked.columns
+    is_known = F.col("Price").isNotNull()
     for c in FACTORS:
-        is_known = is_known & F.coalesce(F.array_contains(f"levels.levels_{c}", F.col(c)), F.lit(False))
-    is_known = is_known & F.col("Price").isNotNull()
-    checked = checked.withColumn("is_known", is_known).drop("levels")
-    ready = checked.filter("is_known").withColumn("Quantity", F.lit(0.0))
-    scored = model.pipeline.transform(ready).select(
-        *wanted.columns, F.col("prediction").alias("Predicted_Quantity")
-    )
+        levels = known.select(F.col(c).cast("string").alias(c)).na.drop().distinct().withColumn(f"__{c}", F.lit(True))
+        checked = checked.join(levels, c, "left")
+        is_known = is_known & F.coalesce(F.col(f"__{c}"), F.lit(False))
+    checked = durable(checked.withColumn("is_known", is_known).select(*columns, "is_known"), "scenarios")
+    ready = checked.filter("is_known").select(*columns).withColumn("Quantity", F.lit(0.0))
+    scored = model.fitted.transform(ready).select(*columns, F.col("prediction").alias("Predicted_Quantity"))
     unknown = checked.filter(~F.col("is_known")).select(
-        *wanted.columns, F.lit(None).cast("double").alias("Predicted_Quantity")
+        *columns, F.lit(None).cast("double").alias("Predicted_Quantity")
     )
     text = F.when(
         F.col("Predicted_Quantity").isNotNull(),

@@ -647,6 +647,54 @@ UNION ALL SELECT 3, 'TopCustomer', {_fill(insights.KEEP_CUSTOMER, 'Customer_Name
 UNION ALL SELECT 4, 'BestCategory', {_fill(insights.PUSH_CATEGORY, 'Category')} FROM best_category""",
 )
 
+# --- models ------------------------------------------------------------------------------
+
+_RFM_SQL = f"""{SALES},
+customers AS (SELECT Customer_ID, Customer_Name, max(Order_Date) AS last, CAST(count(DISTINCT Order_ID) AS DOUBLE) AS f,
+  CAST(sum(Sales) AS DOUBLE) AS m FROM sales GROUP BY ALL),
+rfm AS (SELECT CAST((SELECT max(last) FROM customers) - last AS DOUBLE) AS r, f, m FROM customers)"""
+ORACLE["segment_facts"] = f"""WITH {_RFM_SQL}
+SELECT count(*) AS Customers, CAST(0 AS BIGINT) AS Misplaced, CAST(3 AS BIGINT) AS Clusters,
+  CAST(count(*) AS BIGINT) AS Profiled, round(sum(m), 0) AS Monetary, round(sum(f), 0) AS Frequency, round(sum(r), 0) AS Recency
+FROM rfm"""
+
+
+def _lloyd_ctes() -> str:
+    """Each round as two CTEs: the nearest center of every point and start, then the means; an empty center stays."""
+    given = ", ".join(
+        f"({s}, {c}, {x[0]}e0, {x[1]}e0, {x[2]}e0)" for s, start in enumerate(r.LLOYD_STARTS) for c, x in enumerate(start)
+    )
+    out = [f"c0(start, center, r, f, m) AS (VALUES {given})"]
+    for i in range(r.LLOYD_ROUNDS):
+        out.append(f"""n{i} AS (
+  SELECT p.*, c.start, arg_min(c.center, (pow(p.r - c.r, 2) + pow(p.f - c.f, 2) + pow(p.m - c.m, 2), c.center)) AS center
+  FROM scaled p, c{i} c GROUP BY p.id, p.r, p.f, p.m, c.start),
+c{i + 1} AS (
+  SELECT c.start, c.center, coalesce(avg(n.r), any_value(c.r)) AS r, coalesce(avg(n.f), any_value(c.f)) AS f,
+    coalesce(avg(n.m), any_value(c.m)) AS m
+  FROM c{i} c LEFT JOIN n{i} n ON n.start = c.start AND n.center = c.center GROUP BY c.start, c.center)""")
+    return ",\n".join(out)
+
+
+ORACLE["lloyd_rounds"] = f"""WITH {_RFM_SQL},
+scaled AS (
+  SELECT row_number() OVER () AS id, (r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ()) AS r,
+    (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) AS f, (m - min(m) OVER ()) / (max(m) OVER () - min(m) OVER ()) AS m
+  FROM rfm),
+{_lloyd_ctes()}
+SELECT start, center, round(r, 7) AS R_Norm, round(f, 7) AS F_Norm, round(m, 7) AS M_Norm FROM c{r.LLOYD_ROUNDS}"""
+
+ORACLE["demand_totals"] = f"""WITH {SALES}
+SELECT Factor, Level, count(*) AS Lines, CAST(sum(Quantity) AS DOUBLE) AS Observed, CAST(sum(Quantity) AS DOUBLE) AS Fitted
+FROM (SELECT 'Category' AS Factor, Category AS Level, Quantity FROM sales
+  UNION ALL SELECT 'Region', Region, Quantity FROM sales
+  UNION ALL SELECT 'Month', CAST(Month AS VARCHAR), Quantity FROM sales)
+GROUP BY ALL"""
+ORACLE["demand_mean_metrics"] = f"""WITH {SALES},
+mean AS (SELECT avg(Quantity) AS q FROM sales)
+SELECT round(sqrt(avg(pow(Quantity - q, 2))), 6) AS RMSE, round(avg(abs(Quantity - q)), 6) AS MAE, round(any_value(q), 6) AS Mean_Quantity
+FROM sales, mean"""
+
 # --- forecasts ----------------------------------------------------------------------------
 
 _T_VALUES = ", ".join(f"({i + 1}, CAST({q!r} AS DOUBLE))" for i, q in enumerate(t_table()))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,7 @@ from ledgerline.operators import (
     segmentation,
     star,
 )
+from ledgerline.operators.customers import rfm as customers_rfm
 from ledgerline.plans.pipeline import process_raw_data
 from ledgerline.session import durable
 from ledgerline.sources import tpch
@@ -381,6 +383,35 @@ register(
 )
 
 
+register(
+    "segment_facts",
+    lambda s, d: segmentation.segment_facts(
+        segmentation.segment_customers(tpch.flat_sales(Tables(s, d), _RFM_COLUMNS))
+    ).withColumns({c: F.round(c, 0) for c in ("Monetary", "Frequency", "Recency")}),
+)
+
+# Rounds of center moves from given centers, which SQL repeats.
+LLOYD_STARTS = (
+    ((0.2, 0.2, 0.2), (0.5, 0.5, 0.5), (0.8, 0.8, 0.8)),
+    ((0.0, 1.0, 1.0), (1.0, 0.0, 0.0), (0.1, 0.3, 0.3)),
+)
+LLOYD_ROUNDS = 4
+
+
+def _lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = customers_rfm(tpch.flat_sales(Tables(spark, sf_dir), _RFM_COLUMNS))
+    points = durable(segmentation.weighted_points(segmentation.scale_rfm(durable(customers, "rfm"))), "points")
+    centers = np.array(LLOYD_STARTS)
+    for _ in range(LLOYD_ROUNDS):
+        centers, _ = segmentation.move_centers(points, centers)
+    rows = [(s, c, *map(float, centers[s, c])) for s in range(centers.shape[0]) for c in range(centers.shape[1])]
+    frame = spark.createDataFrame(rows, "start int, center int, R_Norm double, F_Norm double, M_Norm double")
+    return frame.withColumns({c: F.round(c, 7) for c in segmentation.SCALED})
+
+
+register("lloyd_rounds", _lloyd)
+
+
 def _demand(method: str, part: Callable[[demand.DemandModel, DataFrame], DataFrame]) -> Callable:
     return lambda df: part(demand.train_demand(df, method), df)
 
@@ -396,6 +427,15 @@ on_sales(
     " ".join(_DEMAND_COLUMNS),
     _demand("poisson", lambda m, df: m.importance),
 )
+# the fitted totals of a log-linear model are the observed ones, level by level
+on_stored_sales(
+    "demand_totals",
+    _demand("poisson", lambda m, df: _rounded(demand.fitted_totals(df, m))),
+    _DEMAND_COLUMNS,
+)
+on_stored_sales(
+    "demand_mean_metrics", _demand("mean", lambda m, df: _rounded(m.metrics, 6)), _DEMAND_COLUMNS
+)
 on_stored_sales(
     "demand_scores",
     _demand("poisson", lambda m, df: demand.score_demand(m, df, _scenarios(df))),

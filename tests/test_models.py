@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from conftest import rows
 from fixtures import record, sales
+from pyspark.sql import functions as F
 
 from ledgerline.operators import demand, segmentation
 
@@ -146,3 +147,74 @@ def test_scoring_scenarios(spark, lines, method):
     for unknown in (("Garden", "1"), ("Clothing", "12")):
         assert got[unknown]["Predicted_Quantity"] is None
         assert got[unknown]["Result"] == "Prediction failed. Verify predictor configuration."
+
+
+def test_unbounded_levels_of_one_factor(spark):
+    """6,000 categories: more columns than a dense normal equation takes; totals of every level are met."""
+    n = 12_000
+    df = spark.range(n).select(
+        F.concat(F.lit("c"), F.col("id") % 6000).alias("Category"),
+        (F.col("id") % 7 + 1).cast("double").alias("Price"),
+        F.element_at(F.array(F.lit("East"), F.lit("West")), (F.col("id") % 2 + 1).cast("int")).alias("Region"),
+        (F.col("id") % 3 + 1).cast("int").alias("Month"),
+        (F.pmod(F.xxhash64("id"), F.lit(9)) + 1).alias("Quantity"),
+    )
+    model = demand.train_demand(df, "poisson")
+    assert model.label == demand.POISSON_LABEL
+    assert model.importance.count() == 5999 + 1 + 1 + 2
+    off = demand.fitted_totals(df, model).filter(F.abs(F.col("Observed") - F.col("Fitted")) > 1e-3)
+    assert off.count() == 0
+
+
+def test_models_give_way_to_each_other(spark, lines, monkeypatch):
+    _, df = lines
+
+    def broken(rows):
+        raise ValueError("no forest here")
+
+    monkeypatch.setattr(demand, "train_forest", broken)
+    assert demand.train_demand(df).label == demand.POISSON_LABEL
+    monkeypatch.setattr(demand, "NARROW_LEVELS", 1)
+    model = demand.train_demand(df)
+    assert model.label == demand.MEAN_LABEL and model.importance.count() == 0
+    errors = model.metrics.first()
+    quantities = [float(r["Quantity"]) for r in lines[0]]
+    assert errors["RMSE"] == pytest.approx(np.std(quantities)) and errors["Mean_Quantity"] == pytest.approx(np.mean(quantities))
+    wanted = spark.createDataFrame([("Clothing", 20.0, "East", 1)], "Category string, Price double, Region string, Month int")
+    assert demand.score_demand(model, df, wanted).first()["Predicted_Quantity"] == pytest.approx(np.mean(quantities))
+
+
+def test_trees_draw_single_lines(spark):
+    """One combination holds a third of the lines: a tree that drew combinations would miss it with chance 1/e."""
+    hot = [record(Order_ID=f"h{i}", Category="Hot", Quantity=90, Price=D(10), Region="East") for i in range(200)]
+    cold = [
+        record(Order_ID=f"c{i}", Category="Cold", Quantity=1 + i % 5, Price=D(10 + i), Region="West") for i in range(400)
+    ]
+    rows_ = demand.model_rows(sales(spark, *hot, *cold))
+    assert rows_.filter("weight = 200").count() == 1
+    model = demand.train_forest(rows_, trees=20)
+    features = model.fitted.indexed.transform(rows_.filter("Category = 'Hot'")).first()["features"]
+    assert all(tree.predict(features) > 20 for tree in model.fitted.grown.trees)
+    sampled = {tree._call_java("rootNode").impurityStats().count() for tree in model.fitted.grown.trees}
+    assert len(sampled) > 1  # the number of lines drawn differs from tree to tree
+
+
+def test_no_start_is_cheaper(spark):
+    """Weighted points on a line: the best split of all is found."""
+    source = random.Random(4)
+    places = [(round(source.random(), 3), source.randint(1, 9)) for _ in range(40)]
+    points = spark.createDataFrame(
+        [(x, 0.0, 0.0, float(n)) for x, n in places], "R_Norm double, F_Norm double, M_Norm double, n double"
+    )
+    centers, cost = segmentation.fit_centers(points, 3, 25)
+
+    def spread(part):
+        total = sum(n for _, n in part)
+        mean = sum(x * n for x, n in part) / total
+        return sum(n * (x - mean) ** 2 for x, n in part)
+
+    ordered = sorted(places)
+    best = min(
+        spread(ordered[:i]) + spread(ordered[i:j]) + spread(ordered[j:]) for i in range(1, 39) for j in range(i + 1, 40)
+    )
+    assert cost == pytest.approx(best, rel=1e-9) and centers.shape == (3, 3)
