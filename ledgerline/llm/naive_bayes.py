@@ -22,7 +22,7 @@ SAMPLE = 12_000
 #: of a language with more texts at least about so many are learned from
 EACH = 100
 PIECE = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
 _U = np.uint32
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
@@ -49,7 +49,8 @@ def pieces(text: str):
 
 
 def has_letter(text) -> bool:
-    return isinstance(text, str) and _LETTER.search(text) is not None
+    """Whether some character is a letter; raised digits, fractions and number forms are none."""
+    return isinstance(text, str) and any(any(map(str.isalpha, run[0])) for run in _WORD.finditer(text))
 
 
 def text_scores(text: str, matrix: np.ndarray) -> np.ndarray:
