@@ -38,6 +38,10 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def filesystem(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The store of a Spark path: Spark's names for S3 are one store, and dbfs:/ is mounted at /dbfs."""
+    for name in ("s3a://", "s3n://"):
+        path = path.replace(name, "s3://", 1) if path.startswith(name) else path
+    path = "/dbfs/" + path.removeprefix("dbfs:").lstrip("/") if path.startswith("dbfs:/") else path
     return arrow_fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
@@ -72,15 +76,21 @@ def headers(block: bytes) -> dict[str, str]:
 
 def inflate(source: BinaryIO) -> Iterator[bytes]:
     """The plain bytes of a gzip file of any number of members, a bounded piece at a time."""
-    engine, data = zlib.decompressobj(31), b""
+    engine, data, begun = zlib.decompressobj(31), b"", False
     while True:
         data = data or source.read(READ)
         if not data:
-            if not engine.eof and engine.unconsumed_tail:
+            # all is read, but the engine may still hold plain bytes
+            plain = engine.decompress(b"", READ) if begun and not engine.eof else b""
+            if plain:
+                yield plain
+                continue
+            if begun and not engine.eof:
                 raise EOFError("gzip stream is cut off")
             return
         if engine.eof:
             engine = zlib.decompressobj(31)
+        begun = True
         plain = engine.decompress(data, READ)
         data = engine.unused_data if engine.eof else engine.unconsumed_tail
         if plain:
