@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,10 +193,10 @@ def parse(rows: DataFrame, model: Model) -> DataFrame:
     A null or empty text has no turns and renders as empty; every other text has at least one.
     Repeated rows are parsed each; other columns are not read. An empty table gives no rows.
     """
-    broadcast = rows.sparkSession.sparkContext.broadcast(model)
+    broadcast = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = broadcast.value
+        known = cloudpickle.loads(broadcast.value)
         for batch in batches:
             out = []
             for text in batch["text"]:
