@@ -10,6 +10,9 @@ out the rest so that a source's words come as near to its target as whole docume
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,6 +26,8 @@ STEPS = 40
 CLOSE = 1e-6
 SLOTS = 1 << 23
 COARSE = 12
+#: cuts at most, and the share of its target that a source may miss without another one
+ROUNDS, NEAR = 60, 1e-3
 #: a table of at most so many sources is broadcast
 FEW_SOURCES = 10_000
 
@@ -124,10 +129,16 @@ def whole_copies() -> Column:
     return F.when(F.col("size") > 0, F.floor(rate())).otherwise(F.lit(0)).cast("long")
 
 
+def taken(slot: Column, phase: int | Column) -> Column:
+    """Whether a cut of this phase has taken a document: one of at most the cut's size, before its slot."""
+    return F.exists("steps", lambda s: (s["phase"] == phase) & (F.col("size") <= s["most"]) & (slot < s["cut"]))
+
+
 def copies(doc_id: Column) -> Column:
     own = slot(doc_id)
-    more = (own < F.col("cut")) | ((own == F.col("filler_slot")) & (F.col("size") == F.col("filler_size")))
-    return whole_copies() + F.when((F.col("size") > 0) & more, 1).otherwise(0)
+    filler = (own == F.col("filler_slot")) & (F.col("size") == F.col("filler_size"))
+    more = [F.when(x, 1).otherwise(0) for x in (filler, *(taken(own, phase) for phase in range(1, MOST + 1)))]
+    return whole_copies() + F.when(F.col("size") > 0, reduce(add, more)).otherwise(0)
 
 
 def with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -136,51 +147,90 @@ def with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sources) if few else sources, "key")
 
 
-def cuts(sizes: DataFrame, solved: DataFrame) -> DataFrame:
-    """Add ``cut`` and a filler: documents whose slot is below the cut get one copy more, and so does
-    the filler, named by slot and size.
+def one_cut(placed: DataFrame, state: DataFrame) -> DataFrame:
+    """Move the gap of each live source by a cut through its hash order.
 
-    Two passes, over 4096 coarse steps of the hash order and then over the steps within the one
-    where a source's remaining words run out.
+    Only documents of at most half the gap stand in line, so the cut leaves less than half of it: a
+    document too long for what is left stops nobody behind it for more than one round. Two passes,
+    over 4096 coarse steps of the order and then over the slots of the step where the gap runs out.
     """
-    placed = with_sources(sizes.filter("size > 0"), solved).select(
-        "key", "size", whole_copies().alias("whole"), slot(F.col("doc_id")).alias("slot")
+    line = with_sources(placed, state.filter("live")).filter(
+        (F.col("size") <= F.col("gap") / 2) & (F.col("whole") + F.col("phase") <= MOST) & ~taken(F.col("slot"), F.col("phase"))
     )
     coarse = F.shiftright("slot", COARSE)
-    level = placed.groupBy("key", coarse.alias("step")).agg(
-        F.sum(F.col("whole") * F.col("size")).alias("base"), F.sum(F.when(F.col("slot").isNotNull(), F.col("size"))).alias("words")
-    )
-    level = durable(level, "steps")
-    need = level.groupBy("key").agg(F.sum("base").alias("base")).join(solved.select("key", "target"), "key").select(
-        "key", (F.col("target") - F.col("base")).alias("need")
+    level = durable(
+        line.groupBy("key", coarse.alias("step")).agg(F.sum("size").alias("words"), F.first("gap").alias("gap")), "steps"
     )
     upto = W.partitionBy("key").orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
-    steps = level.filter("step IS NOT NULL").join(need, "key").withColumn("upto", F.sum("words").over(upto))
     crossing = durable(
-        steps.filter("upto > need").groupBy("key").agg(F.min_by(F.struct("step", "upto", "words", "need"), "step").alias("c"))
-        .select("key", "c.step", (F.col("c.need") - F.col("c.upto") + F.col("c.words")).alias("rest")),
+        level.withColumn("upto", F.sum("words").over(upto)).filter("upto > gap")
+        .groupBy("key").agg(F.min_by(F.struct("step", (F.col("gap") - F.col("upto") + F.col("words")).alias("rest")), "step").alias("c"))
+        .select("key", "c.step", "c.rest"),
         "crossing",
     )
     few = crossing.count() <= FEW_SOURCES
-    fine = placed.withColumn("step", coarse).join(F.broadcast(crossing) if few else crossing, ["key", "step"])
+    fine = line.withColumn("step", coarse).join(F.broadcast(crossing) if few else crossing, ["key", "step"])
     fine = fine.groupBy("key", "slot").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     along = W.partitionBy("key").orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow)
-    fine = fine.withColumn("upto", F.sum("words").over(along))
-    spent = fine.filter("upto > rest").groupBy("key").agg(
-        F.min_by(F.struct("slot", (F.col("rest") - F.col("upto") + F.col("words")).alias("gap")), "slot").alias("c")
+    spent = fine.withColumn("upto", F.sum("words").over(along)).filter("upto > rest").groupBy("key").agg(
+        F.min_by(F.struct("slot", (F.col("rest") - F.col("upto") + F.col("words")).alias("left")), "slot").alias("c")
+    )
+    whole = level.groupBy("key").agg(F.sum("words").alias("all"))
+    moved = state.join(whole, "key", "left").join(spent, "key", "left")
+    stopped, stood = F.col("c").isNotNull(), F.col("all").isNotNull()
+    cut = F.struct("phase", (F.col("gap") / 2).alias("most"), F.coalesce("c.slot", F.lit(SLOTS + 1)).cast("long").alias("cut"))
+    left = F.when(stopped, F.col("c.left")).when(stood, F.col("gap") - F.col("all")).otherwise(F.col("gap"))
+    after = durable(
+        moved.select(
+            "key", "target",
+            (F.col("live") & (left > NEAR * F.col("target")) & F.when(stopped, left < F.col("gap")).otherwise(F.col("phase") < MOST))
+            .alias("live"),
+            (F.col("phase") + F.when(stopped, 0).otherwise(1)).alias("phase"),
+            F.when(stood, F.concat("steps", F.array(cut))).otherwise(F.col("steps")).alias("steps"),
+            left.alias("gap"),
+        ),
+        "gaps",
     )
-    # one document beyond the cut, of about the size of what is left, closes most of the gap
-    cut = durable(spent.select("key", "c.slot", "c.gap").withColumnRenamed("slot", "cut"), "cut")
-    beyond = placed.join(F.broadcast(cut) if few else cut, "key").filter("slot >= cut")
+    discard(level, crossing, state)
+    return after
+
+
+def cuts(sizes: DataFrame, solved: DataFrame) -> DataFrame:
+    """Add ``steps`` and a filler: documents that one of the cuts takes get one copy more, and so does
+    the filler, named by slot and size.
+
+    Cuts follow until what is missing is below ``NEAR`` of the target or no document may be copied once
+    more; each at least halves the gap or ends a phase.
+    """
+    rows = with_sources(sizes.filter("size > 0"), solved).select(
+        "key", "size", whole_copies().alias("whole"), slot(F.col("doc_id")).alias("slot")
+    )
+    base = rows.groupBy("key").agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
+    placed = durable(rows.filter("slot IS NOT NULL").select("key", "size", "whole", "slot"), "placed")
+    kind = "array<struct<phase:int,most:double,cut:bigint>>"
+    gap = F.col("target") - F.coalesce("base", F.lit(0))
+    state = durable(
+        solved.join(base, "key", "left").select(
+            "key", "target", F.lit(True).alias("live"), F.lit(1).alias("phase"), F.array().cast(kind).alias("steps"),
+            gap.cast("double").alias("gap"),
+        ),
+        "gaps",
+    )
+    for _ in range(ROUNDS):
+        state = one_cut(placed, state)
+        if state.filter("live").isEmpty():
+            break
+    # one document that no cut took, of about the size of what is left, closes most of the gap
+    beyond = with_sources(placed, state).filter(~taken(F.col("slot"), 1))
     off = F.abs(F.col("size") - F.col("gap"))
     filler = (
         beyond.filter(off < F.col("gap")).groupBy("key")
         .agg(F.min(F.struct(off.alias("off"), "slot", "size")).alias("f"))
         .select("key", F.col("f.slot").alias("filler_slot"), F.col("f.size").alias("filler_size"))
     )
-    # a source without a cut gives every document its extra copy
-    out = solved.join(cut.select("key", "cut"), "key", "left").join(filler, "key", "left")
-    return durable(out.withColumn("cut", F.coalesce("cut", F.lit(SLOTS + 1))), "mix")
+    out = durable(solved.join(state.select("key", "steps"), "key").join(filler, "key", "left"), "mix")
+    discard(placed, state)
+    return out
 
 
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -197,7 +247,7 @@ def mixture(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, taken.
 
     size counts words (null text: 0); taken = size * copies, copies from 0 to 3. A source's taken
-    words differ from its target by at most about one document. Rows with a null doc_id are
+    words differ from its target by less than a thousandth of it or by about the shortest document not taken. Rows with a null doc_id are
     ordered by their size alone, and rows that repeat doc_id and size get the same copies; other
     columns are not read. An empty table gives no rows.
     """
