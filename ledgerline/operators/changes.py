@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ranking import first_by, last_by, number_rows
@@ -392,6 +392,36 @@ def apply_orders(star: Star, batch: DataFrame, seq: Sequence[str], at: Column) -
     return Changed(tables, rejects, {"orders": new_orders, "order_items": new_items})
 
 
+def call_key(seq: Sequence[str]) -> Column:
+    """What tells one order call from another: all its parameters and its place in the feed."""
+    return F.sha2(F.to_json(F.struct(*dict.fromkeys([*ORDER_COLUMNS, *seq]))), 256)
+
+
+def apply_orders_once(star: Star, batch: DataFrame, seq: Sequence[str], at: Column, ledger: DataFrame) -> Changed:
+    """``apply_orders`` for a batch that may be sent again, whole or in part.
+
+    ``ledger`` (call_key string, applied_at timestamp) names the calls that were applied before; they are
+    taken out before items append and stock falls. Calls that are turned away never enter it, so they are
+    turned away again. ``tables`` and ``added`` hold the ledger as ``order_ledger``; it is written together
+    with the star, or a batch whose write was lost would count as applied. Equal calls within one batch are
+    separate calls, as in ``apply_orders``.
+    """
+    keyed = batch.withColumn("call_key", call_key(seq))
+    # written once: the same calls must be applied and entered
+    fresh = durable(keyed.join(ledger.select("call_key"), "call_key", "left_anti"), "fresh-calls")
+    changed = apply_orders(star, fresh.drop("call_key"), seq, at)
+    entered = fresh.filter(_order_problem().isNull()).select("call_key").distinct().withColumn("applied_at", at)
+    return Changed(
+        {**changed.tables, "order_ledger": ledger.unionByName(entered)},
+        changed.rejects,
+        {**changed.added, "order_ledger": entered},
+    )
+
+
+def empty_ledger(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "call_key string, applied_at timestamp")
+
+
 def update_items(star: Star, updates: DataFrame, seq: Sequence[str]) -> Changed:
     """Set quantity, price, sales and profit on all items of an (order, product).
 

@@ -1002,3 +1002,7 @@ ORACLE["deleted_orders_log"] = with_(
     f"""SELECT row_number() OVER (ORDER BY order_id) AS log_id, order_id, order_code, customer_id, order_date,
   {AT} AS deleted_at FROM s_orders WHERE order_id IN ({GONE})""",
 )
+
+# a batch that is sent twice counts once
+ORACLE["apply_orders_twice"] = ORACLE["apply_orders_items"]
+ORACLE["stock_after_orders_twice"] = ORACLE["stock_after_orders"]

@@ -525,6 +525,21 @@ on_history(
 )
 
 
+def _orders_twice(t: Tables, h: dict[str, DataFrame]) -> changes.Changed:
+    """The whole batch, and then the whole batch again over what the first time left."""
+    calls, at = tpch.order_calls(t), _at()
+    ledger = changes.empty_ledger(calls.sparkSession)
+    once = changes.apply_orders_once(h, calls, tpch.CALL_ORDER, at, ledger).tables
+    once = {name: durable(table, name) for name, table in once.items()}
+    return changes.apply_orders_once(once, calls, tpch.CALL_ORDER, at, once["order_ledger"])
+
+
+on_history("apply_orders_twice", lambda t, h: _orders_twice(t, h).tables["order_items"])
+on_history(
+    "stock_after_orders_twice", lambda t, h: _orders_twice(t, h).tables["products"].select("product_name", "stock")
+)
+
+
 def _returns(t: Tables, h: dict[str, DataFrame]) -> changes.Changed:
     return changes.update_items(h, tpch.return_updates(t), tpch.UPDATE_ORDER)
 

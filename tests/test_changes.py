@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from star_fixture import CHANGED, base_rows, call, calls_frame, make_star, run_calls
 
 from ledgerline.operators import changes, star
+from ledgerline.session import durable
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +59,21 @@ def test_order_batch_equals_single_calls(spark, at, seed):
     assert out.tables["products"].agg(F.sum("stock")).first()[0] == 102 + 100 * new_products - inserted
 
 
+def test_a_batch_sent_again_counts_once(spark, at):
+    calls = [call(i, order_code=f"N{i % 4}", customer_code=f"C{i % 3}", product_name=("Shirt", "Desk")[i % 2]) for i in range(12)]
+    bad, late = call(20, quantity=0), call(30, order_code="N9", city=None)
+    empty = changes.empty_ledger(spark)
+    once = changes.apply_orders_once(make_star(spark), calls_frame(spark, [*calls, bad]), ["seq"], at, empty)
+    assert once.tables["order_ledger"].count() == 12
+    stored = {name: durable(table, name) for name, table in once.tables.items()}
+    again = changes.apply_orders_once(
+        stored, calls_frame(spark, [*calls[::-1], bad, late]), ["seq"], at, stored["order_ledger"]
+    )
+    same_tables(again.tables, run_calls(base_rows(), [*calls, late]))
+    assert rows(again.rejects, "seq", "reason") == [(20, "quantity > 0")]
+    assert again.added["order_items"].count() == 1 and again.tables["order_ledger"].count() == 13
+
+
 def test_rejected_calls_name_the_rule(spark, at):
     bad = [
         call(1, quantity=0),
