@@ -1006,3 +1006,6 @@ ORACLE["deleted_orders_log"] = with_(
 # a batch that is sent twice counts once
 ORACLE["apply_orders_twice"] = ORACLE["apply_orders_items"]
 ORACLE["stock_after_orders_twice"] = ORACLE["stock_after_orders"]
+
+# what was written as CSV in two column orders comes back whole
+ORACLE["csv_round_trip"] = ORACLE["flat_sales"]

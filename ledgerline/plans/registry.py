@@ -8,6 +8,7 @@ table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -32,10 +33,11 @@ from ledgerline.operators import (
 )
 from ledgerline.operators.customers import rfm as customers_rfm
 from ledgerline.plans.pipeline import process_raw_data
-from ledgerline.session import durable
-from ledgerline.sources import tpch
+from ledgerline.session import durable, stage_folder
+from ledgerline.sources import readers, tpch
 from ledgerline.sources.schemas import REQUIRED_COLUMNS
 from ledgerline.sources.tpch import TABLE_ORDER, TYPE_MARGINS, Tables
+from ledgerline.sources.writers import write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,6 +91,20 @@ def on_star(name: str, op: Callable[[star.Star], DataFrame]) -> None:
     register(name, lambda s, d: op(tpch.star_tables(Tables(s, d))))
 
 
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sales records written as CSV, half of the columns first in one folder and last in the other, and read back."""
+    records = tpch.flat_sales(Tables(spark, sf_dir), REQUIRED_COLUMNS).withColumn("Order_Date", F.col("Order_Date").cast("string"))
+    folder, turned = f"{stage_folder(spark)}/csv-{uuid.uuid4().hex}", [*REQUIRED_COLUMNS[6:], *REQUIRED_COLUMNS[:6]]
+    even = F.pmod(F.xxhash64("Order_ID"), F.lit(2)) == 0
+    write_csv(records.filter(even), f"{folder}/order=plain")
+    write_csv(records.filter(~even).select(*turned), f"{folder}/order=turned")
+    back = readers.read_sales_files(spark, f"{folder}/*").data
+    types = tpch.flat_sales(Tables(spark, sf_dir), REQUIRED_COLUMNS).schema
+    return back.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in types.fields])
+
+
+register("csv_round_trip", _csv_round_trip)
+
 # --- sales records and figures ------------------------------------------------------------
 
 on_sales("flat_sales", " ".join(REQUIRED_COLUMNS), lambda df: df)

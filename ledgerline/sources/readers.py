@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
+from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.session import durable
 from ledgerline.sources.schemas import RAW_SCHEMA, REQUIRED_COLUMNS, SALES_TYPES
 
+CORRUPT, REASON = "_corrupt_line", "another number of fields than the header"
+
 
 def read_sales_csv(spark: SparkSession, path: str) -> DataFrame | None:
     """All columns as text (typing is a later step); None when the path cannot be read.
@@ -27,6 +33,55 @@ def read_sales_csv(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+@dataclass(frozen=True)
+class SalesFiles:
+    data: DataFrame  # the records of all files, as text, columns of all headers
+    rejects: DataFrame  # file_path, line, reason
+
+
+def read_sales_files(spark: SparkSession, path: str) -> SalesFiles | None:
+    """CSV files whose headers may differ in order or in columns; None when the path cannot be read.
+
+    One pass over the first lines groups the files by their header; each group is read by its own
+    names, and the groups are aligned by name, a column that a file lacks being NULL. Lines with more or
+    fewer fields than their file's header leave as rejects, and so do all files whose header names a
+    column twice or not at all; the rejects are written as a table. Files without any line hold nothing.
+    """
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException:
+        return None
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    first = lines.select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
+    # one row per file, as many as Spark's own listing holds
+    headers: dict[str, list[str]] = {}
+    for file, header in first.groupBy("file").agg(F.min_by("value", "place")).collect():
+        headers.setdefault(header, []).append(file)
+    kept, lost = [], []
+    for header, files in sorted(headers.items()):
+        names = [name.strip() for name in next(csv.reader([header.removeprefix("\ufeff")]), [])]
+        if not names or "" in names or len({name.lower() for name in names}) < len(names):
+            lost += [(file, header, "header names a column twice or not at all") for file in files]
+            continue
+        fields = [T.StructField(c, T.StringType()) for c in names]
+        reader = spark.read.option("header", True).option("columnPruning", False)
+        paths = [unquote(file) for file in files]
+        sound = reader.option("mode", "DROPMALFORMED").schema(T.StructType(fields)).csv(paths)
+        corrupt = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
+        rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(corrupt).csv(paths)
+        kept.append((sound, rows, names[0]))
+    data, rejects = None, spark.createDataFrame(lost, "file_path string, line string, reason string")
+    for sound, rows, name in kept:
+        data = sound if data is None else data.unionByName(sound, allowMissingColumns=True)
+        # Spark refuses a query of the line alone, so the reason reads a field (of which it shows nothing)
+        reason = F.concat_ws("", F.lit(REASON), F.substring(F.col(f"`{name}`"), 1, 0))
+        wrong = rows.filter(F.col(CORRUPT).isNotNull()).select(
+            F.col("_metadata.file_path").alias("file_path"), F.col(CORRUPT).alias("line"), reason.alias("reason")
+        )
+        rejects = rejects.unionByName(wrong)
+    return SalesFiles(empty_sales(spark) if data is None else data, durable(rejects, "csv-rejects"))
+
+
 # Columns that with_file_order adds: the row order of the files.
 FILE_ORDER = ("file_path", "file_block", "file_row")
 

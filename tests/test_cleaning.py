@@ -222,3 +222,24 @@ def test_files_with_other_headers_fail_instead_of_mixing(spark, tmp_path):
     (tmp_path / "b.csv").write_text("Order_ID,Price,Quantity\n2,7,2\n")
     with pytest.raises(Exception, match="(?i)header"):
         readers.read_sales_csv(spark, str(tmp_path)).collect()
+
+
+def test_files_with_other_headers_are_read_by_name(spark, tmp_path):
+    texts = {
+        "a.csv": 'x,y\n1,"a,b"\n2,c\n',
+        "b b.csv": "y,x\nd,3\ne\nf,5,6\n",
+        "c.csv": "x,z\n7,q\n",
+        "d.csv": "x,X\n8,9\n",
+        "e.csv": "",
+        "f.csv": "y,x\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    found = readers.read_sales_files(spark, str(tmp_path))
+    assert rows(found.data, "x", "y", "z") == sorted(
+        [("1", "a,b", None), ("2", "c", None), ("3", "d", None), ("7", None, "q")], key=repr
+    )
+    lost = {(r["file_path"].rpartition("/")[2], r["line"]) for r in found.rejects.collect()}
+    assert lost == {("b%20b.csv", "e"), ("b%20b.csv", "f,5,6"), ("d.csv", "x,X")}
+    assert found.rejects.select("line").count() == 3 and found.data.select("y").count() == 4
+    assert readers.read_sales_files(spark, str(tmp_path / "none")) is None
