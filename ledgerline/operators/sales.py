@@ -21,24 +21,23 @@ def kpis(
     """One row: Revenue, Profit, ProfitMargin, TotalOrders, AOV, CustomerRetentionRate and a
     modelled ConversionRate; zeros for an empty frame.
 
-    Customers and the total come out of one grouping-sets pass, so the input is read once.
+    Lines are first added up by customer and order, before they are shuffled; customers and the
+    distinct orders are both counted from those rows, whose exchange they share. NULL counts as one
+    customer and as one order.
     """
-    per_set = df.groupingSets([["Customer_ID"], []], "Customer_ID").agg(
-        F.grouping("Customer_ID").alias("is_total"),
-        nz_sum("Sales").alias("Sales"),
-        nz_sum("Profit").alias("Profit"),
-        n_distinct("Order_ID").alias("Orders"),
+    pairs = df.groupBy("Customer_ID", "Order_ID").agg(nz_sum("Sales").alias("Sales"), nz_sum("Profit").alias("Profit"))
+    per_customer = pairs.groupBy("Customer_ID").agg(
+        F.sum("Sales").alias("Sales"), F.sum("Profit").alias("Profit"), F.count(F.lit(1)).alias("Orders")
     )
-    total = F.col("is_total") == 1
-    customer = F.col("is_total") == 0
+    orders = pairs.groupBy("Order_ID").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)))
     return (
-        per_set.agg(
-            F.coalesce(F.max(F.when(total, F.col("Sales"))), F.lit(0)).alias("Revenue"),
-            F.coalesce(F.max(F.when(total, F.col("Profit"))), F.lit(0)).alias("Profit"),
-            F.coalesce(F.max(F.when(total, F.col("Orders"))), F.lit(0)).alias("TotalOrders"),
-            F.count_if(customer).alias("customers"),
-            F.count_if(customer & (F.col("Orders") > 1)).alias("repeaters"),
+        per_customer.agg(
+            nz_sum("Sales").alias("Revenue"),
+            nz_sum("Profit").alias("Profit"),
+            F.count(F.lit(1)).alias("customers"),
+            F.count_if(F.col("Orders") > 1).alias("repeaters"),
         )
+        .withColumn("TotalOrders", orders.scalar())
         .withColumn("visits", F.col("TotalOrders") * F.lit(visits_per_order) + F.lit(base_visits))
         .select(
             "Revenue",
