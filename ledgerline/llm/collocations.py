@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,53 +21,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerline.llm.bloom import bloom_of, read_bloom
 from ledgerline.llm.count_automata import Automaton, Key, build, union
 from ledgerline.llm.grouped import by_group
 from ledgerline.llm.words import _FOLD, _LOWER, U, mix
 from ledgerline.session import discard, durable
 
 LONGEST = 4
+#: lengths of phrases whose hashes one pass counts; those of the last pass share what filters them
+LEVELS = ((1,), (2,), (3, 4))
 #: bytes of text that are split at once; longer texts are read in parts that overlap by three words
-CHUNK = 4 << 20
-#: hashes that a task counts, and phrases that it holds, before it hands them on
-HELD_HASHES, HELD_PHRASES = 3_000_000, 250_000
-#: bits for each frequent hash and at most (16 MB are sent to every executor)
-BITS_PER_KEY, MAX_BITS, PROBES = 12, 1 << 27, 3
+CHUNK = 1 << 20
+#: hashes that a task counts, and phrases that it holds, before it hands them on; hashes handed on at once
+HELD_HASHES, HELD_PHRASES, HANDED = 1_500_000, 400_000, 200_000
 #: phrases of a range, as far as known, and words and phrases sampled to cut the ranges
-RANGE, MAX_RANGES, SAMPLE_WORDS, SAMPLE_PHRASES = 40_000, 4096, 2_000_000, 20_000
+RANGE, MAX_RANGES, SAMPLE_WORDS, SAMPLE_PHRASES = 10_000, 4096, 2_000_000, 20_000
 UNKNOWN = "und"
 
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[9, 32]] = 1
 _KIND[[10, 11, 12, 13, *b".,;:!?"]] = 2
 _GAP = re.compile(rb"[\x09-\x0D .,;:!?]")
-_BASE = U(0x100000001B3)
-_SALTS = np.arange(PROBES, dtype=U) * _FOLD
+# Words are joined by byte 0; their own bytes 0 to 8 move up by one, as 9 is never theirs. So joined
+# phrases sort as lists of words do.
+JOINT = b"\x00"
+_UP = bytes([*range(1, 10), *range(9, 256)])
+_DOWN = bytes([0, *range(9), *range(10, 256)])
+_TABLE = bytes(_UP[byte] for byte in _LOWER)
+_VALUE = _LOWER.astype(U) + U(1)
+_SPACED = bytes(0 if byte == 32 else up for byte, up in enumerate(_UP))
+_BASE = 0x100000001B3
+
+
+def powers(base: int, count: int) -> np.ndarray:
+    return np.concatenate((np.ones(1, dtype=U), np.cumprod(np.full(count, base, dtype=U))))
+
+
+_POWERS = {base: powers(base, CHUNK) for base in (_BASE, pow(_BASE, -1, 1 << 64))}
+
+
+def power(inverse: bool, count: int) -> np.ndarray:
+    """Powers of the base or its inverse modulo 2^64, more of them for a longer text."""
+    base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
+    return _POWERS[base] if count < len(_POWERS[base]) else powers(base, count)
 
 
 class Chunk:
     """Words of some bytes: their hashes, places and pieces; the first ``carried`` were read before."""
 
     def __init__(self, data: bytes, ends: list[int], langs: list[str], carried: int = 0):
-        self.raw = _LOWER[np.frombuffer(data, dtype=np.uint8)]
-        kind = _KIND[self.raw]
-        inside = kind == 0
-        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        self.starts, self.stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        raw = np.frombuffer(data, dtype=np.uint8)
+        kind = _KIND[raw]
+        edges = np.flatnonzero(np.diff(kind == 0, prepend=False, append=False))
+        self.starts, self.stops = edges[::2], edges[1::2]
         self.langs, self.carried = langs, carried
-        n = len(self.starts)
-        if not n:
+        if not len(self.starts):
             return
-        lengths = self.stops - self.starts
-        first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        place = np.arange(lengths.sum()) - np.repeat(first, lengths)
-        power = np.cumprod(np.full(lengths.max(), _BASE, dtype=U))
-        hashes = np.add.reduceat((self.raw[inside].astype(U) + U(1)) * power[place], first)
-        self.hashes = mix(hashes ^ mix(lengths.astype(U) * _FOLD))
-        self.pieces = np.cumsum(kind == 2)[self.starts]
+        # a word's hash is the polynomial of its bytes: a difference of running sums, moved to its start
+        sums = _VALUE[raw]
+        sums *= power(False, len(raw))[: len(raw)]
+        np.cumsum(sums, out=sums)
+        before = np.where(self.starts > 0, sums[self.starts - 1], U(0))
+        hashes = (sums[self.stops - 1] - before) * power(True, len(raw))[self.starts]
+        self.hashes = mix(hashes ^ mix((self.stops - self.starts).astype(U) * _FOLD))
+        self.pieces = np.cumsum(kind == 2, dtype=np.int32)[self.starts]
+        self.prefixes = [lang.encode().hex().encode() + JOINT for lang in langs]
+        self.text = data.translate(_TABLE)
         self.lang = np.searchsorted(np.array(ends), self.starts, side="right")
-        self.text = self.raw.tobytes()
-
     def keys(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(m, hashes of the runs of m words that start at each word, whether such a run is to be counted)."""
         if not len(self.starts):
@@ -83,9 +103,26 @@ class Chunk:
             here = at[: len(key)]
             yield m, key, (self.pieces[here] == self.pieces[m - 1 :]) & (here + m - 1 >= self.carried)
 
-    def phrase(self, at: int, m: int) -> Key:
+    def phrase(self, at: int, m: int) -> bytes:
+        """The lang, in hexadecimal digits, and the words, joined."""
         words = [self.text[a:b] for a, b in zip(self.starts[at : at + m].tolist(), self.stops[at : at + m].tolist())]
-        return (self.langs[self.lang[at]].encode(), *words)
+        return self.prefixes[self.lang[at]] + JOINT.join(words)
+
+    def phrases(self, rows: np.ndarray, m: int) -> Iterator[bytes]:
+        """The phrases of m words that start at these words; most have single spaces between them."""
+        ends = self.stops[rows + m - 1]
+        for at, start, end, lang in zip(rows.tolist(), self.starts[rows].tolist(), ends.tolist(), self.lang[rows].tolist()):
+            cut = self.text[start:end].replace(b" ", JOINT)
+            yield self.prefixes[lang] + cut if cut.count(JOINT) == m - 1 and b"\t" not in cut else self.phrase(at, m)
+
+
+def plain(words: Iterable[bytes]) -> str:
+    """Words of a phrase as text, with spaces."""
+    return b" ".join(words).translate(_DOWN).decode("utf-8", "replace")
+
+
+def key_of(lang: str, part: str) -> Key:
+    return (lang.encode().hex().encode(), *part.encode().translate(_SPACED).split(JOINT))
 
 
 def hash_text(text: str) -> int:
@@ -128,132 +165,121 @@ def _parts(data: bytes, lang: str) -> Iterator[Chunk]:
         at = at + int(chunk.starts[-carried]) if carried else end
 
 
-class Bloom:
-    """Which hashes are frequent; it never says no to one that is."""
-
-    def __init__(self, bits: int, words: np.ndarray):
-        self.shift, self.words = U(64 - bits.bit_length() + 1), words
-
-    @staticmethod
-    def places(keys: np.ndarray, shift: np.uint64) -> list[np.ndarray]:
-        return [(mix(keys + salt) >> shift).astype(np.int64) for salt in _SALTS]
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), dtype=bool)
-        for place in self.places(keys, self.shift):
-            out &= (self.words[place >> 6] >> (place & 63).astype(U)) & U(1) == 1
-        return out
-
-
-def _bloom(frequent: DataFrame, count: int) -> tuple[int, bytes]:
-    """Size and bits of a Bloom filter over a table of hashes; its words are combined before they are collected."""
-    bits = 1 << min(max(count * BITS_PER_KEY, 1 << 10).bit_length(), MAX_BITS.bit_length() - 1)
-    shift = U(64 - bits.bit_length() + 1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            place = np.unique(np.concatenate(Bloom.places(batch["key"].to_numpy().view(U), shift)))
-            if not len(place):
-                continue
-            word, first = np.unique(place >> 6, return_index=True)
-            ored = np.bitwise_or.reduceat(U(1) << (place & 63).astype(U), first)
-            yield pd.DataFrame({"word": word, "bits": ored.view(np.int64)})
-
-    words = frequent.select("key").mapInPandas(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    table = words.toPandas()
-    out = np.zeros(bits >> 6, dtype=np.int64)
-    out[table["word"].to_numpy()] = table["bits"].to_numpy()
-    return bits, out.tobytes()
-
-
-def _read(bloom) -> Bloom:
-    bits, raw = bloom.value
-    return Bloom(bits, np.frombuffer(raw, dtype=U))
+def _count_hashes(docs: DataFrame, lengths: tuple[int, ...], shorter) -> DataFrame:
+    """(key, lang, n): hashes of phrases of these lengths whose parts are frequent; of single words also their number by lang.
 
-
-def _count_hashes(docs: DataFrame, m: int, shorter) -> DataFrame:
-    """(key, lang, n): hashes of phrases of m words whose parts are frequent; with m = 1 also words by lang."""
+    ``shorter`` holds the frequent parts of one word less than the least of the lengths.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bloom = _read(shorter) if shorter is not None else None
+        bloom = read_bloom(shorter) if shorter is not None else None
         held, size, totals = [], 0, {}
 
-        def flush() -> pd.DataFrame:
+        def flush() -> Iterator[pd.DataFrame]:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"key": keys.view(np.int64), "lang": None, "n": n})
+            held.clear()
+            for at in range(0, len(keys), HANDED):
+                part = slice(at, at + HANDED)
+                yield pd.DataFrame({"key": keys[part].view(np.int64), "lang": None, "n": n[part]})
 
         for batch in batches:
             for chunk in chunks(batch):
-                before = None
+                good = None
                 for length, keys, counted in chunk.keys():
-                    if length == m:
-                        if before is not None:
-                            counted = counted & before[:-1] & before[1:]
-                        held.append(keys[counted])
-                        size += len(held[-1])
-                        if m == 1:
-                            words = np.bincount(chunk.lang[counted], minlength=len(chunk.langs))
-                            for lang, n in zip(chunk.langs, words.tolist()):
-                                totals[lang] = totals.get(lang, 0) + n
+                    if length == lengths[0] - 1:
+                        good = bloom.has(keys)
+                    if length not in lengths:
+                        continue
+                    if good is not None:  # both parts, or all of them, are frequent
+                        good = good[:-1] & good[1:]
+                        counted = counted & good
+                    held.append(keys[counted])
+                    size += len(held[-1])
+                    if length == 1:
+                        words = np.bincount(chunk.lang[counted], minlength=len(chunk.langs))
+                        for lang, n in zip(chunk.langs, words.tolist()):
+                            totals[lang] = totals.get(lang, 0) + n
+                    if length == lengths[-1]:
                         break
-                    if length == m - 1:
-                        before = bloom.has(keys)
                 if size >= HELD_HASHES:
-                    yield flush()
-                    held, size = [], 0
+                    yield from flush()
+                    size = 0
         if held:
-            yield flush()
+            yield from flush()
         if totals:
             yield pd.DataFrame({"key": None, "lang": list(totals), "n": list(totals.values())}).astype({"key": "Int64"})
 
     return docs.mapInPandas(run, "key long, lang string, n long")
 
 
-def _shards(docs: DataFrame, blooms: list, bounds: list[Key] | None) -> DataFrame:
-    """(range, automaton): the counts of what tasks have read, cut at the bounds; without bounds (range 0) sampled phrases."""
+class Counts:
+    """Counts of the phrases that a task has read; each phrase is cut out of its text once."""
+
+    def __init__(self):
+        self.phrases: dict[int, bytes] = {}
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.seen = np.empty(0, dtype=U)
+
+    def add(self, chunk: Chunk, m: int, keys: np.ndarray, rows: np.ndarray) -> None:
+        unique, first, n = np.unique(keys[rows], return_index=True, return_counts=True)
+        self.held.append((unique, n))
+        place = np.searchsorted(self.seen, unique)
+        new = np.ones(len(unique), dtype=bool)
+        inside = place < len(self.seen)
+        new[inside] = self.seen[place[inside]] != unique[inside]
+        for key, phrase in zip(unique[new].tolist(), chunk.phrases(rows[first[new]], m)):
+            self.phrases[key] = phrase
+        if len(self.held) % 16 == 0:
+            self.seen = np.sort(np.fromiter(self.phrases, dtype=U, count=len(self.phrases)))
+
+    def __len__(self) -> int:
+        return len(self.phrases)
+
+    def items(self) -> list[tuple[bytes, int]]:
+        """Phrases in order with their counts; nothing is held afterwards."""
+        keys, place = np.unique(np.concatenate([k for k, _ in self.held]), return_inverse=True)
+        # sums of floats are exact here: a task reads less than 2^53 words between two flushes
+        n = np.bincount(place, np.concatenate([n for _, n in self.held])).astype(np.int64)
+        out = sorted(zip(map(self.phrases.__getitem__, keys.tolist()), n.tolist()))
+        self.__init__()
+        return out
+
+
+def _counted(batches: Iterator[pd.DataFrame], blooms: list) -> Iterator[list[tuple[bytes, int]]]:
+    """Sorted phrases with the counts of what a task has read, whenever it holds enough."""
+    filters, counts = [read_bloom(bloom) for bloom in blooms], Counts()
+    for batch in batches:
+        for chunk in chunks(batch):
+            for m, keys, counted in chunk.keys():
+                if m > len(filters):
+                    break
+                rows = np.flatnonzero(counted)
+                counts.add(chunk, m, keys, rows[filters[m - 1].has(keys[rows])])
+            if len(counts) >= HELD_PHRASES:
+                yield counts.items()
+    if len(counts):
+        yield counts.items()
+
+
+def _shards(docs: DataFrame, blooms: list, bounds: list[bytes]) -> DataFrame:
+    """(range, automaton): the counts of what tasks have read, cut at the bounds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filters = [_read(bloom) for bloom in blooms]
-        counts: dict[int, int] = {}
-        phrases: dict[int, Key] = {}
-
-        def flush() -> pd.DataFrame:
-            items = sorted(zip(phrases.values(), (counts[key] for key in phrases)))
-            phrases.clear()
-            counts.clear()
-            out, at = [], 0
+        for items in _counted(batches, blooms):
+            at = 0
             while at < len(items):
                 place = bisect_right(bounds, items[at][0])
                 end = len(items)
                 if place < len(bounds):  # a bound belongs to the range that it opens
                     end = bisect_left(items, bounds[place], lo=at, key=lambda item: item[0])
-                out.append((place, build(items[at:end]).to_bytes()))
+                part = build((tuple(key.split(JOINT)), n) for key, n in items[at:end])
+                yield pd.DataFrame({"range": [place], "automaton": [part.to_bytes()]})
                 at = end
-            return pd.DataFrame(out, columns=["range", "automaton"])
-
-        for batch in batches:
-            for chunk in chunks(batch):
-                for m, keys, counted in chunk.keys():
-                    if m > len(filters):
-                        break
-                    rows = np.flatnonzero(counted)
-                    rows = rows[filters[m - 1].has(keys[rows])]
-                    unique, first, n = np.unique(keys[rows], return_index=True, return_counts=True)
-                    for key, at, some in zip(unique.tolist(), rows[first].tolist(), n.tolist()):
-                        if key in counts:
-                            counts[key] += some
-                        else:
-                            counts[key] = some
-                            phrases[key] = chunk.phrase(at, m)
-                if len(counts) >= HELD_PHRASES:
-                    yield flush()
-        if counts:
-            yield flush()
 
     return docs.mapInPandas(run, "range int, automaton binary")
 
 
-def _bounds(docs: DataFrame, blooms: list, words: int, phrases: int) -> list[Key]:
+def _bounds(docs: DataFrame, blooms: list, words: int, phrases: int) -> list[bytes]:
     """Phrases that cut the sorted phrases into ranges of about ``RANGE``, from a bounded sample of documents.
 
     The sample decides how even the ranges are and nothing else.
@@ -266,51 +292,50 @@ def _bounds(docs: DataFrame, blooms: list, words: int, phrases: int) -> list[Key
     keep = max(-(-phrases // SAMPLE_PHRASES), 1)
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for blob in batch["automaton"]:
-                keys = [b"\x00".join(key) for key, _ in Automaton.from_bytes(blob).items()]
-                yield pd.DataFrame({"phrase": keys})
+        for items in _counted(batches, blooms):
+            yield pd.DataFrame({"phrase": [phrase for phrase, _ in items]})
 
-    found = _shards(some, blooms, []).mapInPandas(sample, "phrase binary").distinct()
+    found = some.mapInPandas(sample, "phrase binary").distinct()
     found = found.filter(F.pmod(F.xxhash64("phrase"), F.lit(keep)) == 0)
-    keys = sorted(tuple(bytes(r[0]).split(b"\x00")) for r in found.collect())
+    keys = sorted(bytes(r[0]) for r in found.collect())
     cuts = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if len(keys) >= ranges else keys
     return sorted(set(cuts))
 
 
-def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, list[Key]]:
+def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, list[bytes]]:
     """Totals (lang, n), the united automata (range, automaton) of phrases of ``least`` or more, and the bounds of ranges."""
     spark = docs.sparkSession
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    blooms, known, totals = [], 0, None
-    for m in range(1, LONGEST + 1):
-        read = _count_hashes(docs, m, blooms[-1] if blooms else None)
-        if m == 1:  # read twice: for the words of each lang and for the hashes
+    blooms, known, totals, words = [], 0, None, 0
+    for lengths in LEVELS:
+        read = _count_hashes(docs, lengths, blooms[-1] if blooms else None)
+        if totals is None:  # read twice: for the words of each lang and for the hashes
             read = durable(read, "words")
             totals = durable(read.filter("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
             words = totals.agg(F.sum("n")).first()[0] or 0
-        counted = read.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        frequent = durable(counted.select("key"), "frequent")
-        if m == 1:
+        # a task has added up its own already: nothing is gained by doing so again before the shuffle
+        counted = read.filter("key IS NOT NULL").repartition("key").groupBy("key")
+        frequent = durable(counted.agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"), "frequent")
+        if not blooms:
             discard(read)
         count = frequent.count()
+        if count:
+            known += count
+            blooms += [spark.sparkContext.broadcast(bloom_of(frequent, count))] * len(lengths)
+        discard(frequent)
         if not count:
-            discard(frequent)
             break
-        known += count
-        blooms.append(spark.sparkContext.broadcast(_bloom(frequent, count)))
-        discard(frequent)
     bounds = _bounds(docs, blooms, words, known)
 
     def unite(group: pd.DataFrame) -> pd.DataFrame:
         automata = [Automaton.from_bytes(blob) for blob in group["automaton"]]
-        return pd.DataFrame({"range": [group["range"].iloc[0]], "automaton": [union(automata, least).to_bytes()]})
+        return pd.DataFrame({"range": [group["range"].iloc[0]], "automaton": [union(automata, least, JOINT.join).to_bytes()]})
 
     shards = _shards(docs, blooms, bounds)
     return totals, durable(by_group(shards, "range", unite, "range int, automaton binary", len(bounds) + 1), "automata"), bounds
 
 
-def _listed(automata: DataFrame, bounds: list[Key]) -> DataFrame:
+def _listed(automata: DataFrame, bounds: list[bytes]) -> DataFrame:
     """(lang, phrase, words, f, cut, first, rest, first_range, rest_range): phrases of two words and more, a row for each cut."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,13 +343,10 @@ def _listed(automata: DataFrame, bounds: list[Key]) -> DataFrame:
             for blob in batch["automaton"]:
                 out = []
                 for (lang, *words), count in Automaton.from_bytes(blob).items():
+                    name, phrase = bytes.fromhex(lang.decode()).decode(), plain(words)
                     for cut in range(1, len(words)):
-                        first, rest = (lang, *words[:cut]), (lang, *words[cut:])
-                        out.append((
-                            lang.decode(), b" ".join(words).decode("utf-8", "replace"), len(words), count, cut,
-                            b" ".join(first[1:]).decode("utf-8", "replace"), b" ".join(rest[1:]).decode("utf-8", "replace"),
-                            bisect_right(bounds, first), bisect_right(bounds, rest),
-                        ))
+                        ranges = [bisect_right(bounds, JOINT.join((lang, *part))) for part in (words[:cut], words[cut:])]
+                        out.append((name, phrase, len(words), count, cut, plain(words[:cut]), plain(words[cut:]), *ranges))
                 if out:
                     yield pd.DataFrame(out)
 
@@ -345,11 +367,11 @@ def _part_counts(automata: DataFrame, cuts: DataFrame) -> DataFrame:
         asked = group[group["automaton"].isna()]
         if not len(blobs) or not len(asked):
             return None
-        keys = sorted((lang.encode(), *part.encode().split(b" ")) for lang, part in zip(asked["lang"], asked["part"]))
+        keys = sorted(key_of(lang, part) for lang, part in zip(asked["lang"], asked["part"]))
         found = list(Automaton.from_bytes(blobs.iloc[0]).compose(build((key, 0) for key in keys)))
         return pd.DataFrame({
-            "lang": [key[0].decode() for key, _ in found],
-            "part": [b" ".join(key[1:]).decode("utf-8", "replace") for key, _ in found],
+            "lang": [bytes.fromhex(key[0].decode()).decode() for key, _ in found],
+            "part": [plain(key[1:]) for key, _ in found],
             "n": [count for _, count in found],
         })
 

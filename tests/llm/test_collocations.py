@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerline.llm import collocations
+from ledgerline.llm import bloom, collocations
 from ledgerline.llm.count_automata import Automaton, build, union
 
 keys = st.lists(st.sampled_from([b"a", b"b", b"cc", b"\xc3\xa9"]), max_size=4).map(tuple)
@@ -86,8 +86,9 @@ def invented(count: int, seed: int) -> list[tuple]:
 def test_matches_plain_counting(spark, monkeypatch, small):
     """Whole chunks and one range; tiny chunks that cut texts, many flushes and ranges, a Bloom filter that says yes too often."""
     if small:
-        for name, value in (("CHUNK", 90), ("HELD_HASHES", 50), ("HELD_PHRASES", 40), ("RANGE", 15), ("MAX_BITS", 1 << 9)):
+        for name, value in (("CHUNK", 90), ("HELD_HASHES", 50), ("HELD_PHRASES", 40), ("RANGE", 15)):
             monkeypatch.setattr(collocations, name, value)
+        monkeypatch.setattr(bloom, "MAX_BITS", 1 << 9)
     rows = invented(250, 5)
     docs = spark.createDataFrame([(i, t, g, "x") for i, (t, g) in enumerate(rows)], "doc_id int, text string, lang string, phrase string")
     for least, contained, top in ((5, 80, 2000), (12, 55, 7)):
