@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +38,14 @@ LEAF = 1 << 16
 #: windows of so many bytes are merged by looking at all pairs, and byte strings of so many are remembered
 SHORT, STEM = 64, 6
 NEVER = 1 << 62
-SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# White space, first that of ASCII, then the rest.
+SPACES = "\t\n\x0b\x0c\r ", "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+RUNS = tuple(tuple(c + " " for c in chars) for chars in SPACES)
+
+
+def run_before_space(text: str) -> bool:
+    """Whether a space follows other white space."""
+    return any(run in text for run in RUNS[0]) or not text.isascii() and any(run in text for run in RUNS[1])
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -75,7 +82,6 @@ class Encoder:
         self.pieces = regex.compile(pattern).findall
         self.first_piece = regex.compile(pattern).match
         self.cut_at_spaces = cut_at_spaces
-        self.run_before_space = regex.compile(SPACE + " ").search
         self.single = [ranks[bytes([a])] for a in range(256)]
         self.two = [ranks.get(bytes([a, b]), NEVER) for a in range(256) for b in range(256)]
         self.window = Memo(self.merged)
@@ -144,7 +150,10 @@ class Encoder:
         """The encoding of the bytes of both lists, each the encoding of its own."""
         if not left or not right:
             return left + right
-        window = self.window[self.bytes_of[left[-1]] + self.bytes_of[right[0]]]
+        edge = (left[-1], right[0])
+        window = self.window[self.bytes_of[edge[0]] + self.bytes_of[edge[1]]]
+        if window == edge:
+            return left + right
         i = j = 1
         while True:
             grow_left = i < len(left) and window[0] != left[-i]
@@ -177,8 +186,7 @@ class Encoder:
     # --- whole texts ----------------------------------------------------------------------
 
     def _packed_piece(self, piece: str) -> bytes:
-        ids = self.piece(piece)
-        return struct.pack(f"<{len(ids)}i", *ids)
+        return array("i", self.piece(piece)).tobytes()
 
     def _packed_text(self, text: str) -> bytes:
         return b"".join(map(self.packed_piece.__getitem__, self.pieces(text)))
@@ -197,7 +205,7 @@ class Encoder:
         """
         if not text:
             return b""
-        if not self.cut_at_spaces or self.run_before_space(text):
+        if not self.cut_at_spaces or run_before_space(text):
             return self._packed_text(text)
         first, *rest = text.split(" ")
         return self.packed_unit[first] + b"".join(map(self.packed_spaced.__getitem__, rest))
@@ -279,7 +287,7 @@ def encode(
                 rows = [encoder.packed(text) for text in part.column(part.num_columns - 1).to_pylist()]
                 offsets = np.zeros(len(rows) + 1, dtype=np.int32)
                 np.cumsum([len(row) // 4 for row in rows], out=offsets[1:])
-                values = np.frombuffer(b"".join(rows), dtype="<i4")
+                values = np.frombuffer(b"".join(rows), dtype="i4")
                 yield part, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
         return apply
