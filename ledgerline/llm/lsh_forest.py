@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ledgerline.llm.bloom import bloom_of, read_bloom
 from ledgerline.llm.grouped import by_group, components, forest_edges
 from ledgerline.llm.names import fresh
 from ledgerline.llm.words import _FOLD, U, digest, mix, shingle_set, word_hashes
@@ -37,8 +38,11 @@ _MULTIPLIERS = mix(np.arange(1, VALUES + 1, dtype=U) * _FOLD) | U(1)
 
 
 def tree_count(percent: int) -> int:
-    """So many trees that a pair just at the threshold shares no region with chance 1e-5."""
-    return min(VALUES // DEPTH, math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** DEPTH)))
+    """So many trees that a pair just at the threshold shares no region with chance 1e-5; ValueError if too many."""
+    wanted = math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** DEPTH)) if percent < 100 else 1
+    if wanted > VALUES // DEPTH:
+        raise ValueError(f"{VALUES} values cannot find pairs of {percent} % surely enough")
+    return wanted
 
 
 def signature(values: np.ndarray) -> np.ndarray:
@@ -99,10 +103,10 @@ def _members(classes: DataFrame) -> DataFrame:
     return durable(exploded.join(regions, "key"), "regions")
 
 
-def _blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(block, id, root): at most about WIDTH + CENTRAL sets a block, those of one region or part of it.
 
-    No set is linked yet: each is its own root.
+    No set is linked yet: each is its own root. With the table that the blocks are read from.
     """
     small = members.filter(F.col("size") <= WIDTH).select(F.col("key").alias("block"), "id")
     large = members.filter(F.col("size") > WIDTH).join(classes.select("id", "sig"), "id")
@@ -147,10 +151,11 @@ def _blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
         .select(F.xxhash64("region", F.lit("central"), "part").alias("block"), "id")
     )
     every = small.unionByName(deep).unionByName(spread).unionByName(central).distinct()
-    return every.withColumn("root", F.col("id"))
+    discard(levels)
+    return every.withColumn("root", F.col("id")), read
 
 
-def _apart(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _apart(members: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(block, id, root): in each large region the sets outside its main component against all its sets.
 
     Sets are banded by their number of shingles so that those of bands further apart than one
@@ -180,7 +185,7 @@ def _apart(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     outside = outside.join(sides, place).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).select(
         F.xxhash64(*place, "chunk", F.pmod("own", "others")).alias("block"), "id", "root"
     )
-    return whole.unionByName(outside).distinct()
+    return whole.unionByName(outside).distinct(), rooted, sides
 
 
 def _candidates(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -245,10 +250,20 @@ def _confirmed(parts: DataFrame, classes: DataFrame, docs: DataFrame, words: int
         return pd.DataFrame({"a": a, "b": b})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # written first, so that Spark knows its size: few wanted rows go to the texts, not the texts to them
     wanted = durable(parts.join(classes.select("id", "d2", "doc_id"), "id"), "wanted")
-    rows = wanted.join(texts, "doc_id").drop("doc_id")
-    return by_group(rows, "part", confirm, "a long, b long")
+    ids = wanted.select(F.col("doc_id").alias("key")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(ids, ids.count()))
+
+    @F.pandas_udf("boolean")
+    def may_be_wanted(doc_ids: pd.Series) -> pd.Series:
+        return pd.Series(read_bloom(shared).has(doc_ids.fillna(0).to_numpy(dtype=np.int64).view(U)))
+
+    # texts that no part wants stay where they are; the others travel to their parts by the same plan at every size
+    texts = texts.filter("doc_id IS NOT NULL").filter(may_be_wanted("doc_id"))
+    rows = texts.join(wanted.hint("merge"), "doc_id").drop("doc_id")
+    found = durable(by_group(rows, "part", confirm, "a long, b long"), "links")
+    discard(wanted)
+    return found
 
 
 def _digests(text: Column, words: int) -> Column:
@@ -276,15 +291,22 @@ def _groups(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     )
     members = _members(classes)
 
-    def links(blocks: DataFrame) -> DataFrame:
+    def links(blocks: DataFrame, *read: DataFrame) -> DataFrame:
         parts = durable(_candidates(blocks, classes, percent), "parts")
-        return durable(_confirmed(parts, classes, docs, words, percent), "links")
-
-    roots = components(links(_blocks(members, classes)))
+        discard(*read)
+        found = _confirmed(parts, classes, docs, words, percent)
+        discard(parts)
+        return found
+
+    first = links(*_blocks(members, classes))
+    roots = durable(components(first), "roots")
+    discard(first)
     if not members.filter(F.col("size") > WIDTH).isEmpty():
-        roots = durable(roots, "roots")
-        more = links(_apart(members, roots, percent))
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        more = links(*_apart(members, roots, percent))
+        after = durable(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
+        discard(roots, more)
+        roots = after
+    discard(members)
     linked = classes.select("id", "d2", "doc_id").join(roots, F.col("id") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = linked.join(least, "root").select(F.col("id").alias("d1"), "d2", "root", F.col("component_id").alias("linked_id"))
@@ -347,18 +369,3 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     own = own.withColumn("number", number).filter("number = 1")
     parts = [x.select(row) for x in (whole, some.filter(~worded), own)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(f"{row}.*")
-
-
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """As ``keep_first``, and then of rows that repeat a doc_id only the one with the least text.
-
-    For tables whose doc_id must be unique afterwards: unrelated texts that share one are lost.
-    """
-    row = fresh(docs, "row")
-    kept = keep_first(docs, words, percent)
-    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
-    named = F.col(f"{row}.doc_id").isNotNull()
-    first = F.row_number().over(W.partitionBy(F.col(f"{row}.doc_id")).orderBy(F.col(f"{row}.text").asc_nulls_last()))
-    number = f"{row}_number"
-    single = rows.filter(named).withColumn(number, first).filter(F.col(number) == 1).select(row)
-    return single.unionByName(rows.filter(~named).select(row)).select(f"{row}.*")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -135,11 +138,10 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert found.count((5, 1, 4, False)) == 2 and (4, 1, 4, True) in found
     assert (2, 0, 2, True) in found and (3, 0, 3, True) in found and (7, 978, 6, False) in found
     assert (None, 1, None, True) in found and (None, 0, None, True) in found
-    kept = lsh_forest.keep_one(awkward(spark))
-    assert kept.columns == awkward(spark).columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "8", "None", "None"]
     none = docs_of(spark, [])
-    assert lsh_forest.near_duplicates(none).count() == 0 and lsh_forest.keep_one(none).count() == 0
+    assert lsh_forest.near_duplicates(none).count() == 0 and lsh_forest.keep_first(none).count() == 0
+    with pytest.raises(ValueError, match="surely"):
+        lsh_forest.near_duplicates(none, 3, 60)
 
 
 def test_pipeline_keeps_unrelated_rows_of_one_id(spark):
@@ -367,6 +369,35 @@ def test_gzip_normaliser_round_trip():
     assert parsed[3][0]["warc-type"] == "revisit" and parsed[3][1:] == parsed[1][1:]
     with pytest.raises(Exception):
         list(warc.normalise(io.BytesIO(one[: len(one) // 2]), io.BytesIO()))
+    many = out.getvalue()
+    for cut in (index[2][0] - 1, len(many) - 8, len(many) - 1, index[1][0] + 5):
+        with pytest.raises(EOFError, match="cut off"):
+            list(warc.normalise(io.BytesIO(many[:cut]), io.BytesIO()))
+    assert len(list(warc.normalise(io.BytesIO(many[: index[2][0]]), io.BytesIO()))) == 2  # whole members alone
+    assert list(warc.normalise(io.BytesIO(b""), io.BytesIO())) == []
+    assert b"".join(warc.inflate(io.BytesIO(zlib.compress(b"z" * 3_000_000, wbits=31)))) == b"z" * 3_000_000
+
+
+def test_spark_paths():
+    assert warc.filesystem("dbfs:/a/b")[1] == "/dbfs/a/b" and warc.filesystem("file:/a/b")[1] == "/a/b"
+
+
+def test_letters():
+    for text in ("12 \u00b3", "\u00bd\u2460\u2167", "_", "", None, "\u0301", "3.5%"):
+        assert not naive_bayes.has_letter(text)
+    for text in ("a", "\u00e9", "1\u00b3x", "\u65e5", "x_1"):
+        assert naive_bayes.has_letter(text)
+
+
+def test_models_travel_without_the_package():
+    """What is broadcast holds its classes: a worker that lacks the package can load it."""
+    from pyspark import cloudpickle
+
+    for value in (pii.Chooser(None, {"email": 1.0}), transcripts.model_of(pd.DataFrame(columns=["kind", "a", "b", "n"]))):
+        raw = cloudpickle.dumps(value)
+        code = "import sys, pickle; from pyspark import cloudpickle; x = cloudpickle.loads(sys.stdin.buffer.read()); print(type(x).__name__, 'ledgerline' in sys.modules)"
+        out = subprocess.run([sys.executable, "-c", code], input=raw, capture_output=True, cwd="/", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+        assert out.stdout.split() == [type(value).__name__.encode(), b"False"], out.stderr.decode()
 
 
 def test_archives_of_awkward_pages(spark):
@@ -592,6 +623,18 @@ def test_mixture_meets_targets(spark):
     assert (got.taken <= 3 * got["size"]).all() and (got.taken == got["size"] * got.copies).all()
 
 
+@pytest.mark.parametrize("giants, long", [(1, 30_000), (3, 9_000), (1, 500)])
+def test_mixture_around_giant_documents(spark, giants, long):
+    """A source half of which is one document still meets its target to a short document's length."""
+    rows = [(i, "w " * 100, "en", "a") for i in range(300)] + [(1000 + i, "w " * long, "en", "a") for i in range(giants)]
+    rows += [(2000 + i, "w " * 50, "en", "b") for i in range(400)] + [(5000 + i, "w " * (i % 90 + 1), "en", "c") for i in range(300)]
+    got = entropy_mix.mixture(docs_of(spark, rows)).toPandas()
+    got["source"] = got.doc_id.map({r[0]: r[3] for r in rows})
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= max(100, 0.001 * g.target.iloc[0])
+    assert (got.copies <= 3).all() and (got.copies >= 0).all()
+
+
 def test_dual_solution_is_the_maximum_entropy_one(spark):
     rows = [("=a", n, 5) for n in range(1, 40)] + [("=b", n, 50) for n in range(1, 20)]
     solved = {r.key: r for r in entropy_mix.solve(spark.createDataFrame(rows, "key string, size long, n long")).collect()}
