@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import weakref
 from array import array
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from ledgerline.llm.names import fresh
 #: vocabulary files beyond this size are refused: they are sent to every executor
 MAX_VOCABULARY = 64 << 20
 #: encodings that a task remembers, and the longest text that it remembers one for
-REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+REMEMBERED, REMEMBERED_CHARS = 200_000, 64
 #: a task hands its rows on whenever it has read so many characters
 SLICE = 8 << 20
 LEAF = 1 << 16
@@ -84,11 +85,12 @@ class Encoder:
         self.cut_at_spaces = cut_at_spaces
         self.single = [ranks[bytes([a])] for a in range(256)]
         self.two = [ranks.get(bytes([a, b]), NEVER) for a in range(256) for b in range(256)]
-        self.window = Memo(self.merged)
-        self.stem = Memo(self._stem)
-        self.packed_piece = Memo(self._packed_piece)
-        self.packed_unit = Memo(self._packed_unit)
-        self.packed_spaced = Memo(lambda unit: self._packed_unit(" " + unit))
+        own = weakref.ref(self)  # else encoder and memos hold each other, and outlast their task
+        self.window = Memo(lambda data: own().merged(data))
+        self.stem = Memo(lambda data: own()._stem(data))
+        self.packed_piece = Memo(lambda piece: own()._packed_piece(piece))
+        self.packed_unit = Memo(lambda unit: own()._packed_unit(unit))
+        self.packed_spaced = Memo(lambda unit: own()._packed_unit(" " + unit))
 
     # --- one piece ------------------------------------------------------------------------
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
+import weakref
 
 import numpy as np
 import public_tokenizers
@@ -91,3 +93,16 @@ def test_query_matches_library(spark):
             hashlib.sha256(LIBRARY.decode_bytes(ids)).hexdigest(),
         ))
     assert {tuple(r) for r in queries()["op13_byte_bpe"](spark, SF_DIR).collect()} == wanted
+
+
+def test_an_encoder_goes_with_its_task():
+    """A reused worker holds the memos of one task, not those of all tasks since the last collection."""
+    encoder = byte_bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    encoder.packed("several words, éàü and 123 numbers")
+    alive, memo = weakref.ref(encoder), weakref.ref(encoder.window)
+    gc.disable()
+    try:
+        del encoder
+        assert alive() is None and memo() is None
+    finally:
+        gc.enable()
