@@ -3,8 +3,8 @@
 Four patterns with checks give the base spans, which always stay. Loose generators then propose
 more, overlapping spans (written-out addresses, other digit groupings, IPv6); trees score each by
 its format and its context, and a threshold per kind, calibrated on held-out examples, selects
-those that no base or better span overlaps. Examples are made from a bounded sample of texts, into
-which real and misleading values are written at random places.
+those that no base or better span overlaps. Examples are all candidates of all texts, and those of
+real and misleading values that are written into copies of their parts.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import nsmallest
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,13 +25,18 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.table_boosting import boost_table, coded_blocks, precise_limits, table_cut_points
 from ledgerline.llm.trees import Boosted, boost
+from ledgerline.session import discard, durable
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 1_500
-EACH = 6
-#: candidates of one text that are learned from, chosen by a hash over all of them
+#: made-up values: so many at least, but not over 2 * EACH in one text, and one in each text
+MADE_UP, EACH = 18_000, 6
+#: so many examples are learned from on the driver, more where they lie
+ON_DRIVER = 1 << 15
+#: candidates of one text that ``examples`` gives, chosen by a hash over all of them; ``fit`` takes all
 PER_TEXT = 1_000
+SLICE = 5_000
 ROUNDS = 60
 PRECISION = 0.99
 CONTEXT = 24
@@ -198,23 +204,27 @@ _LEADS = {
 
 
 def examples(text: str, seed: int) -> list[tuple[list[float], int]]:
+    """The examples of a text; of more than ``PER_TEXT`` candidates those with the least hash."""
+    return list(all_examples(text, seed, 2 * EACH, PER_TEXT))
+
+
+def all_examples(text: str, seed: int, made: int, most: int | None = None) -> Iterator[tuple[list[float], int]]:
     """(features, label) of candidates in a text, and in copies of its parts with made-up values.
 
     Spans of the base are true, its failing matches and all other candidates of the text false.
-    Of more than ``PER_TEXT`` candidates those with the least hash are taken.
     """
-    out, base = [], base_spans(text)
-    found = proposals(text)
-    if len(found) > PER_TEXT:
-        found = sorted(nsmallest(PER_TEXT, found, key=lambda p: zlib.crc32(f"{seed}:{p}".encode())))
+    base, found = base_spans(text), proposals(text)
+    taken = {kind: Taken([b for b in base if b[2] == kind]) for kind in KINDS}
+    if most is not None and len(found) > most:
+        found = sorted(nsmallest(most, found, key=lambda p: zlib.crc32(f"{seed}:{p}".encode())))
     for start, end, kind in found:
-        own = [b for b in base if b[0] < end and start < b[1]]
-        same = any(b[2] == kind for b in own)
-        if not own or same:
-            out.append((traits(text, start, end, kind), int(same)))
+        same = not taken[kind].free(start, end)
+        if same or all(spans.free(start, end) for spans in taken.values()):
+            yield traits(text, start, end, kind), int(same)
     draw = random.Random(seed)
     words = text.split(" ")
-    for n in range(EACH * 2):
+    first = 0 if made >= 8 else seed // 3 % 8  # all kinds, true and false, over texts if not in each
+    for n in range(first, first + made):
         kind, good = KINDS[n % 4], n % 8 < 4
         at = draw.randint(0, len(words))
         left, right = " ".join(words[max(0, at - 8) : at]), " ".join(words[at : at + 8])
@@ -225,8 +235,7 @@ def examples(text: str, seed: int) -> list[tuple[list[float], int]]:
         for s, e, k in proposals(near):
             if s < start + len(value) and start < e:
                 whole = good and k == kind and s <= start and e >= start + len(value) and e - s <= len(value) + 2
-                out.append((traits(near, s, e, k), int(whole)))
-    return out
+                yield traits(near, s, e, k), int(whole)
 
 
 class Taken:
@@ -280,38 +289,64 @@ class Chooser:
         return base, sorted(base + self.more_spans(text, base), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Chooser:
-    """Learn from about ``sample`` texts, chosen by a hash of doc_id; a third of them calibrates.
+def fit(docs: DataFrame, sample: int | None = None) -> Chooser:
+    """Learn from all candidates of all texts; a third of the texts, by a hash, calibrates.
 
-    Each is read whole and gives at most ``PER_TEXT`` of its candidates, which bounds what is learned
-    from, not what is searched. Without any text nothing is added to the base.
+    Each text also gets at least one made-up value, up to ``2 * EACH`` in tables that would have less
+    than ``MADE_UP`` of them. ``sample`` is for trials: about so many texts, chosen by a hash of doc_id.
+    Without any text nothing is added to the base.
     """
     count = docs.count()
-    share = int(min(1.0, sample / max(count, 1)) * (1 << 30))
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("pii")), F.lit(1 << 30)) <= share)
+    if sample is not None:
+        share = int(min(1.0, sample / max(count, 1)) * (1 << 30))
+        docs, count = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("pii")), F.lit(1 << 30)) <= share), min(sample, count)
+    made = min(2 * EACH, max(1, -(-MADE_UP // max(count, 1))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text, seed in zip(batch["text"], batch["seed"]):
-                rows += [(seed, x, y) for x, y in examples(text or "", int(seed))]
-            yield pd.DataFrame(rows, columns=["seed", "x", "y"])
+            every = ((seed, x, y) for text, seed in zip(batch["text"], batch["seed"]) for x, y in all_examples(text or "", int(seed), made))
+            while rows := list(islice(every, SLICE)):
+                yield pd.DataFrame(rows, columns=["seed", "x", "y"])
+
+    seeded = docs.select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31)).alias("seed"))
+    rows = durable(seeded.mapInPandas(run, "seed long, x array<double>, y int"), "pii_examples")
+    try:
+        return _learned_here(rows.toPandas()) if rows.count() <= ON_DRIVER else _learned_there(rows)
+    finally:
+        discard(rows)
+
+
+def _learned_there(rows: DataFrame) -> Chooser:
+    """From examples that stay in their table."""
+    rows = rows.withColumn("held", F.col("seed") % 3 == 0)
+    if rows.filter(~F.col("held")).select("y").distinct().count() < 2:
+        return Chooser(None, dict.fromkeys(KINDS, 2.0))
+    features = len(rows.first()["x"])
+    cuts = table_cut_points(rows.filter(~F.col("held")), features)
+    blocks = durable(coded_blocks(rows, cuts, len(KINDS)), "pii_blocks")
+    coded, trees = boost_table(blocks, cuts, ROUNDS, depth=4, rate=0.2, least=5)
+    limits = precise_limits(blocks, coded, features, len(KINDS), PRECISION)
+    discard(blocks)
+    return Chooser(trees, dict(zip(KINDS, limits)))
+
 
-    rows = chosen.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31)).alias("seed")).mapInPandas(
-        run, "seed long, x array<double>, y int"
-    ).toPandas()
+def _learned_here(rows: pd.DataFrame) -> Chooser:
+    """From few examples, on the driver."""
     if not len(rows) or rows["y"].nunique() < 2:
         return Chooser(None, dict.fromkeys(KINDS, 2.0))
     x = np.stack(rows["x"].to_list()).astype(float)
     order = np.lexsort((*x.T, rows["seed"].to_numpy()))
     x, y, tried = x[order], rows["y"].to_numpy(dtype=float)[order], rows["seed"].to_numpy()[order] % 3 == 0
+    if len(np.unique(y[~tried])) < 2:
+        return Chooser(None, dict.fromkeys(KINDS, 2.0))
     trees = boost(x[~tried], y[~tried], ROUNDS, depth=4, rate=0.2, least=5)
     scores, limits = trees.chances(x[tried]), {}
     for i, kind in enumerate(KINDS):
         own = x[tried][:, i] == 1
         ranked = np.argsort(-scores[own], kind="stable")
         ranked_scores, hits = scores[own][ranked], np.cumsum(y[tried][own][ranked])
-        precise = np.flatnonzero(hits >= PRECISION * np.arange(1, len(hits) + 1)) if len(hits) else []
+        last = np.append(ranked_scores[1:] != ranked_scores[:-1], True)  # a limit takes all equal scores
+        precise = np.flatnonzero((hits >= PRECISION * np.arange(1, len(hits) + 1)) & last) if len(hits) else []
         # the least score at which what is selected is still precise; never below one half
         limits[kind] = max(0.5, float(ranked_scores[precise[-1]])) if len(precise) else 2.0
     return Chooser(trees, limits)

@@ -24,7 +24,8 @@ class Tree:
             column.append(empty)
         return len(self.feature) - 1
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
         feature, threshold = np.array(self.feature), np.array(self.threshold)
         left, right, at = np.array(self.left), np.array(self.right), np.zeros(len(x), dtype=np.int64)
         while (inner := feature[at] >= 0).any():
@@ -32,7 +33,10 @@ class Tree:
             node = at[rows]
             goes = x[rows, feature[node]] <= threshold[node]
             at[rows] = np.where(goes, left[node], right[node])
-        return np.array(self.value)[at]
+        return at
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return np.array(self.value)[self.places(x)]
 
     def paths(self) -> list[tuple[tuple[int, bool, float], ...]]:
         """The conditions (feature, upper side, threshold) that lead to each node but the root."""

@@ -26,6 +26,7 @@ from ledgerline.llm import (
     naive_bayes,
     pii,
     rule_ensemble,
+    table_boosting,
     transcripts,
     trees,
     warc,
@@ -537,6 +538,34 @@ def test_candidates_are_learned_from_whole_texts(spark, monkeypatch):
     assert pii.PER_TEXT <= len(many) < pii.PER_TEXT + 200
 
 
+def test_candidates_are_learned_from_all_texts(spark, monkeypatch):
+    """Every text of 3,000 teaches or calibrates, and each of many candidates of one text."""
+    seen, boost = [], pii.boost
+    monkeypatch.setattr(pii, "boost", lambda x, y, *a, **k: seen.append(x) or boost(x, y, *a, **k))
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    numbers = 23  # the feature that holds a span's largest number
+    pii.fit(docs_of(spark, [(i, f"t{i} mail p987654321@firma.de now", "en", "s") for i in range(3000)]))
+    assert 1_850 < (seen[0][:, numbers] == 987654321).sum() < 2_150
+    tail = " ".join(f"mail p{700_000 + i}@firma.de" for i in range(1_500))
+    pii.fit(docs_of(spark, [(i, f"t{i} " + tail, "en", "s") for i in range(6)]))
+    number, n = np.unique(seen[1][:, numbers], return_counts=True)
+    n = n[(number >= 700_000) & (number < 701_500)]
+    assert len(n) == 1_500 and n.min() == np.median(n)
+
+
+def test_trees_learned_in_a_table_are_those_of_the_driver(spark, monkeypatch):
+    docs = pii_corpus(spark)
+    monkeypatch.setattr(pii, "ROUNDS", 7)
+    here = pii.fit(docs)
+    monkeypatch.setattr(pii, "ON_DRIVER", 0)
+    monkeypatch.setattr(table_boosting, "REFRESH", 3)
+    there = pii.fit(docs.repartition(5))
+    x = np.array([f for i, r in enumerate(docs.collect()) for f, _ in pii.examples(r.text, i)], dtype=float)
+    a, b = here.trees.chances(x), there.trees.chances(x)
+    assert len(there.trees.trees) == 7 and np.abs(a - b).max() < 0.05 and np.abs(a - b).mean() < 0.002
+    assert here.limits == pytest.approx(there.limits, abs=0.02)
+
+
 def test_redaction_and_awkward_rows(spark):
     assert pii.redacted("a b@c.de +1 4", [(2, 8, "email"), (5, 9, "ip")]) == "a [EMAIL]+1 4"
     chooser = pii.fit(awkward(spark).select("doc_id", "text"))
