@@ -237,17 +237,17 @@ def load_vocabulary(path: str) -> bytes:
     return raw
 
 
-def _map_column(df: DataFrame, column: str, name: str, kind: T.DataType, keep: bool, work) -> DataFrame:
-    """``df`` with the values that ``work`` gives for its last column, which goes unless kept."""
+def _map_column(df: DataFrame, column: str, added: dict[str, T.DataType], keep: bool, work) -> DataFrame:
+    """``df`` with the columns that ``work`` gives for its last column, which goes unless kept."""
     kept = [F.col(f"`{c}`") for c in df.columns if keep or c != column]
     source = df.select(*kept, F.col(f"`{column}`").alias("__in"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField(name, kind)])
+    schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(name, kind) for name, kind in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = work()
         for batch in batches:
-            for part, values in apply(batch):
-                columns = [*part.columns[:-1], values]
+            for part in _slices(batch):
+                columns = [*part.columns[:-1], *apply(part.column(part.num_columns - 1))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
     return source.mapInArrow(run, schema)
@@ -262,6 +262,23 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
+def _encoded(encoder: Encoder, texts: pa.Array) -> pa.Array:
+    """The ids of each text of a column."""
+    rows = [encoder.packed(text) for text in texts.to_pylist()]
+    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
+    np.cumsum([len(row) // 4 for row in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype="i4")))
+
+
+def _decoded(decoder: Decoder, lists: pa.Array) -> pa.Array:
+    """The bytes of each list of a column of ids."""
+    out = []
+    for ids in lists:
+        values = ids.values.drop_null() if ids.is_valid else None
+        out.append(None if values is None else decoder.decoded(values.to_numpy(zero_copy_only=False)))
+    return pa.array(out, type=pa.binary())
+
+
 def encode(
     docs: DataFrame,
     vocabulary: bytes,
@@ -278,24 +295,14 @@ def encode(
     public byte-level tokenizers. Null and empty texts get no ids; repeated rows stay as they are;
     an empty table gives no rows. The column read is dropped unless ``keep_text``.
     """
-    name = fresh(docs, "ids")
     vocabulary_b = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work():
         encoder = Encoder(read_ranks(vocabulary_b.value), pattern, cut_at_spaces)
+        return lambda texts: (_encoded(encoder, texts),)
 
-        def apply(batch: pa.RecordBatch):
-            for part in _slices(batch):
-                rows = [encoder.packed(text) for text in part.column(part.num_columns - 1).to_pylist()]
-                offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-                np.cumsum([len(row) // 4 for row in rows], out=offsets[1:])
-                values = np.frombuffer(b"".join(rows), dtype="i4")
-                yield part, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-
-        return apply
-
-    docs = docs.withColumn(column, F.col(f"`{column}`").cast("string"))
-    return _map_column(docs, column, name, T.ArrayType(T.IntegerType()), keep_text, work)
+    added = {fresh(docs, "ids"): T.ArrayType(T.IntegerType())}
+    return _map_column(docs.withColumn(column, F.col(f"`{column}`").cast("string")), column, added, keep_text, work)
 
 
 def decode(encoded: DataFrame, vocabulary: bytes, column: str = "ids", keep_ids: bool = True) -> DataFrame:
@@ -304,24 +311,42 @@ def decode(encoded: DataFrame, vocabulary: bytes, column: str = "ids", keep_ids:
     Null ids give null, empty ones empty bytes; null elements count for nothing. An id outside the
     vocabulary fails the job, as silently wrong bytes would be worse.
     """
-    name = fresh(encoded, "decoded")
     vocabulary_b = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work():
         decoder = Decoder(read_ranks(vocabulary_b.value))
+        return lambda lists: (_decoded(decoder, lists),)
 
-        def apply(batch: pa.RecordBatch):
-            for part in _slices(batch):
-                out = []
-                for ids in part.column(part.num_columns - 1):
-                    values = ids.values.drop_null() if ids.is_valid else None
-                    out.append(None if values is None else decoder.decoded(values.to_numpy(zero_copy_only=False)))
-                yield part, pa.array(out, type=pa.binary())
+    added = {fresh(encoded, "decoded"): T.BinaryType()}
+    return _map_column(encoded.withColumn(column, F.col(f"`{column}`").cast("array<int>")), column, added, keep_ids, work)
+
+
+def round_trip(
+    docs: DataFrame,
+    vocabulary: bytes,
+    pattern: str,
+    column: str = "text",
+    keep_text: bool = False,
+    cut_at_spaces: bool = True,
+) -> DataFrame:
+    """The rows with ``ids`` and ``decoded``, as ``encode`` and then ``decode`` give them.
+
+    Both run in one Python worker a task, where one after the other holds two.
+    """
+    vocabulary_b = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def work():
+        ranks = read_ranks(vocabulary_b.value)
+        encoder, decoder = Encoder(ranks, pattern, cut_at_spaces), Decoder(ranks)
+
+        def apply(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+            ids = _encoded(encoder, texts)
+            return ids, _decoded(decoder, ids)
 
         return apply
 
-    encoded = encoded.withColumn(column, F.col(f"`{column}`").cast("array<int>"))
-    return _map_column(encoded, column, name, T.BinaryType(), keep_ids, work)
+    added = {fresh(docs, "ids"): T.ArrayType(T.IntegerType()), fresh(docs, "decoded"): T.BinaryType()}
+    return _map_column(docs.withColumn(column, F.col(f"`{column}`").cast("string")), column, added, keep_text, work)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -329,8 +354,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     One row for each row of ``docs``, whatever doc_id it has, null included.
     """
-    vocabulary = load_vocabulary(path)
-    both = decode(encode(docs.select("doc_id", "text"), vocabulary, pattern), vocabulary)
+    both = round_trip(docs.select("doc_id", "text"), load_vocabulary(path), pattern)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -106,3 +106,15 @@ def test_an_encoder_goes_with_its_task():
         assert alive() is None and memo() is None
     finally:
         gc.enable()
+
+
+def test_encoding_and_decoding_share_a_worker(spark):
+    """One Python node in the query's plan, with the rows of both one after the other."""
+    plan = queries()["op13_byte_bpe"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    texts = [None, "", "same", "same", "a\x00b ‍ é", "x" * 5000, "word  word\n" * 300]
+    docs = spark.createDataFrame([(i % 3, t, [i]) for i, t in enumerate(texts)], "doc_id int, text string, ids array<int>")
+    both = byte_bpe.round_trip(docs, RAW, public_tokenizers.PATTERN, keep_text=True)
+    apart = byte_bpe.decode(byte_bpe.encode(docs, RAW, public_tokenizers.PATTERN, keep_text=True), RAW, "ids_")
+    assert both.schema == apart.schema and both.collect() == apart.collect()
+    assert byte_bpe.round_trip(docs.limit(0), RAW, public_tokenizers.PATTERN).count() == 0
