@@ -24,7 +24,7 @@ from ledgerline.llm.bloom import bloom_of, read_bloom
 from ledgerline.llm.grouped import by_group, components, forest_edges
 from ledgerline.llm.names import fresh
 from ledgerline.llm.words import _FOLD, U, digest, mix, shingle_set, word_hashes
-from ledgerline.session import discard, durable
+from ledgerline.session import TEXTS, discard, durable
 
 VALUES = 128
 DEPTH = 4
@@ -261,7 +261,7 @@ def _confirmed(parts: DataFrame, classes: DataFrame, docs: DataFrame, words: int
     # texts that no part wants stay where they are; the others travel to their parts by the same plan at every size
     texts = texts.filter("doc_id IS NOT NULL").filter(may_be_wanted("doc_id"))
     rows = texts.join(wanted.hint("merge"), "doc_id").drop("doc_id")
-    found = durable(by_group(rows, "part", confirm, "a long, b long"), "links")
+    found = durable(by_group(rows, "part", confirm, "a long, b long"), "links", TEXTS)
     discard(wanted)
     return found
 
@@ -282,7 +282,7 @@ def _groups(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
 
     doc_id is the least that has the set; sets of one root are near duplicates.
     """
-    sketches = durable(_sketches(docs, words, tree_count(percent)), "sketches")
+    sketches = durable(_sketches(docs, words, tree_count(percent)), "sketches", TEXTS)
     classes = durable(
         sketches.filter(LINKABLE).groupBy("d1", "d2")
         .agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n", "keys", "sig"), "doc_id").alias("of"))

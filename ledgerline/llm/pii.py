@@ -21,13 +21,14 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.table_boosting import boost_table, coded_blocks, precise_limits, table_cut_points
 from ledgerline.llm.trees import Boosted, boost
-from ledgerline.session import discard, durable
+from ledgerline.session import TEXTS, discard, durable
 
 KINDS = ("email", "ip", "card", "phone")
 #: made-up values: so many at least, but not over 2 * EACH in one text, and one in each text
@@ -309,7 +310,7 @@ def fit(docs: DataFrame, sample: int | None = None) -> Chooser:
                 yield pd.DataFrame(rows, columns=["seed", "x", "y"])
 
     seeded = docs.select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31)).alias("seed"))
-    rows = durable(seeded.mapInPandas(run, "seed long, x array<double>, y int"), "pii_examples")
+    rows = durable(seeded.mapInPandas(run, "seed long, x array<double>, y int"), "pii_examples", TEXTS)
     try:
         return _learned_here(rows.toPandas()) if rows.count() <= ON_DRIVER else _learned_there(rows)
     finally:
@@ -399,10 +400,13 @@ def redact(docs: DataFrame, chooser: Chooser) -> DataFrame:
     """
     model = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(chooser))
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
         known = cloudpickle.loads(model.value)
-        return pd.Series([None if t is None else redacted(t, known.all_spans(t)[1]) for t in texts], dtype=object)
+        step = max(TEXTS * len(texts) // max(texts.nbytes, 1), 1)  # a batch in parts: few texts at a time are Python's
+        parts = (texts.slice(at, step).to_pylist() for at in range(0, max(len(texts), 1), step))
+        done = [pa.array([None if t is None else redacted(t, known.all_spans(t)[1]) for t in part], texts.type) for part in parts]
+        return pa.concat_arrays(done)
 
     out = docs.withColumn("text", clean(F.col("text").cast("string")))
     if "n_chars" in docs.columns:

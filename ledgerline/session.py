@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: bytes of an Arrow batch where whole texts go to Python, which holds several copies of a batch
+TEXTS = 4 << 20
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def build_session(app_name: str = "ledgerline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on and UTC dates."""
@@ -49,17 +55,34 @@ def stage_folder(spark: SparkSession) -> str:
     return f"{stage_root(spark)}/ledgerline/{spark.conf.get('spark.app.id')}"
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Rows go to Python in batches of so many bytes, or of fewer if the session says so; a longer row goes alone."""
+    before = spark.conf.get(BATCH, None)
+    known = int(before.removesuffix("b")) if before and before.removesuffix("b").isdigit() else size
+    spark.conf.set(BATCH, str(min(known, size) if known > 0 else size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH)
+        else:
+            spark.conf.set(BATCH, before)
+
+
+def durable(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` once as a parquet table in the shared folder and read it back.
 
     Unlike a cached frame the table survives lost executors, and unlike a checkpoint it is
     columnar: later passes read only the columns they use, and Spark knows its size when it
     picks a join. All tables of one application share one folder; ``discard`` drops one table
-    and ``drop_stages`` the rest.
+    and ``drop_stages`` the rest. ``batch`` bounds the bytes of the batches that its Python
+    functions get.
     """
     spark = df.sparkSession
     path = f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches_of(spark, batch) if batch else nullcontext():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,10 +13,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from ledgerline import session
 from ledgerline.llm import (
     best_fit,
     cap_filters,
@@ -683,3 +685,32 @@ def test_mixture_of_awkward_rows(spark):
     assert mixed.count() == sum(r.taken // r.size for r in got if r.size)
     empty = docs_of(spark, [])
     assert entropy_mix.mixture(empty).count() == 0 and entropy_mix.mix(empty).count() == 0
+
+
+def test_whole_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """Of 17 MB of texts in one partition no worker holds more than about TEXTS at once; the session stays as it was."""
+    before, most, hashed = spark.conf.get(session.BATCH), session.TEXTS + (1 << 20), lsh_forest.word_hashes
+
+    def guarded(texts):
+        texts = list(texts)
+        assert sum(map(len, texts)) <= most
+        return hashed(texts)
+
+    monkeypatch.setattr(lsh_forest, "word_hashes", guarded)
+    rows = spark.range(0, 1200, 1, 1).withColumnRenamed("id", "doc_id").withColumn("text", F.repeat(F.concat_ws(" ", F.lit(" w"), F.col("doc_id") % 600), 2500))
+    assert rows.select(F.sum(F.length("text"))).first()[0] > 2 * most
+    assert lsh_forest.keep_first(rows).count() == 600
+    sizes = rows.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    assert max(r.n for r in sizes.collect()) > most >= max(r.n for r in session.durable(sizes, "sizes", session.TEXTS).collect())
+    assert spark.conf.get(session.BATCH) == before
+
+
+def test_redaction_in_parts_of_a_batch(spark, monkeypatch):
+    """A batch is redacted in parts, nulls and texts at their edges included."""
+    monkeypatch.setattr(pii, "TEXTS", 40)
+    texts = [None, "", "write to ann.lee@mail.com now", "x" * 100, "host 10.0.0.1", None, "plain", "bob@mail.org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    chooser = pii.Chooser(None, dict.fromkeys(pii.KINDS, 2.0))
+    found = [r.text for r in pii.redact(docs, chooser).orderBy("doc_id").collect()]
+    assert found == [None, "", "write to [EMAIL] now", "x" * 100, "host [IP]", None, "plain", "[EMAIL]"]
+    assert pii.redact(docs.limit(0), chooser).count() == 0
