@@ -12,8 +12,9 @@ are read by composing an automaton of the wanted parts with the range that holds
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from ledgerline.llm.bloom import bloom_of, read_bloom
 from ledgerline.llm.count_automata import Automaton, Key, build, union
 from ledgerline.llm.grouped import by_group
 from ledgerline.llm.words import _FOLD, _LOWER, U, mix
-from ledgerline.session import discard, durable
+from ledgerline.session import TEXTS, batches_of, discard, durable
 
 LONGEST = 4
 #: lengths of phrases whose hashes one pass counts; those of the last pass share what filters them
@@ -33,7 +34,7 @@ LEVELS = ((1,), (2,), (3, 4))
 #: bytes of text that are split at once; longer texts are read in parts that overlap by three words
 CHUNK = 1 << 20
 #: hashes that a task counts, and phrases that it holds, before it hands them on; hashes handed on at once
-HELD_HASHES, HELD_PHRASES, HANDED = 1_500_000, 400_000, 200_000
+HELD_HASHES, HELD_PHRASES, HANDED = 1_500_000, 600_000, 200_000
 #: phrases of a range, as far as known, and words and phrases sampled to cut the ranges
 RANGE, MAX_RANGES, SAMPLE_WORDS, SAMPLE_PHRASES = 10_000, 4096, 2_000_000, 20_000
 UNKNOWN = "und"
@@ -213,48 +214,74 @@ def _count_hashes(docs: DataFrame, lengths: tuple[int, ...], shorter) -> DataFra
 
 
 class Counts:
-    """Counts of the phrases that a task has read; each phrase is cut out of its text once."""
+    """Counts of the phrases that a task has read; each phrase is cut out of its text once.
+
+    Hashes are held in order, each with its count and the place of its phrase.
+    """
 
     def __init__(self):
-        self.phrases: dict[int, bytes] = {}
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
-        self.seen = np.empty(0, dtype=U)
-
-    def add(self, chunk: Chunk, m: int, keys: np.ndarray, rows: np.ndarray) -> None:
-        unique, first, n = np.unique(keys[rows], return_index=True, return_counts=True)
-        self.held.append((unique, n))
-        place = np.searchsorted(self.seen, unique)
-        new = np.ones(len(unique), dtype=bool)
-        inside = place < len(self.seen)
-        new[inside] = self.seen[place[inside]] != unique[inside]
-        for key, phrase in zip(unique[new].tolist(), chunk.phrases(rows[first[new]], m)):
-            self.phrases[key] = phrase
-        if len(self.held) % 16 == 0:
-            self.seen = np.sort(np.fromiter(self.phrases, dtype=U, count=len(self.phrases)))
+        self.phrases: list[bytes] = []
+        self.keys, self.n, self.place = np.empty(0, dtype=U), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
+
+    def add(self, chunk: Chunk, found: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """The runs of m words that start at some words of a chunk: (m, their hashes, those words)."""
+        news = []
+        for m, keys, rows in found:
+            unique, first, n = np.unique(keys, return_index=True, return_counts=True)
+            at = np.searchsorted(self.keys, unique)
+            held = at < len(self.keys)
+            held[held] = self.keys[at[held]] == unique[held]
+            self.n[at[held]] += n[held]
+            new = ~held
+            place = np.arange(len(self.phrases), len(self.phrases) + new.sum(), dtype=np.int32)
+            self.phrases.extend(chunk.phrases(rows[first[new]], m))
+            news.append((unique[new], n[new], place))
+        if news:
+            self._insert(*map(np.concatenate, zip(*news)))
+
+    def _insert(self, keys: np.ndarray, n: np.ndarray, place: np.ndarray) -> None:
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order]) + np.arange(len(keys))
+        old = np.ones(len(self.keys) + len(keys), dtype=bool)
+        old[at] = False
+        for name, more in (("keys", keys), ("n", n), ("place", place)):
+            held = getattr(self, name)
+            both = np.empty(len(old), dtype=held.dtype)
+            both[old], both[at] = held, more[order]
+            setattr(self, name, both)
 
     def __len__(self) -> int:
         return len(self.phrases)
 
-    def items(self) -> list[tuple[bytes, int]]:
+    def items(self) -> Iterator[tuple[bytes, int]]:
         """Phrases in order with their counts; nothing is held afterwards."""
-        keys, place = np.unique(np.concatenate([k for k, _ in self.held]), return_inverse=True)
-        # sums of floats are exact here: a task reads less than 2^53 words between two flushes
-        n = np.bincount(place, np.concatenate([n for _, n in self.held])).astype(np.int64)
-        out = sorted(zip(map(self.phrases.__getitem__, keys.tolist()), n.tolist()))
+        phrases, n = self.phrases, np.empty(len(self.phrases), dtype=np.int64)
+        n[self.place] = self.n
         self.__init__()
-        return out
+        for at in sorted(range(len(phrases)), key=phrases.__getitem__):
+            yield phrases[at], int(n[at])
+
+
+def _frequent(chunk: Chunk, filters: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(m, hashes, starts) of the runs to be counted that the filters admit, with all their parts."""
+    good = None
+    for m, keys, counted in chunk.keys():
+        if m > len(filters):
+            return
+        rows = np.arange(len(keys)) if good is None else np.flatnonzero(good[:-1] & good[1:])
+        rows = rows[filters[m - 1].has(keys[rows])]
+        good = np.zeros(len(keys), dtype=bool)
+        good[rows] = True
+        rows = rows[counted[rows]]
+        yield m, keys[rows], rows
 
 
-def _counted(batches: Iterator[pd.DataFrame], blooms: list) -> Iterator[list[tuple[bytes, int]]]:
+def _counted(batches: Iterator[pd.DataFrame], blooms: list) -> Iterator[Iterator[tuple[bytes, int]]]:
     """Sorted phrases with the counts of what a task has read, whenever it holds enough."""
     filters, counts = [read_bloom(bloom) for bloom in blooms], Counts()
     for batch in batches:
         for chunk in chunks(batch):
-            for m, keys, counted in chunk.keys():
-                if m > len(filters):
-                    break
-                rows = np.flatnonzero(counted)
-                counts.add(chunk, m, keys, rows[filters[m - 1].has(keys[rows])])
+            counts.add(chunk, _frequent(chunk, filters))
             if len(counts) >= HELD_PHRASES:
                 yield counts.items()
     if len(counts):
@@ -266,15 +293,10 @@ def _shards(docs: DataFrame, blooms: list, bounds: list[bytes]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for items in _counted(batches, blooms):
-            at = 0
-            while at < len(items):
-                place = bisect_right(bounds, items[at][0])
-                end = len(items)
-                if place < len(bounds):  # a bound belongs to the range that it opens
-                    end = bisect_left(items, bounds[place], lo=at, key=lambda item: item[0])
-                part = build((tuple(key.split(JOINT)), n) for key, n in items[at:end])
-                yield pd.DataFrame({"range": [place], "automaton": [part.to_bytes()]})
-                at = end
+            # a bound belongs to the range that it opens
+            for place, part in groupby(items, key=lambda item: bisect_right(bounds, item[0])):
+                automaton = build((tuple(key.split(JOINT)), n) for key, n in part)
+                yield pd.DataFrame({"range": [place], "automaton": [automaton.to_bytes()]})
 
     return docs.mapInPandas(run, "range int, automaton binary")
 
@@ -297,7 +319,8 @@ def _bounds(docs: DataFrame, blooms: list, words: int, phrases: int) -> list[byt
 
     found = some.mapInPandas(sample, "phrase binary").distinct()
     found = found.filter(F.pmod(F.xxhash64("phrase"), F.lit(keep)) == 0)
-    keys = sorted(bytes(r[0]) for r in found.collect())
+    with batches_of(docs.sparkSession, TEXTS):
+        keys = sorted(bytes(r[0]) for r in found.collect())
     cuts = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if len(keys) >= ranges else keys
     return sorted(set(cuts))
 
@@ -310,12 +333,12 @@ def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, li
     for lengths in LEVELS:
         read = _count_hashes(docs, lengths, blooms[-1] if blooms else None)
         if totals is None:  # read twice: for the words of each lang and for the hashes
-            read = durable(read, "words")
+            read = durable(read, "words", TEXTS)
             totals = durable(read.filter("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
             words = totals.agg(F.sum("n")).first()[0] or 0
         # a task has added up its own already: nothing is gained by doing so again before the shuffle
         counted = read.filter("key IS NOT NULL").repartition("key").groupBy("key")
-        frequent = durable(counted.agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"), "frequent")
+        frequent = durable(counted.agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"), "frequent", TEXTS)
         if not blooms:
             discard(read)
         count = frequent.count()
@@ -332,7 +355,7 @@ def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, li
         return pd.DataFrame({"range": [group["range"].iloc[0]], "automaton": [union(automata, least, JOINT.join).to_bytes()]})
 
     shards = _shards(docs, blooms, bounds)
-    return totals, durable(by_group(shards, "range", unite, "range int, automaton binary", len(bounds) + 1), "automata"), bounds
+    return totals, durable(by_group(shards, "range", unite, "range int, automaton binary", len(bounds) + 1), "automata", TEXTS), bounds
 
 
 def _listed(automata: DataFrame, bounds: list[bytes]) -> DataFrame:

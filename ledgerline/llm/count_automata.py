@@ -15,6 +15,8 @@ import numpy as np
 
 Key = tuple[bytes, ...]
 NOT_FINAL = -1
+#: the state where sequences end and none goes on
+ENDING = (0, (), (), ())
 
 
 class Automaton:
@@ -35,6 +37,21 @@ class Automaton:
 
         yield from walk(self.root, (), self.initial)
 
+    def add_to(self, total: dict[Key, int]) -> None:
+        """Add the counts of all sequences, in any order."""
+        left = [(self.root, (), self.initial)]
+        while left:
+            state, key, weight = left.pop()
+            final, labels, weights, targets = self.states[state]
+            if final != NOT_FINAL:
+                total[key] = total.get(key, 0) + weight + final
+            for label, more, target in zip(labels, weights, targets):
+                longer = (*key, label)
+                if self.states[target] == ENDING:
+                    total[longer] = total.get(longer, 0) + weight + more
+                else:
+                    left.append((target, longer, weight + more))
+
     def compose(self, asked: Automaton) -> Iterator[tuple[Key, int]]:
         """The sequences of ``asked`` that this automaton holds, with its counts: both are walked at once."""
         arcs: dict[int, dict] = {}
@@ -89,8 +106,10 @@ def build(items: Iterable[tuple[Key, int]]) -> Automaton:
     """The automaton of distinct sequences in ascending order, with counts of 0 or more."""
     states: list[tuple] = []
     known: dict[tuple, int] = {}
+    # the states on the way to the last label of the sequence before, whose count waits: most sequences end without arcs
     path: list[list] = [[NOT_FINAL, [], [], []]]
     before: Key = ()
+    waiting = ending = NOT_FINAL
 
     def close(node: list) -> tuple[int, int]:
         final, labels, weights, targets = node
@@ -106,24 +125,38 @@ def build(items: Iterable[tuple[Key, int]]) -> Automaton:
         return number, least
 
     def shorten(depth: int) -> None:
+        """End the sequence before where nothing goes on and close the states that no later one can pass."""
+        nonlocal ending
+        if ending == NOT_FINAL:
+            ending = len(states)
+            states.append(ENDING)
+        path[-1][2].append(waiting)
+        path[-1][3].append(ending)
         while len(path) > depth + 1:
             number, least = close(path.pop())
             path[-1][2].append(least)
             path[-1][3].append(number)
 
     for key, weight in items:
+        if not key:
+            path[0][0] = weight
+            continue
         shared = 0
         for a, b in zip(key, before):
             if a != b:
                 break
             shared += 1
-        shorten(shared)
-        for label in key[shared:]:
+        if shared < len(before):
+            shorten(shared)
+        elif before:
+            path.append([waiting, [], [], []])
+        for label in key[shared:-1]:
             path[-1][1].append(label)
             path.append([NOT_FINAL, [], [], []])
-        path[-1][0] = weight
-        before = key
-    shorten(0)
+        path[-1][1].append(key[-1])
+        waiting, before = weight, key
+    if before:
+        shorten(0)
     if path[0][0] == NOT_FINAL and not path[0][1]:
         return Automaton([(NOT_FINAL, (), (), ())], 0, 0)
     root, initial = close(path[0])
@@ -137,6 +170,5 @@ def union(automata: list[Automaton], least: int = 0, order: Callable[[Key], byte
     """
     total: dict[Key, int] = {}
     for automaton in automata:
-        for key, count in automaton.items():
-            total[key] = total.get(key, 0) + count
+        automaton.add_to(total)
     return build((key, total[key]) for key in sorted((k for k, n in total.items() if n >= least), key=order))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -121,3 +124,27 @@ def test_empty_and_rare(spark):
     assert collocations.collocations(rare).count() == 0
     hot = spark.createDataFrame([(1, "a a " * 4000, "en")], "doc_id int, text string, lang string")
     assert {tuple(r) for r in collocations.collocations(hot, top=1).collect()} == brute([("a a " * 4000, "en")], 30, 80, 1)
+
+
+def admits(every: bool) -> SimpleNamespace:
+    return SimpleNamespace(has=lambda keys: np.full(len(keys), every))
+
+
+def test_phrases_of_rare_words_are_not_held(monkeypatch):
+    monkeypatch.setattr(collocations, "read_bloom", lambda given: given)
+    batch = pd.DataFrame({"text": ["a b a b"], "lang": ["x"]})
+    assert not list(collocations._counted(iter([batch]), [admits(False), admits(True)]))
+    ((*items,),) = collocations._counted(iter([batch]), [admits(True), admits(True)])
+    assert [n for _, n in items] == [2, 2, 2, 1]  # a, a b, b, b a
+
+
+def test_repeated_text_takes_no_more_memory(monkeypatch):
+    """A task holds each phrase and its count once, however often it is read."""
+    monkeypatch.setattr(collocations, "read_bloom", lambda given: given)
+    batch = pd.DataFrame({"text": [" ".join(f"w{i}" for i in range(10_000))], "lang": ["x"]})
+    tracemalloc.start()
+    ((*items,),) = collocations._counted((batch for _ in range(40)), [admits(True)] * 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(items) == 39_994 and {n for _, n in items} == {40}
+    assert peak < 20 << 20
