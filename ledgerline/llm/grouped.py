@@ -69,30 +69,32 @@ def forest_edges(ids: np.ndarray, linked: np.ndarray) -> tuple[list, list]:
     return a, b
 
 
+def _hang_on_roots(state: DataFrame) -> bool:
+    """Whether every node u of the distinct edges (u, v) has one v, which is no other edge's u."""
+    ends = state.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(
+        state.select(F.col("v").alias("node"), F.lit(None).cast("int").alias("up"))
+    )
+    seen = ends.groupBy("node").agg(F.count("up").alias("up"), F.count(F.lit(1)).alias("edges"))
+    return not seen.filter("up > 0 AND edges > 1").agg(F.count(F.lit(1))).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): of every node of an edge (a, b) the least node that edges lead to.
 
     Large and small stars in turn: every node hands its larger, then its smaller neighbours to
-    the least node it knows, until all hang on their root. Stars are aggregated before they are
-    joined, so a node with very many links is combined in the map tasks and its join is split.
-    Each round is a written table; the one before it is dropped.
+    the least node it knows, until all hang on their root, which may be so from the start. Stars
+    are aggregated before they are joined, so a node with very many links is combined in the map
+    tasks and its join is split. Each round is a written table; the one before it is dropped.
     """
     state = durable(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "edges",
     )
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
-
-    known = mark(state)
-    while known[0]:
+    while not _hang_on_roots(state):
         around = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            around.filter("v > u").join(least, "u").filter("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        # no more rows than edges, repeated ones among them: those leave with the small stars
+        large = around.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = durable(large, "stars")
         least = stars.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -101,9 +103,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         after = durable(small, "edges")
         discard(state, stars)
-        state, before, known = after, known, mark(after)
-        if before == known:
-            break
+        state = after
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
