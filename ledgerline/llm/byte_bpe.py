@@ -15,6 +15,7 @@ concatenations, and decoding is the same concatenation over bytes.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import weakref
 from array import array
@@ -31,7 +32,7 @@ from ledgerline.llm.names import fresh
 
 #: vocabulary files beyond this size are refused: they are sent to every executor
 MAX_VOCABULARY = 64 << 20
-#: encodings that a task remembers, and the longest text that it remembers one for
+#: encodings that a worker remembers, and the longest text that it remembers one for
 REMEMBERED, REMEMBERED_CHARS = 200_000, 64
 #: a task hands its rows on whenever it has read so many characters
 SLICE = 8 << 20
@@ -75,7 +76,7 @@ class Memo(dict):
 
 
 class Encoder:
-    """Encodes texts by ranks; one for each task."""
+    """Encodes texts by ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cut_at_spaces: bool = True):
         self.ranks = ranks
@@ -228,6 +229,23 @@ class Decoder:
             raise ValueError(f"no token has the id {unknown.args[0]}") from None
 
 
+#: of this Python worker: the encoder and decoder that its last task used
+_KEPT: dict[tuple, tuple[Encoder, Decoder]] = {}
+
+
+def kept_coders(vocabulary: bytes, pattern: str, cut_at_spaces: bool) -> tuple[Encoder, Decoder]:
+    """Encoder and decoder of a worker, which a later task with the same settings finds with what they remember.
+
+    Others take their place: a worker never holds the memos of two encoders.
+    """
+    key = (hashlib.sha256(vocabulary).digest(), pattern, cut_at_spaces)
+    if key not in _KEPT:
+        _KEPT.clear()
+        ranks = read_ranks(vocabulary)
+        _KEPT[key] = Encoder(ranks, pattern, cut_at_spaces), Decoder(ranks)
+    return _KEPT[key]
+
+
 def load_vocabulary(path: str) -> bytes:
     """A rank file on the driver, which sends it to the executors; bounded by ``MAX_VOCABULARY``."""
     with open(path, "rb") as file:
@@ -298,7 +316,7 @@ def encode(
     vocabulary_b = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work():
-        encoder = Encoder(read_ranks(vocabulary_b.value), pattern, cut_at_spaces)
+        encoder, _ = kept_coders(vocabulary_b.value, pattern, cut_at_spaces)
         return lambda texts: (_encoded(encoder, texts),)
 
     added = {fresh(docs, "ids"): T.ArrayType(T.IntegerType())}
@@ -336,8 +354,7 @@ def round_trip(
     vocabulary_b = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work():
-        ranks = read_ranks(vocabulary_b.value)
-        encoder, decoder = Encoder(ranks, pattern, cut_at_spaces), Decoder(ranks)
+        encoder, decoder = kept_coders(vocabulary_b.value, pattern, cut_at_spaces)
 
         def apply(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
             ids = _encoded(encoder, texts)

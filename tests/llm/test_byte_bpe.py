@@ -118,3 +118,14 @@ def test_encoding_and_decoding_share_a_worker(spark):
     apart = byte_bpe.decode(byte_bpe.encode(docs, RAW, public_tokenizers.PATTERN, keep_text=True), RAW, "ids_")
     assert both.schema == apart.schema and both.collect() == apart.collect()
     assert byte_bpe.round_trip(docs.limit(0), RAW, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_worker_keeps_one_encoder():
+    """The next task of a worker finds what the last one remembered; other settings take its place."""
+    first = byte_bpe.kept_coders(RAW, public_tokenizers.PATTERN, True)
+    gone = weakref.ref(first[0])
+    assert byte_bpe.kept_coders(bytes(bytearray(RAW)), public_tokenizers.PATTERN, True) is first
+    other = byte_bpe.kept_coders(RAW, public_tokenizers.PATTERN, False)
+    assert other is not first and len(byte_bpe._KEPT) == 1
+    del first
+    assert gone() is None
