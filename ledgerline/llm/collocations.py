@@ -26,15 +26,17 @@ from ledgerline.llm.bloom import bloom_of, read_bloom
 from ledgerline.llm.count_automata import Automaton, Key, build, union
 from ledgerline.llm.grouped import by_group
 from ledgerline.llm.words import _FOLD, _LOWER, U, mix
-from ledgerline.session import TEXTS, batches_of, discard, durable
+from ledgerline.session import batches_of, decoded_at_once, discard, durable
 
 LONGEST = 4
 #: lengths of phrases whose hashes one pass counts; those of the last pass share what filters them
 LEVELS = ((1,), (2,), (3, 4))
 #: bytes of text that are split at once; longer texts are read in parts that overlap by three words
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: bytes of an Arrow batch and rows that the parquet reader decodes at once: both hold whole texts in the JVM
+BATCH, DECODED = 1 << 20, 1024
 #: hashes that a task counts, and phrases that it holds, before it hands them on; hashes handed on at once
-HELD_HASHES, HELD_PHRASES, HANDED = 1_500_000, 600_000, 200_000
+HELD_HASHES, HELD_PHRASES, HANDED = 1_500_000, 600_000, 50_000
 #: phrases of a range, as far as known, and words and phrases sampled to cut the ranges
 RANGE, MAX_RANGES, SAMPLE_WORDS, SAMPLE_PHRASES = 10_000, 4096, 2_000_000, 20_000
 UNKNOWN = "und"
@@ -166,6 +168,35 @@ def _parts(data: bytes, lang: str) -> Iterator[Chunk]:
         at = at + int(chunk.starts[-carried]) if carried else end
 
 
+class Held:
+    """Hashes waiting to be counted, in one array that is sorted where it stands."""
+
+    def __init__(self, room: int):
+        self.keys, self.size = np.empty(room, dtype=U), 0
+
+    def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Take all of these hashes; what ``counts`` gives whenever the array is full."""
+        while len(keys):
+            part = keys[: len(self.keys) - self.size]
+            self.keys[self.size : self.size + len(part)] = part
+            self.size += len(part)
+            keys = keys[len(part) :]
+            if self.size == len(self.keys):
+                yield from self.counts()
+
+    def counts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Distinct hashes with their counts, some at once; none is held afterwards."""
+        keys, self.size, at = self.keys[: self.size], 0, 0
+        keys.sort()
+        while at < len(keys):
+            last = keys[min(at + HANDED, len(keys)) - 1]
+            end = int(np.searchsorted(keys, last, side="right"))
+            part = keys[at:end]
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            yield part[first], np.diff(first, append=len(part))
+            at = end
+
+
 def _count_hashes(docs: DataFrame, lengths: tuple[int, ...], shorter) -> DataFrame:
     """(key, lang, n): hashes of phrases of these lengths whose parts are frequent; of single words also their number by lang.
 
@@ -174,15 +205,7 @@ def _count_hashes(docs: DataFrame, lengths: tuple[int, ...], shorter) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bloom = read_bloom(shorter) if shorter is not None else None
-        held, size, totals = [], 0, {}
-
-        def flush() -> Iterator[pd.DataFrame]:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            for at in range(0, len(keys), HANDED):
-                part = slice(at, at + HANDED)
-                yield pd.DataFrame({"key": keys[part].view(np.int64), "lang": None, "n": n[part]})
-
+        held, totals = Held(HELD_HASHES), {}
         for batch in batches:
             for chunk in chunks(batch):
                 good = None
@@ -194,19 +217,16 @@ def _count_hashes(docs: DataFrame, lengths: tuple[int, ...], shorter) -> DataFra
                     if good is not None:  # both parts, or all of them, are frequent
                         good = good[:-1] & good[1:]
                         counted = counted & good
-                    held.append(keys[counted])
-                    size += len(held[-1])
+                    for key, n in held.add(keys[counted]):
+                        yield pd.DataFrame({"key": key.view(np.int64), "lang": None, "n": n})
                     if length == 1:
                         words = np.bincount(chunk.lang[counted], minlength=len(chunk.langs))
                         for lang, n in zip(chunk.langs, words.tolist()):
                             totals[lang] = totals.get(lang, 0) + n
                     if length == lengths[-1]:
                         break
-                if size >= HELD_HASHES:
-                    yield from flush()
-                    size = 0
-        if held:
-            yield from flush()
+        for key, n in held.counts():
+            yield pd.DataFrame({"key": key.view(np.int64), "lang": None, "n": n})
         if totals:
             yield pd.DataFrame({"key": None, "lang": list(totals), "n": list(totals.values())}).astype({"key": "Int64"})
 
@@ -319,12 +339,18 @@ def _bounds(docs: DataFrame, blooms: list, words: int, phrases: int) -> list[byt
 
     found = some.mapInPandas(sample, "phrase binary").distinct()
     found = found.filter(F.pmod(F.xxhash64("phrase"), F.lit(keep)) == 0)
-    with batches_of(docs.sparkSession, TEXTS):
+    with batches_of(docs.sparkSession, BATCH):
         keys = sorted(bytes(r[0]) for r in found.collect())
     cuts = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if len(keys) >= ranges else keys
     return sorted(set(cuts))
 
 
+def _united(group: pd.DataFrame, least: int) -> pd.DataFrame:
+    """(range, automaton): the automata of one range united; one at a time is unpacked."""
+    automata = map(Automaton.from_bytes, group["automaton"])
+    return pd.DataFrame({"range": [group["range"].iloc[0]], "automaton": [union(automata, least, JOINT.join).to_bytes()]})
+
+
 def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, list[bytes]]:
     """Totals (lang, n), the united automata (range, automaton) of phrases of ``least`` or more, and the bounds of ranges."""
     spark = docs.sparkSession
@@ -333,12 +359,12 @@ def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, li
     for lengths in LEVELS:
         read = _count_hashes(docs, lengths, blooms[-1] if blooms else None)
         if totals is None:  # read twice: for the words of each lang and for the hashes
-            read = durable(read, "words", TEXTS)
+            read = durable(read, "words", BATCH)
             totals = durable(read.filter("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
             words = totals.agg(F.sum("n")).first()[0] or 0
         # a task has added up its own already: nothing is gained by doing so again before the shuffle
         counted = read.filter("key IS NOT NULL").repartition("key").groupBy("key")
-        frequent = durable(counted.agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"), "frequent", TEXTS)
+        frequent = durable(counted.agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"), "frequent", BATCH)
         if not blooms:
             discard(read)
         count = frequent.count()
@@ -350,12 +376,9 @@ def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, li
             break
     bounds = _bounds(docs, blooms, words, known)
 
-    def unite(group: pd.DataFrame) -> pd.DataFrame:
-        automata = [Automaton.from_bytes(blob) for blob in group["automaton"]]
-        return pd.DataFrame({"range": [group["range"].iloc[0]], "automaton": [union(automata, least, JOINT.join).to_bytes()]})
-
     shards = _shards(docs, blooms, bounds)
-    return totals, durable(by_group(shards, "range", unite, "range int, automaton binary", len(bounds) + 1), "automata", TEXTS), bounds
+    united = by_group(shards, "range", lambda group: _united(group, least), "range int, automaton binary", len(bounds) + 1)
+    return totals, durable(united, "automata", BATCH), bounds
 
 
 def _listed(automata: DataFrame, bounds: list[bytes]) -> DataFrame:
@@ -410,7 +433,8 @@ def collocations(docs: DataFrame, least: int = 30, contained: int = 80, top: int
     longer phrase with at least ``contained`` percent of its count is left out. Ties go to the larger
     count, then to the phrase that is first in byte order. An empty table gives no rows.
     """
-    totals, automata, bounds = phrase_counts(docs, least)
+    with decoded_at_once(docs.sparkSession, DECODED):
+        totals, automata, bounds = phrase_counts(docs, least)
     cuts = durable(_listed(automata, bounds), "cuts")
     parts = durable(_part_counts(automata, cuts), "parts")
 

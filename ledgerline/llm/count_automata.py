@@ -163,10 +163,11 @@ def build(items: Iterable[tuple[Key, int]]) -> Automaton:
     return Automaton(states, root, initial)
 
 
-def union(automata: list[Automaton], least: int = 0, order: Callable[[Key], bytes] | None = None) -> Automaton:
+def union(automata: Iterable[Automaton], least: int = 0, order: Callable[[Key], bytes] | None = None) -> Automaton:
     """Counts of a sequence in all automata added up; those below ``least`` left out.
 
-    ``order`` may give a key that sorts as the sequences do and is quicker to compare. Callers bound what one holds.
+    The automata are taken one by one. ``order`` may give a key that sorts as the sequences do and is quicker to
+    compare. Callers bound what one holds.
     """
     total: dict[Key, int] = {}
     for automaton in automata:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: bytes of an Arrow batch where whole texts go to Python, which holds several copies of a batch
 TEXTS = 4 << 20
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+DECODED = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def build_session(app_name: str = "ledgerline", master: str | None = None, **conf: str) -> SparkSession:
@@ -70,6 +71,20 @@ def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
             spark.conf.set(BATCH, before)
 
 
+@contextmanager
+def decoded_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """The parquet reader decodes so many rows at once, or fewer if the session says so; a task holds all their texts."""
+    before = spark.conf.get(DECODED, None)
+    spark.conf.set(DECODED, str(min(int(before), rows) if before else rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DECODED)
+        else:
+            spark.conf.set(DECODED, before)
+
+
 def durable(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` once as a parquet table in the shared folder and read it back.
 

@@ -14,6 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ledgerline import session
 from ledgerline.llm import bloom, collocations
 from ledgerline.llm.count_automata import Automaton, build, union
 
@@ -148,3 +149,57 @@ def test_repeated_text_takes_no_more_memory(monkeypatch):
     tracemalloc.stop()
     assert len(items) == 39_994 and {n for _, n in items} == {40}
     assert peak < 20 << 20
+
+
+def peak_of(run) -> int:
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_hashes_are_counted_where_they_are_held():
+    """A task holds no second copy of the hashes that it counts, and counts all of them."""
+    run = collocations._count_hashes(SimpleNamespace(mapInPandas=lambda run, schema: run), (1,), None)
+    batches = [pd.DataFrame({"text": [" ".join(f"{i}" for i in range(at, at + 50_000))], "lang": ["x"]}) for at in range(0, 2_000_000, 50_000)]
+    seen = []
+    assert peak_of(lambda: seen.extend(int(f["n"].sum()) for f in run(iter(batches)))) < 32 << 20
+    assert sum(seen) == 2 * 2_000_000  # by hash and by lang
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 9), max_size=30), max_size=6), st.integers(1, 20), st.integers(1, 5))
+def test_held_hashes(parts, room, handed):
+    before, collocations.HANDED = collocations.HANDED, handed
+    try:
+        held, total = collocations.Held(room), Counter()
+        given = [np.array(part, dtype=np.uint64) for part in parts]
+        for keys, n in [x for part in given for x in held.add(part)] + list(held.counts()):
+            assert len(set(keys.tolist())) == len(keys)
+            total.update(dict(zip(keys.tolist(), n.tolist())))
+    finally:
+        collocations.HANDED = before
+    assert total == Counter(key for part in parts for key in part)
+
+
+def test_one_automaton_is_unpacked_at_a_time():
+    phrases = sorted((b"78", str(i).encode(), b"of") for i in range(3000))
+    blob = build((key, 1) for key in phrases).to_bytes()
+    united = []
+
+    def unite(count):
+        united.append(collocations._united(pd.DataFrame({"range": 3, "automaton": [blob] * count}), count))
+
+    assert peak_of(lambda: unite(60)) < 1.5 * peak_of(lambda: unite(2))
+    (place, found), = united[0].itertuples(index=False)
+    assert place == 3 and list(Automaton.from_bytes(found).items()) == [(key, 60) for key in phrases]
+
+
+def test_texts_go_in_small_batches(spark, monkeypatch):
+    """While texts are read few rows are decoded at once; the session's own setting comes back."""
+    seen, before = [], spark.conf.get(session.DECODED)
+    count = collocations._count_hashes
+    monkeypatch.setattr(collocations, "_count_hashes", lambda *a: seen.append(int(spark.conf.get(session.DECODED))) or count(*a))
+    collocations.collocations(spark.createDataFrame([(1, "a b", "en")], "doc_id int, text string, lang string"))
+    assert seen and max(seen) <= collocations.DECODED and spark.conf.get(session.DECODED) == before
