@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import sys
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -10,17 +12,21 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from py4j.protocol import Py4JJavaError
+from pyspark import cloudpickle
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.semantics import asc, desc
-from ledgerline.session import discard, durable
+from ledgerline.session import discard, durable, stage_folder
 
 log = logging.getLogger(__name__)
+# tasks carry their helpers with them: executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FACTORS = ("Category", "Region", "Month")
 FEATURES = ("Category", "Price", "Region", "Month")
@@ -35,6 +41,12 @@ TREES = 100
 DEPTH = 30
 SEED = 123
 LEAF_ROWS = 5
+#: variance from which a node can still be parted, as in Spark's trees
+EPSILON = 2.220446049250313e-16
+#: rows that the trees of one job draw together, and cells from which trees are grown by lines
+DRAWN = 4_000_000
+#: different prices that the driver counts exactly
+PRICES = 50_000
 # Newton steps and the relative change of the deviance that ends them, as usual for such fits.
 STEPS, CONVERGED = 25, 1e-8
 #: levels of the two narrower factors together; the widest factor has no limit
@@ -89,11 +101,12 @@ def _importance(df: DataFrame, pairs: list[tuple[str, float]]) -> DataFrame:
 def train_forest(rows: DataFrame, trees: int = TREES, max_depth: int = DEPTH) -> DemandModel:
     """Random forest on ``model_rows``, each tree on a bootstrap of the single lines.
 
-    A combination of weight w enters as w rows of weight one, so that a tree draws each of its lines
-    by itself; they are made where the row is read and never stored as a table.
+    Prices are read in at most ``maxBins`` intervals, so lines of one category, region, month and interval
+    can never be parted: a tree needs of such a cell only how many of its lines it draws, their sum and their
+    sum of squares. A combination of weight w is drawn Poisson(w) times, the law of w lines drawn singly, so
+    time follows the number of combinations and cells and not that of lines times trees. Tables with more than
+    ``DRAWN`` cells are grown by Spark from single lines.
     """
-    levels = rows.agg(*[F.count_distinct(c).alias(c) for c in FACTORS]).first()
-    lines = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).drop("copy", "weight")
     indexers = [
         StringIndexer(
             inputCol=c, outputCol=f"{c}_Index", handleInvalid="keep", stringOrderType="alphabetAsc"
@@ -101,22 +114,215 @@ def train_forest(rows: DataFrame, trees: int = TREES, max_depth: int = DEPTH) ->
         for c in FACTORS
     ]
     inputs = [f"{c}_Index" if c in FACTORS else c for c in FEATURES]
+    indexed = Pipeline(stages=[*indexers, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(rows)
+    # a level more for those that scenarios may bring
+    arity = {c: len(stage.labels) + 1 for c, stage in zip(FACTORS, indexed.stages)}
     forest = RandomForestRegressor(
         featuresCol="features",
         labelCol="Quantity",
         numTrees=trees,
         maxDepth=max_depth,
-        maxBins=max(32, *(levels[c] + 1 for c in FACTORS)),
+        maxBins=max(32, *arity.values()),
         featureSubsetStrategy="1",  # a third of four, rounded down
         minInstancesPerNode=LEAF_ROWS,
         maxMemoryInMB=1024,
         seed=SEED,
     )
-    indexed = Pipeline(stages=[*indexers, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(rows)
-    grown = forest.fit(indexed.transform(lines).select("features", "Quantity"))
+    bins = int(min(forest.getMaxBins(), rows.agg(F.sum("weight")).first()[0]))
+    if max(arity.values()) > bins:
+        raise ValueError(f"more levels than the {bins} intervals that so few lines allow")
+    thresholds = price_thresholds(rows, bins - 1)
+    cells = _cells(indexed.transform(rows), thresholds)
+    count = cells.count()
+    if count > DRAWN:
+        lines = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).drop("copy", "weight")
+        grown = forest.fit(indexed.transform(lines).select("features", "Quantity"))
+    else:
+        grown = _grown(forest, cells, count, [arity.get(c, 0) for c in FEATURES], thresholds)
     importance = _importance(rows, [(c, float(w)) for c, w in zip(FEATURES, grown.featureImportances.toArray())])
     fitted = Forest(indexed, grown)
-    return DemandModel(fitted, FOREST_LABEL, importance, _fit_metrics(fitted.transform(rows)))
+    # all lines of a cell get one prediction
+    scored = fitted.transform(cells.drop(*[f"{c}_Index" for c in FACTORS])).select(
+        "prediction", F.inline(F.arrays_zip(F.col("quantities").alias("Quantity"), F.col("weights").alias("weight")))
+    ).toDF("prediction", "Quantity", "weight")
+    return DemandModel(fitted, FOREST_LABEL, importance, _fit_metrics(scored))
+
+
+def price_thresholds(rows: DataFrame, most: int) -> list[float]:
+    """At most ``most`` prices that part the lines evenly, by the rule of Spark's trees; halfway between two prices.
+
+    Where there are more than ``PRICES`` different ones they come from Spark's quantile summaries of all lines.
+    """
+    counted = rows.groupBy("Price").agg(F.sum("weight").alias("n"))
+    if counted.count() > PRICES:
+        lines = rows.select("Price", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))))
+        cuts = lines.approxQuantile("Price", [i / (most + 1) for i in range(1, most + 2)], 0.1 / (most + 1))
+        return sorted(set(cuts[:-1]) - {max(cuts)})
+    prices, counts = np.array(sorted(map(tuple, counted.collect()))).T
+    halfway = (prices[:-1] + prices[1:]) / 2
+    if len(halfway) <= most:
+        return halfway.tolist()
+    stride, reached, found = counts.sum() / (most + 1), counts.cumsum(), []
+    target = stride
+    for i in range(1, len(prices)):
+        if abs(reached[i - 1] - target) < abs(reached[i] - target):
+            found.append(float(halfway[i - 1]))
+            target += stride
+    return found[:most]
+
+
+def _cells(coded: DataFrame, thresholds: list[float]) -> DataFrame:
+    """A row for each category, region, month and price interval: its quantities and how often each was sold; stored."""
+    bounds = F.array(*[F.lit(t) for t in thresholds]) if thresholds else F.array().cast("array<double>")
+    place = F.size(F.filter(bounds, lambda t: t < F.col("Price")))
+    keys = [*FACTORS, *[f"{c}_Index" for c in FACTORS], "interval"]
+    sold = coded.withColumn("interval", place).groupBy(*keys, "Quantity").agg(
+        F.sum("weight").alias("weight"), F.min("Price").alias("Price")
+    )
+    cells = sold.groupBy(*keys).agg(
+        F.min("Price").alias("Price"), F.sort_array(F.collect_list(F.struct("Quantity", "weight"))).alias("sold")
+    )
+    return durable(
+        cells.select(*keys, "Price", F.col("sold.Quantity").alias("quantities"), F.col("sold.weight").alias("weights")),
+        "cells",
+    )
+
+
+def _grown(forest: RandomForestRegressor, cells: DataFrame, count: int, arity: list[int], thresholds: list[float]) -> Any:
+    """Spark's model of the trees that tasks grow, one task a tree; as many at a time as draw ``DRAWN`` rows."""
+    spark, trees, depth = cells.sparkSession, forest.getNumTrees(), forest.getMaxDepth()
+    codes = [f"{c}_Index" if c in FACTORS else "interval" for c in FEATURES]
+    path = f"{stage_folder(spark)}/forest-{uuid.uuid4().hex}"
+    # a model of empty trees, whose nodes are then replaced
+    empty = spark.createDataFrame([(Vectors.dense([0.0] * len(FEATURES)), 0.0)], ["features", "Quantity"])
+    forest.fit(empty).write().save(path)
+    step, mode = max(1, DRAWN // max(count, 1)), "overwrite"
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(min(most, 1 + count // 500), *codes)
+    for first in range(0, trees, step):
+        some = range(first, min(first + step, trees))
+        drawn = cells.select(*codes, "quantities", "weights").mapInPandas(
+            lambda batches, some=some: _draw(batches, codes, some), "tree int, " + ", ".join(f"{c} int" for c in codes) + ", n double, total double, squares double"
+        )
+        nodes = drawn.repartition(min(most, len(some)), "tree").groupBy("tree").applyInPandas(
+            lambda part: _grow(part, codes, arity, thresholds, depth),
+            "tree int, id int, prediction double, impurity double, stats array<double>, raw long, gain double, "
+            "left int, right int, feature int, at array<double>, arity int",
+        )
+        split = F.struct(
+            F.col("feature").alias("featureIndex"), F.col("at").alias("leftCategoriesOrThreshold"), F.col("arity").alias("numCategories")
+        )
+        nodes.select(
+            F.col("tree").alias("treeID"),
+            F.struct(
+                "id", "prediction", "impurity", F.col("stats").alias("impurityStats"), F.col("raw").alias("rawCount"), "gain",
+                F.col("left").alias("leftChild"), F.col("right").alias("rightChild"), split.alias("split"),
+            ).alias("nodeData"),
+        ).write.mode(mode).parquet(f"{path}/data")
+        mode = "append"
+    return RandomForestRegressionModel.load(path)
+
+
+def _draw(batches: Iterator[pd.DataFrame], codes: list[str], some: range) -> Iterator[pd.DataFrame]:
+    """How many of each cell's lines each tree draws, their sum and their sum of squares; seeded by cell, so not by layout.
+
+    A cell that a tree draws nothing of still comes, so that every tree has a row.
+    """
+    for batch in batches:
+        out = []
+        for *cell, quantities, weights in zip(*[batch[c].astype("int64") for c in codes], batch["quantities"], batch["weights"]):
+            source = np.random.default_rng([SEED, some.start, *cell])
+            sums = np.zeros((3, len(some)))
+            for i in range(0, len(weights), 4096):
+                q = np.asarray(quantities[i : i + 4096], dtype=float)
+                times = source.poisson(weights[i : i + 4096], (len(some), len(q)))
+                sums += np.stack([times.sum(1), times @ q, times @ (q * q)])
+            out.append(np.column_stack([np.array(some), np.tile(cell, (len(some), 1)), sums.T]))
+        if out:
+            table = pd.DataFrame(np.concatenate(out), columns=["tree", *codes, "n", "total", "squares"])
+            yield table.astype({c: "int32" for c in ["tree", *codes]})
+
+
+def _spread(n: np.ndarray, total: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """The variance of n lines with this sum and sum of squares."""
+    n = np.maximum(n, 1)
+    return np.maximum(squares / n - (total / n) ** 2, 0)
+
+
+def _grow(part: pd.DataFrame, codes: list[str], arity: list[int], thresholds: list[float], depth: int) -> pd.DataFrame:
+    """The nodes of one tree from its drawn cells, all nodes of a depth at once, by the rules of Spark's trees.
+
+    Each node gets one feature by chance. Levels are put in the order of their means, price intervals stay in
+    theirs, and the cut of that order that takes away most variance parts the node, unless it takes away none or
+    leaves less than ``LEAF_ROWS`` lines on a side.
+    """
+    tree = int(part["tree"].iloc[0])
+    part = part.sort_values(codes)
+    bins, sums = part[codes].to_numpy(), part[["n", "total", "squares"]].to_numpy()
+    bins, sums = bins[sums[:, 0] > 0], sums[sums[:, 0] > 0]
+    source, by_level = np.random.default_rng([SEED, tree]), np.array([a > 0 for a in arity])
+    width = int(bins.max(initial=0)) + 1
+    stats = [sums.sum(0)]  # by node, like everything that follows
+    left, right, feature, gains, at = [-1], [-1], [-1], [-1.0], [[]]
+    nodes = np.array([0])
+    slot = np.zeros(len(bins), dtype=np.int64)  # where each cell's node is in ``nodes``
+    for _ in range(depth):
+        if not len(nodes) or not len(bins):
+            break
+        chosen = source.integers(len(codes), size=len(nodes))
+        entries, entry = np.unique(slot * width + bins[np.arange(len(bins)), chosen[slot]], return_inverse=True)
+        of, value = entries // width, entries % width
+        n, total, squares = (np.bincount(entry, sums[:, k], len(entries)) for k in range(3))
+        order = np.lexsort((value, np.where(by_level[chosen[of]], total / n, value), of))
+        of, value = of[order], value[order]
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        lows = np.stack([x[order].cumsum() for x in (n, total, squares)])
+        ends = np.r_[starts[1:], len(of)] - 1
+        before = np.concatenate([np.zeros((3, 1)), lows[:, ends[:-1]]], axis=1)
+        whole, lows = lows[:, ends] - before, lows - before[:, of]
+        highs = whole[:, of] - lows
+        gain = _spread(*whole)[of] - (lows[0] * _spread(*lows) + highs[0] * _spread(*highs)) / whole[0][of]
+        gain[(lows[0] < LEAF_ROWS) | (highs[0] < LEAF_ROWS)] = -1
+        best = np.maximum.reduceat(gain, starts)
+        tops = np.flatnonzero(gain == best[of])
+        cut = tops[np.r_[True, of[tops[1:]] != of[tops[:-1]]]]  # the first of equal ones
+        parted = best > 0
+        follows = np.full((2, len(nodes)), -1)  # places of the children among the next nodes
+        following = []
+        for k in np.flatnonzero(parted):
+            node, f, c = nodes[k], int(chosen[k]), cut[k]
+            feature[node], gains[node] = f, float(best[k])
+            at[node] = value[starts[k] : c + 1].astype(float).tolist() if by_level[f] else [thresholds[value[c]]]
+            for side, child in ((0, lows[:, c]), (1, highs[:, c])):
+                (left, right)[side][node] = len(stats)
+                if _spread(*child) >= EPSILON:
+                    follows[side, k] = len(following)
+                    following.append(len(stats))
+                stats.append(child)
+                for column, none in ((left, -1), (right, -1), (feature, -1), (gains, -1.0), (at, [])):
+                    column.append(none)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        slot = follows[(place[entry] > cut[slot]).astype(int), slot]
+        bins, sums, slot = bins[slot >= 0], sums[slot >= 0], slot[slot >= 0]
+        nodes = np.array(following, dtype=np.int64)
+    held = np.array(stats)
+    return pd.DataFrame(
+        {
+            "tree": np.int32(tree),
+            "id": np.arange(len(held), dtype=np.int32),
+            "prediction": held[:, 1] / np.maximum(held[:, 0], 1),
+            "impurity": _spread(*held.T),
+            "stats": held.tolist(),
+            "raw": held[:, 0].astype("int64"),
+            "gain": gains,
+            "left": np.array(left, dtype=np.int32),
+            "right": np.array(right, dtype=np.int32),
+            "feature": np.array(feature, dtype=np.int32),
+            "at": at,
+            "arity": np.array([arity[f] if f >= 0 and arity[f] else -1 for f in feature], dtype=np.int32),
+        }
+    )
 
 
 @dataclass(frozen=True)

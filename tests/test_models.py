@@ -199,6 +199,45 @@ def test_trees_draw_single_lines(spark):
     assert len(sampled) > 1  # the number of lines drawn differs from tree to tree
 
 
+def test_time_follows_combinations(spark, monkeypatch):
+    """Four billion lines in eight combinations: a forest that reads single lines does not end."""
+    combos = [
+        (float(q), c, p, "East", "1", 5e8) for q, c, p in
+        [(1, "A", 10.0), (3, "A", 10.0), (5, "A", 20.0), (7, "A", 20.0), (11, "B", 10.0), (13, "B", 10.0), (20, "B", 20.0), (30, "B", 20.0)]
+    ]
+    rows_ = spark.createDataFrame(combos, "Quantity double, Category string, Price double, Region string, Month string, weight double")
+    fitted = []
+    fit = demand.RandomForestRegressor.fit
+    monkeypatch.setattr(demand.RandomForestRegressor, "fit", lambda self, df: (fitted.append(df.count()), fit(self, df))[1])
+    model = demand.train_forest(rows_, trees=40)
+    assert fitted == [1]
+    grown = model.fitted.grown
+    assert grown.getNumTrees == 40
+    drawn = [tree._call_java("rootNode").impurityStats().count() for tree in grown.trees]
+    assert len(set(drawn)) == 40 and all(abs(n - 4e9) < 1e6 for n in drawn)
+    whole = [t for t in grown.trees if t.depth == 2 and t.numNodes == 7]  # both features were drawn where they part
+    asked = model.fitted.indexed.transform(rows_.select("Category", "Price", "Region", "Month").distinct()).collect()
+    means = {("A", 10.0): 2, ("A", 20.0): 6, ("B", 10.0): 12, ("B", 20.0): 25}
+    assert whole and all(t.predict(r["features"]) == pytest.approx(means[r["Category"], r["Price"]], abs=0.01) for t in whole for r in asked)
+    # in rounds of three trees, and then by Spark from the lines
+    monkeypatch.setattr(demand, "DRAWN", 12)
+    assert len(demand.train_forest(rows_, trees=7).fitted.grown.trees) == 7
+    monkeypatch.setattr(demand, "DRAWN", 1)
+    few = rows_.withColumn("weight", F.lit(9.0))
+    assert len(demand.train_forest(few, trees=3).fitted.grown.trees) == 3 and fitted[-1] == 72
+
+
+def test_price_thresholds(spark, monkeypatch):
+    few = spark.createDataFrame([(1.0, 5.0), (2.0, 1.0), (4.0, 1.0)], "Price double, weight double")
+    assert demand.price_thresholds(few, 31) == [1.5, 3.0] and demand.price_thresholds(few, 1) == [1.5]
+    assert demand.price_thresholds(few.limit(1), 31) == []
+    many = spark.range(1000).select(F.col("id").cast("double").alias("Price"), F.lit(3.0).alias("weight"))
+    exact = demand.price_thresholds(many, 9)
+    assert exact == [99.5 + 100 * i for i in range(9)]
+    monkeypatch.setattr(demand, "PRICES", 10)
+    assert all(abs(a - b) < 12 for a, b in zip(demand.price_thresholds(many, 9), exact, strict=True))
+
+
 def test_no_start_is_cheaper(spark):
     """Weighted points on a line: the best split of all is found."""
     source = random.Random(4)
