@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.ranking import first_by, last_by, number_rows
 from ledgerline.functions.semantics import asc
-from ledgerline.session import durable
+from ledgerline.session import discard, durable, durable_parts, is_stage, part_of, parts_of
 from ledgerline.sources.schemas import DEFAULT_STOCK
 
 Star = Mapping[str, DataFrame]
@@ -220,11 +220,13 @@ def _order_problem() -> Column:
 
 def _sync_customers(star: Star, batch: DataFrame, seq: Sequence[str], at: Column) -> DataFrame:
     """Known customers take the last row's name and place, new ones are added."""
-    latest = durable(
-        batch.groupBy("customer_code").agg(
-            last_by(F.struct("customer_name", "city", "state"), seq).alias("last"),
-            F.min(F.struct(*seq)).alias("first_place"),
-        ),
+    latest = durable_parts(
+        [
+            batch.groupBy("customer_code").agg(
+                last_by(F.struct("customer_name", "city", "state"), seq).alias("last"),
+                F.min(F.struct(*seq)).alias("first_place"),
+            )
+        ],
         "batch-customers",
     )
     known = star["customers"]
@@ -264,13 +266,15 @@ def _sync_products(
 ) -> DataFrame:
     """Known products take the last price and keep their category; new ones start from their
     first row. Stock falls by the quantity of every inserted item and may go negative."""
-    latest = durable(
-        batch.groupBy("product_name").agg(
-            last_by(F.col("price_per_unit"), seq).alias("last_price"),
-            first_by(F.col("category_name"), seq).alias("category_name"),
-            F.sum("quantity").alias("units"),
-            F.min(F.struct(*seq)).alias("first_place"),
-        ),
+    latest = durable_parts(
+        [
+            batch.groupBy("product_name").agg(
+                last_by(F.col("price_per_unit"), seq).alias("last_price"),
+                first_by(F.col("category_name"), seq).alias("category_name"),
+                F.sum("quantity").alias("units"),
+                F.min(F.struct(*seq)).alias("first_place"),
+            )
+        ],
         "batch-products",
     )
     known = star["products"]
@@ -310,7 +314,7 @@ def _first_places(batch: DataFrame, column: str, seq: Sequence[str]) -> DataFram
     return batch.groupBy(column).agg(F.min(F.struct(*seq)).alias("first_place"))
 
 
-def apply_orders(star: Star, batch: DataFrame, seq: Sequence[str], at: Column) -> Changed:
+def apply_orders(star: Star, batch: DataFrame, seq: Sequence[str], at: Column, store: bool = False) -> Changed:
     """Order calls in one batch.
 
     Region and category: get or create. Customer: get or create, known ones take the call's
@@ -320,12 +324,14 @@ def apply_orders(star: Star, batch: DataFrame, seq: Sequence[str], at: Column) -
     required value are turned away whole.
 
     The sound calls are sorted and numbered once; that number decides first and last
-    everywhere below and gives the item ids.
+    everywhere below and gives the item ids. A large batch is numbered in parts. With ``store``
+    the new orders and items are written here, items in parts, and the numbered calls dropped;
+    without it they are joined when they are read.
     """
     judged = batch.withColumn("reason", _order_problem())
     rejects = judged.filter("reason IS NOT NULL")
     sound = judged.filter("reason IS NULL").select(*dict.fromkeys([*ORDER_COLUMNS, *seq]))
-    calls = number_rows(sound, asc(*seq), "call").select(*ORDER_COLUMNS, "call")
+    calls = number_rows(sound, asc(*seq), "call", keys=seq, keep=ORDER_COLUMNS).select(*ORDER_COLUMNS, "call")
     seq = ["call"]
 
     regions = star["regions"].unionByName(
@@ -363,23 +369,36 @@ def apply_orders(star: Star, batch: DataFrame, seq: Sequence[str], at: Column) -
             at.alias("updated_at"),
         )
     )
+    if store:
+        new_orders = durable_parts([new_orders], "new-orders")
     orders = star["orders"].unionByName(new_orders)
 
     last_item = F.coalesce(_last_id(star["order_items"], "order_item_id").scalar(), F.lit(0))
-    new_items = (
-        calls.withColumn("order_item_id", last_item + F.col("call"))
-        .join(orders.select("order_id", "order_code"), "order_code")
-        .join(products.select("product_id", "product_name"), "product_name")
-        .select(
-            "order_item_id",
-            "order_id",
-            "product_id",
-            "quantity",
-            "price_per_unit",
-            "sales",
-            "profit",
+    codes = orders.select("order_id", "order_code")
+
+    def items(calls: DataFrame, codes: DataFrame) -> DataFrame:
+        return (
+            calls.withColumn("order_item_id", last_item + F.col("call"))
+            .join(products.select("product_id", "product_name"), "product_name")
+            .join(codes, "order_code")  # last, so that stored items of an order lie together
+            .select(
+                "order_item_id",
+                "order_id",
+                "product_id",
+                "quantity",
+                "price_per_unit",
+                "sales",
+                "profit",
+            )
         )
-    )
+
+    new_items = items(calls, codes)
+    if store:
+        parts = parts_of(batch)
+        parts *= 1 + (parts > 1)  # every row is shuffled twice
+        some = [part_of("order_code", i, parts) for i in range(parts)]
+        new_items = durable_parts((items(calls.filter(mine), codes.filter(mine)) for mine in some), "new-items")
+        discard(calls)
     tables = _after(
         star,
         regions=regions,
@@ -406,11 +425,12 @@ def apply_orders_once(star: Star, batch: DataFrame, seq: Sequence[str], at: Colu
     with the star, or a batch whose write was lost would count as applied. Equal calls within one batch are
     separate calls, as in ``apply_orders``.
     """
-    keyed = batch.withColumn("call_key", call_key(seq))
-    # written once: the same calls must be applied and entered
-    fresh = durable(keyed.join(ledger.select("call_key"), "call_key", "left_anti"), "fresh-calls")
-    changed = apply_orders(star, fresh.drop("call_key"), seq, at)
-    entered = fresh.filter(_order_problem().isNull()).select("call_key").distinct().withColumn("applied_at", at)
+    fresh = _fresh_calls(batch, seq, ledger)
+    changed = apply_orders(star, fresh, seq, at, store=True)
+    keys = fresh.filter(_order_problem().isNull()).select(F.unhex(call_key(seq)).alias("key")).distinct()
+    entered = durable_parts(
+        [keys.select(F.lower(F.hex("key")).alias("call_key"), at.alias("applied_at"))], "entered-calls"
+    )
     return Changed(
         {**changed.tables, "order_ledger": ledger.unionByName(entered)},
         changed.rejects,
@@ -418,6 +438,33 @@ def apply_orders_once(star: Star, batch: DataFrame, seq: Sequence[str], at: Colu
     )
 
 
+def _fresh_calls(batch: DataFrame, seq: Sequence[str], ledger: DataFrame) -> DataFrame:
+    """The calls that the ledger does not name, written once: the same calls must be applied and entered.
+
+    Keys are compared by themselves, as bytes, and in parts; whole calls move only if some but not all are fresh.
+    """
+    if ledger.isEmpty():
+        return batch if is_stage(batch) else durable_parts([batch], "fresh-calls")
+    sent = durable_parts([batch.select(F.unhex(call_key(seq)).alias("key"))], "sent-keys")
+    parts = parts_of(sent)
+    known = ledger.select(F.unhex("call_key").alias("key"))
+    new = durable_parts(
+        (
+            sent.filter(part_of("key", i, parts)).join(known.filter(part_of("key", i, parts)), "key", "left_anti")
+            for i in range(parts)
+        ),
+        "new-keys",
+    )
+    discard(sent)
+    if new.isEmpty():
+        fresh = batch.sparkSession.createDataFrame([], batch.schema)
+    else:
+        keyed = batch.withColumn("key", F.unhex(call_key(seq)))
+        fresh = durable_parts([keyed.join(new, "key", "left_semi").drop("key")], "fresh-calls")
+    discard(new)
+    return fresh
+
+
 def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "call_key string, applied_at timestamp")
 

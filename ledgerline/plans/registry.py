@@ -522,8 +522,8 @@ on_history(
 )
 
 
-def _orders_applied(t: Tables, h: dict[str, DataFrame]) -> changes.Changed:
-    return changes.apply_orders(h, tpch.order_calls(t), tpch.CALL_ORDER, _at())
+def _orders_applied(t: Tables, h: dict[str, DataFrame], store: bool = False) -> changes.Changed:
+    return changes.apply_orders(h, tpch.order_calls(t), tpch.CALL_ORDER, _at(), store)
 
 
 for _table, _label in (
@@ -533,7 +533,7 @@ for _table, _label in (
     ("order_items", "items"),
 ):
     on_history(
-        f"apply_orders_{_label}", lambda t, h, n=_table: _orders_applied(t, h).tables[n]
+        f"apply_orders_{_label}", lambda t, h, n=_table: _orders_applied(t, h, n == "order_items").tables[n]
     )
 on_history(
     "stock_after_orders",
@@ -546,7 +546,8 @@ def _orders_twice(t: Tables, h: dict[str, DataFrame]) -> changes.Changed:
     calls, at = tpch.order_calls(t), _at()
     ledger = changes.empty_ledger(calls.sparkSession)
     once = changes.apply_orders_once(h, calls, tpch.CALL_ORDER, at, ledger).tables
-    once = {name: durable(table, name) for name, table in once.items()}
+    # items and ledger are read from stored tables alone
+    once = {name: table if name in ("order_items", "order_ledger") else durable(table, name) for name, table in once.items()}
     return changes.apply_orders_once(once, calls, tpch.CALL_ORDER, at, once["order_ledger"])
 
 

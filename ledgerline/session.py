@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager, nullcontext
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: bytes of an Arrow batch where whole texts go to Python, which holds several copies of a batch
 TEXTS = 4 << 20
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 DECODED = "spark.sql.parquet.columnarReaderBatchSize"
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: bytes of a table that are shuffled at a time, and the most parts for that
+PART_BYTES, PARTS = 16 << 20, 8
 
 
 def build_session(app_name: str = "ledgerline", master: str | None = None, **conf: str) -> SparkSession:
@@ -101,6 +105,47 @@ def durable(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_of(df: DataFrame) -> int:
+    """In how many parts a job over ``df`` should be done, so that its shuffle files stay small beside the stage tables."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = max((n for n in sizes if n < 1 << 60), default=0)  # Spark has no size of some
+    return max(1, min(PARTS, -(-size // PART_BYTES)))
+
+
+def part_of(key: str, part: int, parts: int) -> Column:
+    """Whether a row is in this one of ``parts``, by a hash of ``key``."""
+    return F.pmod(F.xxhash64(key), F.lit(parts)) == part
+
+
+def durable_parts(frames: Iterable[DataFrame], label: str) -> DataFrame:
+    """The frames' rows as one table like ``durable``'s, written frame by frame.
+
+    Spark deletes the shuffle files of each frame when it is written, so that at most those of one frame lie
+    on the disks beside the stage tables, and the table is packed closer.
+    """
+    path = ""
+    for df in frames:
+        spark = df.sparkSession
+        path = path or f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        before = spark.conf.get(TIDY, None)
+        spark.conf.set(TIDY, "true")
+        try:
+            df.write.mode("append").option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                spark.conf.unset(TIDY)
+            else:
+                spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def is_stage(df: DataFrame) -> bool:
+    """Whether ``df`` is a stage table as it was written, which another job reads again for nothing."""
+    plan, own = df._jdf.queryExecution().analyzed(), f"/ledgerline/{stage_folder(df.sparkSession).rpartition('/')[2]}/"
+    return plan.getClass().getSimpleName() == "LogicalRelation" and all(own in f for f in df.inputFiles())
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

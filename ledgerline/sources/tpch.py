@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.cleaning import add_derived
-from ledgerline.session import durable
+from ledgerline.session import durable_parts, part_of, parts_of
 from ledgerline.sources.schemas import DEFAULT_STOCK, MONEY, REQUIRED_COLUMNS
 
 # Row order of a sales line inside its order; ties are exact copies.
@@ -234,22 +234,29 @@ def history_star(tables: Tables) -> dict[str, DataFrame]:
     """The star as of the cutover: its orders, their items, and the customers, products and
     categories that occur in them. Stored, because a change job reads each table repeatedly."""
     star = star_tables(tables)
-    orders = durable(
-        star["orders"].filter(F.col("order_date") < F.lit(CUTOVER).cast("date")), "history-orders"
+    orders = durable_parts(
+        [star["orders"].filter(F.col("order_date") < F.lit(CUTOVER).cast("date"))], "history-orders"
     )
-    items = durable(
-        star["order_items"].join(orders.select("order_id"), "order_id", "left_semi"), "history-items"
+    parts = parts_of(tables["lineitem"])
+    items = durable_parts(
+        (
+            star["order_items"]
+            .filter(part_of("order_id", i, parts))
+            .join(orders.select("order_id").filter(part_of("order_id", i, parts)), "order_id", "left_semi")
+            for i in range(parts)
+        ),
+        "history-items",
     )
-    products = durable(
-        star["products"].join(items.select("product_id"), "product_id", "left_semi"), "history-products"
+    products = durable_parts(
+        [star["products"].join(items.select("product_id"), "product_id", "left_semi")], "history-products"
     )
-    customers = durable(
-        star["customers"].join(orders.select("customer_id"), "customer_id", "left_semi"),
+    customers = durable_parts(
+        [star["customers"].join(orders.select("customer_id"), "customer_id", "left_semi")],
         "history-customers",
     )
     return {
-        "categories": durable(
-            star["categories"].join(products.select("category_id"), "category_id", "left_semi"),
+        "categories": durable_parts(
+            [star["categories"].join(products.select("category_id"), "category_id", "left_semi")],
             "history-categories",
         ),
         "regions": star["regions"],
@@ -275,40 +282,49 @@ CALL_ORDER = (
 
 def order_calls(tables: Tables) -> DataFrame:
     """One order call per line since the cutover, stored. The call's city carries the order's
-    priority and its price is the line's whole-number unit price, so that both change."""
+    priority and its price is the line's whole-number unit price, so that both change.
+
+    Lines meet their parts first and then whole order headers, so few columns are shuffled with each line,
+    and a large table is joined in parts by a hash of the order key."""
     since = tables["orders"].filter(F.col("o_orderdate").cast("date") >= F.lit(CUTOVER).cast("date"))
     nations = tables["nation"].join(
         tables["region"], F.col("n_regionkey") == F.col("r_regionkey")
     )
     customers = tables["customer"].join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    calls = (
-        tables["lineitem"]
-        .join(since, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(tables["part"], F.col("l_partkey") == F.col("p_partkey"))
-    )
+    headers = since.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    parts = parts_of(tables["lineitem"])
+
+    def joined(i: int) -> DataFrame:
+        lines = tables["lineitem"].filter(part_of("l_orderkey", i, parts))
+        return lines.join(tables["part"], F.col("l_partkey") == F.col("p_partkey")).join(
+            headers.filter(part_of("o_orderkey", i, parts)), F.col("l_orderkey") == F.col("o_orderkey")
+        )
+
     quantity = F.col("l_quantity").cast("int")
     sales = F.col("l_extendedprice").cast(MONEY)
-    return durable(
-        calls.select(
-            F.col("o_orderkey").cast("string").alias("order_code"),
-            F.col("o_orderdate").cast("date").alias("order_date"),
-            F.col("c_custkey").cast("string").alias("customer_code"),
-            F.col("c_name").alias("customer_name"),
-            F.concat_ws(" ", "n_name", "o_orderpriority").alias("city"),
-            F.col("n_name").alias("state"),
-            F.concat_ws(" #", "p_name", F.col("p_partkey").cast("string")).alias("product_name"),
-            F.col("p_type").alias("category_name"),
-            quantity.alias("quantity"),
-            F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast(MONEY).alias("price_per_unit"),
-            sales.alias("sales"),
-            (sales - quantity * F.col("p_retailprice").cast(MONEY)).cast(MONEY).alias("profit"),
-            F.col("r_name").alias("region_name"),
-            "l_orderkey",
-            "l_linenumber",
-            "l_partkey",
-            "l_suppkey",
-            F.col("l_shipdate").cast("date").alias("l_shipdate"),
+    return durable_parts(
+        (
+            joined(i).select(
+                F.col("o_orderkey").cast("string").alias("order_code"),
+                F.col("o_orderdate").cast("date").alias("order_date"),
+                F.col("c_custkey").cast("string").alias("customer_code"),
+                F.col("c_name").alias("customer_name"),
+                F.concat_ws(" ", "n_name", "o_orderpriority").alias("city"),
+                F.col("n_name").alias("state"),
+                F.concat_ws(" #", "p_name", F.col("p_partkey").cast("string")).alias("product_name"),
+                F.col("p_type").alias("category_name"),
+                quantity.alias("quantity"),
+                F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast(MONEY).alias("price_per_unit"),
+                sales.alias("sales"),
+                (sales - quantity * F.col("p_retailprice").cast(MONEY)).cast(MONEY).alias("profit"),
+                F.col("r_name").alias("region_name"),
+                "l_orderkey",
+                "l_linenumber",
+                "l_partkey",
+                "l_suppkey",
+                F.col("l_shipdate").cast("date").alias("l_shipdate"),
+            )
+            for i in range(parts)
         ),
         "order-calls",
     )

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from star_fixture import CHANGED, base_rows, call, calls_frame, make_star, run_calls
 
 from ledgerline.operators import changes, star
-from ledgerline.session import durable
+from ledgerline import session
+from ledgerline.session import durable, stage_folder
 
 
 @pytest.fixture(scope="module")
@@ -74,6 +75,62 @@ def test_a_batch_sent_again_counts_once(spark, at):
     assert again.added["order_items"].count() == 1 and again.tables["order_ledger"].count() == 13
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def stage_names(spark):
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
+
+
+def some_calls(n):
+    return [
+        call(
+            seq, order_code=f"N{seq % 17}" if seq % 9 else "O10", customer_code=f"C{seq % 5}", customer_name=f"name {seq}",
+            product_name=("Shirt", "TV", "Lamp", "Desk")[seq % 4], category_name=("Clothing", "Home")[seq % 2],
+            quantity=seq % 7, region_name=("East", "South")[seq % 2],
+        )
+        for seq in range(n)
+    ]
+
+
+def test_large_batch_is_applied_in_parts(spark, at, monkeypatch):
+    """The same tables in eight parts; neither shuffle files nor numbered calls stay beside them."""
+    calls = some_calls(150)
+    batch = durable(calls_frame(spark, calls[::-1]), "batch")
+    monkeypatch.setattr(session, "PART_BYTES", 1)
+    assert session.parts_of(batch) == 8
+    spark._jvm.System.gc()
+    files, numbered = shuffle_files(spark), sum(n.startswith("call-") for n in stage_names(spark))
+    out = changes.apply_orders(make_star(spark), batch, ["seq"], at, store=True)
+    assert shuffle_files(spark) <= files
+    assert sum(n.startswith("call-") for n in stage_names(spark)) == numbered
+    same_tables(out.tables, run_calls(base_rows(), calls))
+
+
+def test_large_batch_sent_again_in_parts(spark, at, monkeypatch):
+    calls, late = some_calls(60), call(90, order_code="N99", city=None)
+    monkeypatch.setattr(session, "PART_BYTES", 1)
+    before = set(stage_names(spark))
+    batch = durable(calls_frame(spark, [*calls, calls[1]]), "batch")  # one call comes twice in the first batch
+    once = changes.apply_orders_once(make_star(spark), batch, ["seq"], at, changes.empty_ledger(spark))
+    assert not any(n.startswith("fresh-calls") for n in {*stage_names(spark)} - before)  # a stored batch is not written again
+    kept = sum(c[8] > 0 for c in calls)
+    assert once.tables["order_ledger"].count() == kept and once.added["order_items"].count() == kept + 1
+    keys = {r["call_key"] for r in once.tables["order_ledger"].collect()}
+    expected = {r[0] for r in batch.filter("quantity > 0").select(changes.call_key(["seq"])).collect()}
+    assert keys == expected
+    again = changes.apply_orders_once(once.tables, batch, ["seq"], at, once.tables["order_ledger"])
+    same_tables(again.tables, {n: [tuple(r) for r in once.tables[n].collect()] for n in base_rows()})
+    assert again.added["order_items"].isEmpty() and again.tables["order_ledger"].count() == kept
+    more = durable(calls_frame(spark, [*calls[:20], late, calls[0]]), "batch")
+    third = changes.apply_orders_once(again.tables, more, ["seq"], at, again.tables["order_ledger"])
+    assert rows(third.added["orders"], "order_code") == [("N99",)] and third.added["order_items"].count() == 1
+
+
 def test_rejected_calls_name_the_rule(spark, at):
     bad = [
         call(1, quantity=0),

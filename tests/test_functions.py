@@ -10,6 +10,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline import session
 from ledgerline.functions import quantiles, ranking, semantics, text
 
 
@@ -94,3 +95,19 @@ def test_keep_first_null_places_last(spark):
     schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("p", T.LongType())])
     df = spark.createDataFrame([("a", None), ("a", 5), ("b", None)], schema)
     assert rows(ranking.keep_first(df, ["k"], ["p"])) == [("a", 5), ("b", None)]
+
+
+def test_numbers_in_parts(spark, monkeypatch):
+    """Parts that follow each other give the numbers of one sort, NULL last in every key."""
+    rng = random.Random(5)
+    pairs = [(rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b"]), i) for i in range(400)]
+    df = session.durable(spark.createDataFrame(pairs, "a int, b string, c long"), "pairs")
+    monkeypatch.setattr(session, "PART_BYTES", 1)
+    keys = ["a", "b", "c"]
+    got = ranking.number_rows(df, semantics.asc(*keys), "n", keys=keys, keep=["c"])
+    assert got.columns == ["c", "n"]
+    last = sorted(pairs, key=lambda p: [(v is None, v or 0) if i != 1 else (v is None, v or "") for i, v in enumerate(p)])
+    assert sorted((r["n"], r["c"]) for r in got.collect()) == [(i, p[2]) for i, p in enumerate(last, 1)]
+    base = spark.createDataFrame([(7,)], "m long")
+    assert ranking.number_rows(df.limit(0), semantics.asc(*keys), "n", keys=keys).count() == 0
+    assert ranking.number_rows(df.filter("c = 9"), semantics.asc(*keys), "n", base, keys).first()["n"] == 8
