@@ -395,7 +395,6 @@ def apply_orders(star: Star, batch: DataFrame, seq: Sequence[str], at: Column, s
     new_items = items(calls, codes)
     if store:
         parts = parts_of(batch)
-        parts *= 1 + (parts > 1)  # every row is shuffled twice
         some = [part_of("order_code", i, parts) for i in range(parts)]
         new_items = durable_parts((items(calls.filter(mine), codes.filter(mine)) for mine in some), "new-items")
         discard(calls)
